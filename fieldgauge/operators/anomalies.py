@@ -147,11 +147,12 @@ def round_number_check(df: DataFrame, column: str = "founded", low: int = 1950,
         bands.pct(F.count_if(recent & (c % 5 == 0)), m).alias("mult_5_pct"))
 
 
-def encoding_profile(df: DataFrame, column: str, special_share: float = 0.30) -> DataFrame:
+def encoding_profile(df: DataFrame, column: str, special_share: float = 0.30, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of encoding artefacts over whole texts, optionally per group."""
     c = F.col(column)
     special = F.length(F.regexp_replace(c, "[a-zA-Z0-9 ]", ""))
     cjk, arabic, latin = c.rlike("[\\u4E00-\\u9FFF]"), c.rlike("[\\u0600-\\u06FF]"), c.rlike("[a-zA-Z]")
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.count(c).alias("rows"),
         F.count_if(F.contains(c, F.lit("�"))).alias("replacement_char"),
         F.count_if(special > F.length(c) * F.lit(special_share)).alias("high_special_ratio"),

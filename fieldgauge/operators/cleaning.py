@@ -13,12 +13,9 @@ from fieldgauge.functions.text import (any_of, col, foreign_government, has_non_
                                        in_domains, institutional, k12_host, lookup, platform_by_prefix)
 from fieldgauge.operators.scale import left_lookup, scalar
 
-NO_FLAG = F.lit(None).cast("string")
-
-
 def _result(value: Column | None, flag: Column | str | None = None) -> Column:
     value = F.lit(None).cast("string") if value is None else value
-    flag = F.lit(flag) if isinstance(flag, str) else (NO_FLAG if flag is None else flag)
+    flag = F.lit(flag) if isinstance(flag, str) else (F.lit(None) if flag is None else flag)
     return F.struct(value.alias("value"), flag.cast("string").alias("flag"))
 
 

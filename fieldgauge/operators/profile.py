@@ -271,7 +271,7 @@ def worst_groups(df: DataFrame, group: str = "state", min_n: int = 5000, k: int
 def pivot_fill(df: DataFrame, group: str = "state") -> DataFrame:
     """Website fill of mid-market and enterprise side by side per group."""
     pivoted = (df.groupBy(group).pivot("segment", ["mid_market", "enterprise"])
-               .agg(F.count("*").alias("n"), _filled("website").alias("website_pct")))
+               .agg(F.count(F.lit(1)).alias("n"), bands.pct(F.count("website"), F.count(F.lit(1))).alias("website_pct")))
     return pivoted.withColumns({f"{s}_n": F.coalesce(f"{s}_n", F.lit(0)) for s in ("mid_market", "enterprise")})
 
 

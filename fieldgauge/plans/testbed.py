@@ -173,7 +173,7 @@ CLEANED_CTE = """cleaned as (
    when 'District Of Columbia' then 'District of Columbia' when 'N.Y.' then 'New York'
    when 'Ontario' then null else state end as state,
   country_code,
-  array_to_string(list_filter([
+  concat_ws(',',
    case when name in ('n/a','x') then 'name_garbage' end,
    case state when 'York' then 'state_city_recover' when 'Tx Texas' then 'state_redundant_prefix'
     when 'Flrida' then 'state_typo_fix' when 'District Of Columbia' then 'state_case_fix'
@@ -182,7 +182,7 @@ CLEANED_CTE = """cleaned as (
    case when website='www' then 'website_placeholder'
     when website in ('weebly.com','https://www.facebook.com/p','http://foo.wixsite.com/p')
     then 'website_platform_blocklist' end,
-   case when founded < 1800 then 'founded_pre1800' end], x -> x is not null), ',') as rules_flags,
+   case when founded < 1800 then 'founded_pre1800' end) as rules_flags,
   false as has_non_latin_name,
   coalesce(size='10K+' and founded>=2021, false) as implausible_size_founded,
   coalesce(case when website in ('www','weebly.com','https://www.facebook.com/p','http://foo.wixsite.com/p')
