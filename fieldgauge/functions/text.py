@@ -26,10 +26,23 @@ def present(c: Column | str) -> Column:
     return F.when(~is_missing(c), c)
 
 
+def literal(value: object) -> str:
+    """A Python value as SQL literal text."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, dict):
+        return "named_struct(" + ", ".join(f"'{k}', {literal(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        return f"{value!r}D"
+    return str(value)
+
+
 def lookup(mapping: Mapping[str, object], key: Column) -> Column:
     """Value of ``key`` in a small literal map, NULL when absent."""
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(literal(x) for kv in mapping.items() for x in kv)
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def any_of(words: Iterable[str]) -> str:
@@ -41,15 +54,14 @@ def any_of(words: Iterable[str]) -> str:
 
 def host(url: Column | str) -> Column:
     """Lower-case host: scheme and one leading ``www.`` removed, cut at / ? #."""
-    bare = F.regexp_replace(F.lower(F.trim(col(url))), r"^https?://", "")
-    return F.regexp_replace(F.regexp_extract(bare, r"^([^/?#]*)", 1), r"^www\.", "")
+    return F.regexp_extract(F.lower(F.trim(col(url))), r"^(?:https?://)?(?:www\.)?([^/?#]*)", 1)
 
 
 def bare_domain(url: Column | str) -> Column:
     """Domain for comparison: https, http, www prefixes off in that order, cut
     at / and ?, trailing dots off; NULL when nothing is left."""
-    bare = F.regexp_replace(F.lower(F.trim(col(url))), r"^(https://)?(http://)?(www\.)?", "")
-    return F.nullif(F.regexp_replace(F.regexp_extract(bare, r"^([^/?]*)", 1), r"\.+$", ""), F.lit(""))
+    cut = F.regexp_extract(F.lower(F.trim(col(url))), r"^(?:https://)?(?:http://)?(?:www\.)?([^/?]*)", 1)
+    return F.nullif(F.rtrim(cut, F.lit(".")), F.lit(""))
 
 
 def regex_domain(url: Column | str) -> Column:
@@ -60,12 +72,21 @@ def regex_domain(url: Column | str) -> Column:
 
 
 def in_domains(domain: Column | str, blocked: Iterable[str]) -> Column:
-    """True when the domain is one of ``blocked`` or lies under one."""
-    return col(domain).rlike(rf"(^|\.)({any_of(blocked)})$")
+    """True when the domain is one of ``blocked`` or lies under one: its last n
+    labels are looked up among the blocked domains of n labels."""
+    by_labels: dict[int, list[str]] = {}
+    for b in blocked:
+        by_labels.setdefault(b.count(".") + 1, []).append(b)
+    hits = [F.substring_index(col(domain), ".", -n).isin(*names) for n, names in sorted(by_labels.items())]
+    out = hits[0]
+    for h in hits[1:]:
+        out = out | h
+    return out
 
 
 def institutional(domain: Column | str) -> Column:
-    return col(domain).rlike(rf"\.({any_of(fv.INSTITUTIONAL_TLDS)})$")
+    d = col(domain)
+    return F.substring_index(d, ".", -1).isin(*fv.INSTITUTIONAL_TLDS) & F.contains(d, F.lit("."))
 
 
 def platform_by_prefix(url: Column | str, domains: Iterable[str] = fv.PLATFORM_DOMAINS,

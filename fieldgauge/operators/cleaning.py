@@ -28,9 +28,11 @@ def clean_name(name: Column | str = "name") -> Column:
     return F.when(garbage, _result(None, "name_garbage")).otherwise(_result(c))
 
 
-def clean_website(url: Column | str = "website", blocked: Iterable[str] = fv.PLATFORM_DOMAINS) -> Column:
+def clean_website(url: Column | str = "website", blocked: Iterable[str] = fv.PLATFORM_DOMAINS,
+                  domain: Column | None = None) -> Column:
+    """``domain`` is the host of the address when it is already at hand."""
     t = F.trim(col(url))
-    domain = host(t)
+    domain = host(t) if domain is None else domain
     return (F.when(t.isNull() | (t == ""), _result(None))
             .when(F.lower(t).isin(*fv.PLACEHOLDER_URLS), _result(None, "website_placeholder"))
             .when(institutional(domain), _result(None, "website_institutional_tld"))
@@ -52,31 +54,40 @@ def clean_founded(year: Column, dtype: T.DataType | None = None) -> Column:
                     F.when(value < 1800, "founded_pre1800").alias("flag"))
 
 
-def clean_state(state: Column | str = "state", city: Column | str = "city") -> Column:
+def _fix(value: str, flag: str) -> dict[str, str]:
+    return {"value": value, "flag": flag}
+
+
+def _state_codes() -> dict[str, dict]:
+    return {form: _fix(name, "state_abbrev_expand") for code, _, name in fv.STATES
+            for form in (code.lower(), ".".join(code.lower()))}
+
+
+def _known_states() -> dict[str, dict]:
+    """Lower-case spelling -> fix: names in other letter case, postal codes with
+    and without dots, known typos. The spellings do not overlap."""
+    known = {v.lower(): _fix(v, "state_case_fix") for v in bands.STATE_NAMES}
+    known |= {k.lower(): _fix(v, "state_typo_fix") for k, v in fv.STATE_TYPOS.items()}
+    return known | _state_codes()
+
+
+def clean_state(state: Column | str = "state", city: Column | str = "city", low: Column | None = None) -> Column:
     """First match wins: exact, other letter case, postal code, valid name after
-    dropping leading words, known typo, place split over city and state."""
+    dropping leading words, known typo, place split over city and state.
+    ``low`` is the lower-case trimmed state when it is already at hand."""
     raw = F.trim(col(state))
-    low = F.regexp_replace(F.lower(raw), r"\s+", " ")
-    by_name = {name.lower(): name for name in bands.STATE_NAMES}
-    by_code = {code: name for code, _, name in fv.STATES}
-    typos = {k.lower(): v for k, v in fv.STATE_TYPOS.items()}
-    split_state = {k.lower(): v[1] for k, v in fv.SPLIT_PLACES.items()}
-    split_first = {k.lower(): v[0].lower() for k, v in fv.SPLIT_PLACES.items()}
-
-    named = lookup(by_name, low)
-    code = F.regexp_replace(F.btrim(F.upper(raw), F.lit(".")), r"^([A-Z])\.([A-Z])$", "$1$2")
+    low = F.lower(raw) if low is None else low
+    tails = {name.lower(): _fix(name, "state_redundant_prefix") for name in bands.STATE_NAMES}
     # lazily drop as few leading words as possible, so the longest name is tried first
-    tail = F.regexp_extract(low, rf"^(?:\S+ )+?({any_of(by_name)})$", 1)
+    tail = F.regexp_extract(F.regexp_replace(low, r"\s+", " "), rf"^(?:\S+ )+?({any_of(tails)})$", 1)
+    halves = lookup({k.lower(): {"first": v[0].lower(), "fix": _fix(v[1], "state_city_recover")}
+                     for k, v in fv.SPLIT_PLACES.items()}, low)
     town = F.lower(F.trim(F.coalesce(col(city), F.lit(""))))
-    split_fits = (town == "") | (town == lookup(split_first, low))
-    return (F.when(raw.isNull() | (raw == ""), _result(None))
+    return (F.when(F.coalesce(raw, F.lit("")) == "", _result(None))
             .when(raw.isin(*bands.STATE_NAMES), _result(raw))
-            .when(named.isNotNull(), _result(named, "state_case_fix"))
-            .when(code.isin(*by_code), _result(lookup(by_code, code), "state_abbrev_expand"))
-            .when(tail != "", _result(lookup(by_name, tail), "state_redundant_prefix"))
-            .when(low.isin(*typos), _result(lookup(typos, low), "state_typo_fix"))
-            .when(low.isin(*split_state) & split_fits, _result(lookup(split_state, low), "state_city_recover"))
-            .otherwise(_result(None, "state_unresolvable")))
+            .otherwise(F.coalesce(
+                lookup(_known_states(), low), lookup(_state_codes(), F.btrim(low, F.lit("."))), lookup(tails, tail),
+                F.when(town.isin("", halves["first"]), halves["fix"]), _result(None, "state_unresolvable"))))
 
 
 def clean_city(city: Column | str, raw_state: Column | str, state_flag: Column) -> Column:
@@ -97,11 +108,17 @@ def apply_rules(df: DataFrame, blocked: Iterable[str] = fv.PLATFORM_DOMAINS) ->
     """All rules in one narrow pass: cleaned columns, ``rules_flags`` and the two
     row-level booleans. No shuffle."""
     keep = [c for c in df.columns if c not in ("name", "website", "founded", "city", "state")]
-    ruled = df.select(
-        *keep, "city", F.col("state").alias("_raw_state"),
-        clean_name().alias("_name"), clean_state().alias("_state"), clean_website(blocked=blocked).alias("_web"),
-        clean_founded(F.col("founded"), df.schema["founded"].dataType).alias("_founded"))
-    ruled = ruled.withColumn("_city", clean_city("city", "_raw_state", F.col("_state.flag")))
+    # parts used several times come first, so each is computed once per row and
+    # the generated code stays in methods small enough to be compiled
+    parts = df.select(*keep, "name", "founded", "city", F.trim("state").alias("_raw_state"),
+                      F.lower(F.trim("state")).alias("_low_state"), F.trim("website").alias("_url"),
+                      host("website").alias("_host"))
+    ruled = parts.select(
+        *keep, "city", "_raw_state", clean_name().alias("_name"),
+        clean_founded(F.col("founded"), df.schema["founded"].dataType).alias("_founded"),
+        clean_state("_raw_state", "city", F.col("_low_state")).alias("_state"), "_url", "_host")
+    ruled = ruled.withColumns({"_web": clean_website("_url", blocked, F.col("_host")),
+                               "_city": clean_city("city", "_raw_state", F.col("_state.flag"))})
     flags = F.concat_ws(",", *[f"{c}.flag" for c in ("_name", "_state", "_city", "_web", "_founded")])
     value = {"name": "_name", "website": "_web", "founded": "_founded", "city": "_city", "state": "_state"}
     out = ruled.select(*[F.col(f"{value[c]}.value").alias(c) if c in value else F.col(c) for c in df.columns],
@@ -115,9 +132,10 @@ def shared_domain_flag(df: DataFrame, min_keys: int = 50, key: str = "handle", u
     """Mark rows whose domain occurs on at least ``min_keys`` distinct keys. One
     domain may hold any share of the table: the counts pre-aggregate on
     (domain, key), and the join back separates hot domains from the rest."""
-    keyed = df.withColumn("_dom", F.nullif(host(url), F.lit("")))
-    counts = (keyed.where("_dom is not null").groupBy("_dom")
-              .agg(F.count_distinct(key).alias("_keys"), F.count("*").alias("_rows"))
+    keyed = df.withColumn("_dom", F.coalesce(host(url), F.lit("")))
+    # rows without a domain fold into one keyless group, which no threshold lets through
+    counts = (keyed.select("_dom", F.when(F.col("_dom") != "", F.col(key)).alias("_k")).groupBy("_dom")
+              .agg(F.count_distinct("_k").alias("_keys"), F.count("*").alias("_rows"))
               .where(F.col("_keys") >= min_keys).withColumn("_shared", F.lit(True)))
     out = left_lookup(keyed, counts, "_dom", key, "_rows", ["_shared"])
     return out.withColumn(flag, F.coalesce("_shared", F.lit(False))).drop("_dom", "_shared")
@@ -179,7 +197,7 @@ def url_class(url: Column | str = "website") -> Column:
 def unique_city_states(crosswalk: DataFrame) -> DataFrame:
     """Per lower-case city: its state when there is only one, and how many there are.
     min and max decide uniqueness, so no list of states is ever collected."""
-    return (crosswalk.where("city is not null and state is not null")
+    return (crosswalk.where("trim(city) <> '' and state is not null")
             .groupBy(F.lower(F.trim("city")).alias("_city"))
             .agg(F.min("state").alias("_lo"), F.max("state").alias("_hi")))
 
@@ -190,8 +208,8 @@ def recover_state(df: DataFrame, crosswalk: DataFrame, key: str = "handle") -> D
     state take part in the join."""
     states = unique_city_states(crosswalk)
     want = F.when(F.col("state").isNull(), F.lower(F.trim("city")))
-    keyed = df.withColumn("_want", want)
-    need = keyed.where("_want is not null").groupBy("_want").agg(F.count("*").alias("_n"))
+    keyed = df.withColumn("_want", F.coalesce(want, F.lit("")))
+    need = keyed.groupBy("_want").agg(F.count("*").alias("_n"))
     side = need.join(states, F.col("_want") == F.col("_city")).select("_want", "_n", "_lo", "_hi")
     out = left_lookup(keyed, side, "_want", key, "_n", ["_lo", "_hi"])
     unique = F.col("_lo") == F.col("_hi")
@@ -210,8 +228,8 @@ def fill_type_from_list(df: DataFrame, listed: DataFrame, key: str = "handle", v
         return F.trim(F.regexp_replace(words, r"\b(inc|corp|corporation|co|company|ltd|llc|plc)\b", ""))
 
     names = listed.select(plain(F.col("name")).alias("_want")).where("_want <> ''").distinct()
-    keyed = df.withColumn("_want", F.when(F.col("type").isNull(), plain(F.col("name"))))
-    need = keyed.where("_want is not null").groupBy("_want").agg(F.count("*").alias("_n"))
+    keyed = df.withColumn("_want", F.coalesce(F.when(F.col("type").isNull(), plain(F.col("name"))), F.lit("")))
+    need = keyed.groupBy("_want").agg(F.count("*").alias("_n"))
     side = need.join(names, "_want").withColumn("_listed", F.lit(True))
     out = left_lookup(keyed, side, "_want", key, "_n", ["_listed"])
     return (out.withColumn("type", F.coalesce("type", F.when(F.col("_listed"), value)))

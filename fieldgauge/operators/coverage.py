@@ -52,13 +52,20 @@ def coverage(benchmark: DataFrame, ours: DataFrame, key: str, size: str = "emplo
     return out.orderBy("coverage", key)
 
 
-def combined_coverage(employers: DataFrame, nonemployers: DataFrame, ours: DataFrame,
+def universe(employers: DataFrame, nonemployers: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Both counts side by side. Without a second frame the first one either
+    brings a ``nonemployers`` column or stands alone."""
+    if nonemployers is not None:
+        employers = employers.join(nonemployers, list(keys), "left")
+    other = F.coalesce("nonemployers", F.lit(0)) if "nonemployers" in employers.columns else F.lit(0)
+    return employers.withColumn("nonemployers", other)
+
+
+def combined_coverage(employers: DataFrame, nonemployers: DataFrame | None, ours: DataFrame,
                       gaps: GapTiers = GapTiers()) -> DataFrame:
     """Sector coverage against employers + non-employers, with the employer-only share beside it."""
-    zero = F.lit(0)
-    return (employers.join(nonemployers, "sector", "left").join(ours, "sector", "left")
-            .select("sector", F.coalesce("our_records", zero).alias("our_records"), "employers",
-                    F.coalesce("nonemployers", zero).alias("nonemployers"))
+    return (universe(employers, nonemployers, ["sector"]).join(ours, "sector", "left")
+            .select("sector", F.coalesce("our_records", F.lit(0)).alias("our_records"), "employers", "nonemployers")
             .withColumn("universe", F.col("employers") + F.col("nonemployers"))
             .withColumn("employer_only_pct", bands.pct("our_records", "employers"))
             .withColumn("coverage", bands.ratio("our_records", "universe"))
@@ -75,15 +82,10 @@ def gap_cells(employers: DataFrame, nonemployers: DataFrame | None, ours: DataFr
     """State x ``second`` cross-tab with ratio and tiers. States outside tiers A
     and B leave the grid; a cell we have no rows for counts as 0."""
     keys = ["state", second]
-    zero = F.lit(0)
     tiered = (state_totals.select("state", bands.volume_tier("our_records", tiers).alias("state_tier"))
               .where(F.col("state_tier").isin("A", "B")))
-    cells = employers if nonemployers is None else employers.join(nonemployers, keys, "left")
-    if nonemployers is None:
-        cells = cells.withColumn("nonemployers", zero)
-    cells = (cells.join(ours, keys, "left").join(tiered, "state")
-             .select(*keys, "state_tier", F.coalesce("our_records", zero).alias("our_records"), "employers",
-                     F.coalesce("nonemployers", zero).alias("nonemployers"))
+    cells = (universe(employers, nonemployers, keys).join(ours, keys, "left").join(tiered, "state")
+             .select(*keys, "state_tier", F.coalesce("our_records", F.lit(0)).alias("our_records"), "employers", "nonemployers")
              .withColumn("universe", F.col("employers") + F.col("nonemployers"))
              .withColumn("coverage", bands.ratio("our_records", "universe"))
              .withColumn("gap_tier", bands.gap_tier("coverage", gaps)))

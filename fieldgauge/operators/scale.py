@@ -16,6 +16,14 @@ def scalar(df: DataFrame) -> Column:
     return df.scalar()
 
 
+def deal_out(df: DataFrame, scan: DataFrame) -> DataFrame:
+    """Spread the rows of ``df`` over the cores when the scan it comes from has
+    fewer splits than cores; anything larger is left as it is, so big inputs
+    never shuffle here."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if scan.rdd.getNumPartitions() < cores else df
+
+
 def small_rows(df: DataFrame, what: str, limit: int = SMALL_TABLE_ROWS) -> list:
     """Rows of a table that must be small (a taxonomy, a rule table). At most
     ``limit`` + 1 rows ever reach the driver; a larger table is an error."""
@@ -51,24 +59,23 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 def left_lookup(big: DataFrame, side: DataFrame, key: str, row_key: str, weight: str,
                 values: Sequence[str], hot_share: float = 0.001, salts: int = 1024) -> DataFrame:
     """Left join of a big frame to a side table with one row per key that may
-    itself grow with the data. ``weight`` is the number of big rows per key.
+    itself grow with the data. ``key`` is text, '' standing for no key, and
+    ``weight`` is the number of big rows per key.
 
     Keys holding at least ``hot_share`` of all rows number at most 1/hot_share,
     so that slice of the side table is broadcast; every other key is joined by
     shuffle, where no key can be hot. Rows already answered, and rows without a
     key, carry a throw-away key that spreads them evenly over the shuffle."""
-    total = scalar(side.agg(F.sum(weight)))
-    hot = side.where(F.col(weight) >= total * F.lit(hot_share))
-    hot = F.broadcast(hot.select(F.col(key).alias("_hk"), F.struct(*values).alias("_hot")))
-    cold = side.select(F.col(key).alias("_ck"), F.lit(-1).alias("_cs"), F.struct(*values).alias("_cold"))
-    answered = F.col("_hot").isNotNull() | F.col(key).isNull()
+    floor = scalar(side.agg(F.sum(weight))) * F.lit(hot_share)
+    # both slices read every column of the side, so they share one computation
+    hot = F.broadcast(side.where(F.col(weight) >= floor)
+                      .select(F.col(key).alias("_hk"), F.struct(*values).alias("_hot")))
+    cold = side.where(F.col(weight) < floor).select(
+        F.col(key).alias("_ck"), F.lit(-1).alias("_cs"), F.struct(*values).alias("_cold"))
+    answered = F.col("_hot").isNotNull() | (F.col(key) == "")
     out = (big.join(hot, F.col(key) == F.col("_hk"), "left")
-           .withColumn("_jk", F.when(~answered, F.col(key)))
+           .withColumn("_jk", F.when(answered, "").otherwise(F.col(key)))
            .withColumn("_js", F.when(answered, F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int")).otherwise(-1)))
-    out = out.join(cold, (F.coalesce("_jk", F.lit("")) == F.col("_ck")) & (F.col("_js") == F.col("_cs")), "left")
+    out = out.join(cold, (F.col("_jk") == F.col("_ck")) & (F.col("_js") == F.col("_cs")), "left")
     found = [F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values]
     return out.select(*big.columns, *found)
-
-
-def exact_distinct(df: DataFrame, cols: Sequence[Column]) -> Column:
-    return F.count_distinct(F.struct(*cols))

@@ -8,14 +8,14 @@ from fieldgauge.functions import bands, text as tx
 from fieldgauge.operators import cleaning as cl
 from fieldgauge.operators.sampling import SAMPLE_PLATFORMS
 from fieldgauge.plans.registry import query, quoted
-from fieldgauge.plans.testbed import CLEANED_CTE, COMPANIES_CTE, companies, table
+from fieldgauge.plans.testbed import CLEANED_CTE, COMPANIES_CTE, cleaned, companies, table
 from fieldgauge import fixed_values as fv
 
 C, K = COMPANIES_CTE, CLEANED_CTE
 
 
 def ruled(s, d):
-    return cl.apply_rules(companies(s, d))
+    return cl.apply_rules(companies(s, d, dealt=True))
 
 
 def _one(df, rule):
@@ -116,7 +116,7 @@ def c9(s, d):
  count(*) filter (has_non_latin_name) as non_latin_names, count(*) filter (implausible_size_founded) as implausible_sizes,
  count(*) filter (has_shared_domain) as shared_domains from cleaned""", C, K)
 def c9b(s, d):
-    raw = companies(s, d)
+    raw = companies(s, d, dealt=True)
     return cl.recovery_stats(raw, cl.clean(raw))
 
 
@@ -161,7 +161,7 @@ def c15(s, d):
 
 @query("c16_shared_domain", "select handle, has_shared_domain from cleaned", C, K)
 def c16(s, d):
-    return cl.clean(companies(s, d)).select("handle", "has_shared_domain")
+    return cl.clean(companies(s, d, dealt=True)).select("handle", "has_shared_domain")
 
 
 @query("c16_shared_page_host", r"""select page_id, coalesce(h <> '' and count(*) over (partition by h) >= 3, false) as shared from
@@ -191,7 +191,7 @@ def c18(s, d):
  from cleaned a left join (select lower(trim(name)) as c, min(state) as lo, max(state) as hi from cleaned
   where name is not null and state is not null group by 1) b on lower(trim(a.name)) = b.c""", C, K)
 def c19(s, d):
-    df = ruled(s, d).select("handle", F.col("name").alias("city"), "state")
+    df = cleaned(s, d).select("handle", F.col("name").alias("city"), "state")
     return cl.recover_state(df, df).select("handle", "state", "state_source")
 
 
@@ -205,7 +205,7 @@ _PLAIN = """trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', '', 'g'
  on {_PLAIN.format(c='a.name')} = b.n""", C, K)
 def c20(s, d):
     listed = table(s, d, "customer").where("c_acctbal >= 5000").select(F.concat("c_name", F.lit(" Corp")).alias("name"))
-    return cl.fill_type_from_list(ruled(s, d), listed).select("handle", "type", "type_from_list")
+    return cl.fill_type_from_list(cleaned(s, d), listed).select("handle", "type", "type_from_list")
 
 
 @query("c21_high_churn", """select handle, size='1-10' and founded>=2015 and website is null and type is null as high_churn
@@ -216,7 +216,7 @@ def c21(s, d):
 
 @query("c22_low_signal", """select handle, website is null and industry is null and name is null as low_signal from cleaned""", C, K)
 def c22(s, d):
-    return ruled(s, d).select("handle", bands.low_signal().alias("low_signal"))
+    return cleaned(s, d).select("handle", bands.low_signal().alias("low_signal"))
 
 
 @query("c23_type_from_name", """select handle,
@@ -255,5 +255,5 @@ def c25(s, d):
 @query("c26_email_domain", r"""select handle, case when not has_shared_domain then
  nullif(regexp_extract(lower(website), '^(?:https://)?(?:http://)?(?:www\.)?([^/?]*)', 1), '') end as email_domain from cleaned""", C, K)
 def c26(s, d):
-    df = cl.clean(companies(s, d))
+    df = cleaned(s, d)
     return df.select("handle", tx.email_domain("website", F.col("has_shared_domain")).alias("email_domain"))

@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 from fieldgauge import fixed_values as fv
 from fieldgauge.functions import bands
 from fieldgauge.functions.text import first_percentage, lookup
-from fieldgauge.operators import cleaning as cl, coverage as cv, profile as pr, sampling as sa
+from fieldgauge.operators import coverage as cv, profile as pr, sampling as sa
 from fieldgauge.plans.registry import TIER, TIERS, query
 from fieldgauge.plans.testbed import (BENCHMARK_CTE, BENCHMARK_SIZE_CTE, CLEANED_CTE, COMPANIES_CTE, LABELS_CTE, benchmark,
-                                      benchmark_by_size, call_log, companies, sector_labels, table)
+                                      benchmark_by_size, call_log, cleaned, companies, sector_labels, table)
 from fieldgauge.sources import benchmarks as bm, companies as src, store
 from fieldgauge.sources.workspace import new_path
 
 C, K, B, L = COMPANIES_CTE, CLEANED_CTE, BENCHMARK_CTE, LABELS_CTE
 
 
-def ruled(s, d):
-    return cl.apply_rules(companies(s, d))
+ruled = cleaned
 
 
 # -- sources and sinks ----------------------------------------------------------
@@ -190,9 +189,7 @@ def cells(s, d):
     sector) feeds both the cells and the state totals."""
     ours = cv.label_counts_to_sector(ruled(s, d), sector_labels(s), ["state"])
     totals = ours.groupBy("state").agg(F.sum("our_records").alias("our_records"))
-    b = benchmark(s, d)
-    return cv.gap_cells(b.select("state", "sector", "employers"), b.select("state", "sector", "nonemployers"),
-                        ours, totals, tiers=TIERS)
+    return cv.gap_cells(benchmark(s, d), None, ours, totals, tiers=TIERS)
 
 
 def employers_by(s, d, key):
@@ -239,8 +236,7 @@ COMBINED = f"""combined as (select *, {GAP.format(r='coverage')} as gap_tier fro
 
 def combined(s, d):
     b = benchmark(s, d).groupBy("sector").agg(F.sum("employers").alias("employers"), F.sum("nonemployers").alias("nonemployers"))
-    return cv.combined_coverage(b.select("sector", "employers"), b.select("sector", "nonemployers"),
-                                cv.label_counts_to_sector(ruled(s, d), sector_labels(s)))
+    return cv.combined_coverage(b, None, cv.label_counts_to_sector(ruled(s, d), sector_labels(s)))
 
 
 @query("j6_combined_coverage", "select * from combined", *ALL, COMBINED)

@@ -10,7 +10,7 @@ from fieldgauge.functions import bands
 from fieldgauge.functions.text import host
 from fieldgauge.operators import anomalies as an, cleaning as cl, profile as pr
 from fieldgauge.plans.registry import BAND_ORD, SEGMENT, SET_CTE, TIER, TIERS, US_CTE, VALID, query, quoted
-from fieldgauge.plans.testbed import CLEANED_CTE, COMPANIES_CTE, companies, table
+from fieldgauge.plans.testbed import CLEANED_CTE, COMPANIES_CTE, cleaned, companies, table
 
 C, K = COMPANIES_CTE, CLEANED_CTE
 BLOCKED = quoted(fv.PLATFORM_DOMAINS)
@@ -21,8 +21,8 @@ def us(s, d):
 
 
 def placed(s, d):
-    """Cleaned rows that have a state; the shared-domain flag is not needed here."""
-    return cl.apply_rules(companies(s, d)).where("state is not null")
+    """Cleaned rows that have a state."""
+    return cleaned(s, d).where("state is not null")
 
 
 @query("p1_record_counts", f"""
@@ -448,7 +448,7 @@ def p40(s, d):
 @query("p41_null_state_residue", f"""select size, count(*) as records, (select count(*) from cleaned where state is null) as total_null_state
  from cleaned where state is null and size in ({_BIG}) group by size""", C, K)
 def p41(s, d):
-    return an.null_state_residue(cl.apply_rules(companies(s, d)))
+    return an.null_state_residue(cleaned(s, d))
 
 
 def _parity_sql():

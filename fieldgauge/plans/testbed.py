@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldgauge.functions.text import lookup
+from fieldgauge.operators.cleaning import clean
+from fieldgauge.operators.scale import deal_out
+from fieldgauge.sources.workspace import materialise
 
 INDUSTRY_OF_SEGMENT = {
     "BUILDING": "construction", "FURNITURE": "retail",
@@ -17,68 +20,81 @@ SECTOR_OF_LABEL = {
 }
 
 
+# expressions both engines read alike
+_HOME = """case when c_nationkey < 8 then 'California' when c_nationkey < 13 then 'Texas'
+ when c_nationkey < 17 then 'New York' when c_nationkey < 20 then 'Florida' when c_nationkey < 22 then 'Iowa'
+ when c_nationkey < 24 then 'Vermont' else 'Alaska' end"""
+_SIZE = """case when o_totalprice < 150000 then '1-10' when o_totalprice < 250000 then '11-50'
+ when o_totalprice < 320000 then '51-200' when o_totalprice < 370000 then '201-500'
+ when o_totalprice < 410000 then '501-1K' when o_totalprice < 440000 then '1K-5K'
+ when o_totalprice < 470000 then '5K-10K' else '10K+' end"""
+_INDUSTRY = """case c_mktsegment when 'BUILDING' then 'construction' when 'FURNITURE' then 'retail'
+ when 'MACHINERY' then 'manufacturing' when 'AUTOMOBILE' then 'truck transportation'
+ else 'it services and it consulting' end"""
+_SECTOR = """case c_mktsegment when 'BUILDING' then '23' when 'FURNITURE' then '44-45'
+ when 'MACHINERY' then '31-33' when 'AUTOMOBILE' then '48-49' else '54' end"""
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _divides(n: int, k: str = "k") -> Column:
-    return F.col(k) % n == 0
-
-
-def _first(*branches, otherwise) -> Column:
-    out = F
-    for cond, value in branches:
-        out = out.when(cond, value)
-    return out.otherwise(otherwise)
-
-
 def home_state() -> Column:
-    n = F.col("c_nationkey")
-    return (F.when(n < 8, "California").when(n < 13, "Texas").when(n < 17, "New York")
-            .when(n < 20, "Florida").when(n < 22, "Iowa").when(n < 24, "Vermont").otherwise("Alaska"))
+    return F.expr(_HOME)
 
 
 def size_of_price() -> Column:
-    p = F.col("o_totalprice")
-    return (F.when(p < 150000, "1-10").when(p < 250000, "11-50").when(p < 320000, "51-200")
-            .when(p < 370000, "201-500").when(p < 410000, "501-1K").when(p < 440000, "1K-5K")
-            .when(p < 470000, "5K-10K").otherwise("10K+"))
+    return F.expr(_SIZE)
 
 
 def industry_of_segment() -> Column:
-    return F.coalesce(lookup(INDUSTRY_OF_SEGMENT, F.col("c_mktsegment")), F.lit("it services and it consulting"))
+    return F.expr(_INDUSTRY)
 
 
-def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One company per order. Join sides are left to Spark's size estimates and
+def companies(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """One company per order; ``dealt`` spreads a small scan over the cores for
+    costly row work. Join sides are left to Spark's size estimates and
     to adaptive skew handling: a customer may own a third of the orders."""
-    base = (table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders")
+    base = (orders
             .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
             .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .withColumn("k", F.col("o_orderkey")))
-    ks = F.col("k").cast("string")
-    name = F.col("c_name")
-    d = _divides
-    return base.select(
-        F.concat(F.lit("company/"), ks).alias("handle"),
-        _first((d(97), "n/a"), (d(89), "x"), (d(37), F.concat(F.lit("City of "), "n_name")),
-               (d(31), F.concat(name, F.lit(" Foundation"))), (d(29), F.concat(name, F.lit(" LLP"))),
-               (d(4), F.concat(name, F.lit(" Inc"))), otherwise=name).alias("name"),
-        _first((d(5), None), (d(17), "https://www.facebook.com/p"), (d(19), "weebly.com"),
-               (d(23), "http://foo.wixsite.com/p"), (d(43), "www"), (d(47), "https://d1.k12.ny.us"),
-               (d(53), "betterhealth.vic.gov.au"), (d(13), "http://chain.example.com"),
-               otherwise=F.concat(F.lit("https://www.c"), ks, F.lit(".example.com/about"))).alias("website"),
-        F.when(d(11), None).otherwise(industry_of_segment()).alias("industry"),
-        F.when(d(20), None).otherwise(size_of_price()).alias("size"),
-        F.when(F.col("o_orderstatus") == "F", None).when(F.col("o_orderstatus") == "O", "Privately Held")
-        .otherwise("Nonprofit").alias("type"),
-        _first((d(7), None), (d(101), 1212), otherwise=F.year("o_orderdate") + 20).cast("bigint").alias("founded"),
-        _first((d(59), "New"), (d(61), "Ny"),
-               otherwise=F.concat(F.lit("City "), (F.col("o_custkey") % 40).cast("string"))).alias("city"),
-        _first((d(59), "York"), (d(67), "Tx Texas"), (d(71), "Flrida"), (d(73), "District Of Columbia"),
-               (d(79), "N.Y."), (d(83), "Ontario"), (d(41), None), otherwise=home_state()).alias("state"),
-        F.when(d(91), "CA").otherwise("US").alias("country_code"),
-    )
+    view = base.selectExpr(
+        "concat('company/', k) as handle",
+        """case when k % 97 = 0 then 'n/a' when k % 89 = 0 then 'x' when k % 37 = 0 then concat('City of ', n_name)
+         when k % 31 = 0 then concat(c_name, ' Foundation') when k % 29 = 0 then concat(c_name, ' LLP')
+         when k % 4 = 0 then concat(c_name, ' Inc') else c_name end as name""",
+        """case when k % 5 = 0 then null when k % 17 = 0 then 'https://www.facebook.com/p' when k % 19 = 0 then 'weebly.com'
+         when k % 23 = 0 then 'http://foo.wixsite.com/p' when k % 43 = 0 then 'www' when k % 47 = 0 then 'https://d1.k12.ny.us'
+         when k % 53 = 0 then 'betterhealth.vic.gov.au' when k % 13 = 0 then 'http://chain.example.com'
+         else concat('https://www.c', k, '.example.com/about') end as website""",
+        f"case when k % 11 = 0 then null else {_INDUSTRY} end as industry",
+        f"case when k % 20 = 0 then null else {_SIZE} end as size",
+        "case o_orderstatus when 'F' then null when 'O' then 'Privately Held' else 'Nonprofit' end as type",
+        "cast(case when k % 7 = 0 then null when k % 101 = 0 then 1212 else year(o_orderdate) + 20 end as bigint) as founded",
+        "case when k % 59 = 0 then 'New' when k % 61 = 0 then 'Ny' else concat('City ', o_custkey % 40) end as city",
+        f"""case when k % 59 = 0 then 'York' when k % 67 = 0 then 'Tx Texas' when k % 71 = 0 then 'Flrida'
+         when k % 73 = 0 then 'District Of Columbia' when k % 79 = 0 then 'N.Y.' when k % 83 = 0 then 'Ontario'
+         when k % 41 = 0 then null else {_HOME} end as state""",
+        "case when k % 91 = 0 then 'CA' else 'US' end as country_code")
+    return deal_out(view, orders) if dealt else view
+
+
+_STAGES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table several queries start from, written once per application to the
+    shared folder and read back with pruning and pushdown."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGES:
+        _STAGES[key] = materialise(build(spark, sf_dir))
+    return _STAGES[key]
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned company table as a stored stage."""
+    return stage(spark, sf_dir, "cleaned", lambda s, d: clean(companies(s, d, dealt=True)))
 
 
 def sector_labels(spark: SparkSession) -> DataFrame:
@@ -124,19 +140,6 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- SQL side ---------------------------------------------------------------
 
-_HOME = """case when c_nationkey < 8 then 'California' when c_nationkey < 13 then 'Texas'
- when c_nationkey < 17 then 'New York' when c_nationkey < 20 then 'Florida' when c_nationkey < 22 then 'Iowa'
- when c_nationkey < 24 then 'Vermont' else 'Alaska' end"""
-_SIZE = """case when o_totalprice < 150000 then '1-10' when o_totalprice < 250000 then '11-50'
- when o_totalprice < 320000 then '51-200' when o_totalprice < 370000 then '201-500'
- when o_totalprice < 410000 then '501-1K' when o_totalprice < 440000 then '1K-5K'
- when o_totalprice < 470000 then '5K-10K' else '10K+' end"""
-_INDUSTRY = """case c_mktsegment when 'BUILDING' then 'construction' when 'FURNITURE' then 'retail'
- when 'MACHINERY' then 'manufacturing' when 'AUTOMOBILE' then 'truck transportation'
- else 'it services and it consulting' end"""
-_SECTOR = """case c_mktsegment when 'BUILDING' then '23' when 'FURNITURE' then '44-45'
- when 'MACHINERY' then '31-33' when 'AUTOMOBILE' then '48-49' else '54' end"""
-
 COMPANIES_CTE = f"""companies as (
  select 'company/' || k as handle,
   case when k%97=0 then 'n/a' when k%89=0 then 'x' when k%37=0 then 'City of ' || n_name
