@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldgauge import fixed_values as fv
-from fieldgauge.functions.text import col, similarity
+from fieldgauge.functions.text import col, literal, similarity
 from fieldgauge.operators.scale import small_rows
 
 
@@ -122,14 +122,18 @@ def snap_overlap(texts: DataFrame, labels: DataFrame, text: str = "text", at: fl
 
 
 def snap_edit(texts: DataFrame, labels: DataFrame, text: str = "text", at: float = 0.45) -> DataFrame:
-    """Closest label by edit similarity. The small taxonomy is a literal array,
-    so each text is scored where it stands and nothing is joined or shuffled."""
+    """Closest label by edit similarity, NULL where it stays below ``at``. The
+    small taxonomy is a literal array, so each text is scored where it stands.
+    The texts are dealt over all cores first: they are few bytes but much work,
+    which size-based partition merging would put into one task. No row filter is
+    applied here, since it would be pushed down and the scoring done twice."""
     known = small_rows(labels.select("label", "pos").orderBy("pos"), "label taxonomy")
-    arr = F.lit([r["label"] for r in known])
+    arr = F.expr("array(" + ", ".join(literal(r["label"]) for r in known) + ")")
     best = F.array_max(F.transform(arr, lambda l, i: F.struct(
         similarity(F.col(text), l).alias("score"), (-i).alias("order"), l.alias("label"))))
-    return (texts.select(text, best.alias("_b")).where(F.col("_b.score") >= at)
-            .select(text, F.col("_b.label").alias("label"), F.col("_b.score").alias("score")))
+    dealt = texts.select(text).repartition(texts.sparkSession.sparkContext.defaultParallelism)
+    return dealt.select(text, best.alias("_b")).select(
+        text, F.when(F.col("_b.score") >= at, F.col("_b.label")).alias("label"), F.col("_b.score").alias("score"))
 
 
 def snap_cascade(texts: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = fv.KEYWORD_LABELS,

@@ -192,7 +192,7 @@ def l4(s, d):
 
 _EDIT = """edit as (select text, label, score from (select text, label, score, row_number() over (partition by text order by score desc, pos) as rn
  from (select text, label, pos, 1e0 - levenshtein(text, label)/cast(greatest(length(text), length(label)) as double) as score from texts cross join tax))
- where rn = 1 and score >= 0.45)"""
+ where rn = 1)"""
 
 
 @query("l5_edit_distance", "select text, label, score from edit", _TAX, _RAW, _TEXTS, _EDIT)
