@@ -190,7 +190,7 @@ def l4(s, d):
     return lb.snap_overlap(texts(s, d), taxonomy(s, d))
 
 
-_EDIT = """edit as (select text, label, score from (select text, label, score, row_number() over (partition by text order by score desc, pos) as rn
+_EDIT = """edit as (select text, case when score >= 0.45 then label end as label, score from (select text, label, score, row_number() over (partition by text order by score desc, pos) as rn
  from (select text, label, pos, 1e0 - levenshtein(text, label)/cast(greatest(length(text), length(label)) as double) as score from texts cross join tax))
  where rn = 1)"""
 

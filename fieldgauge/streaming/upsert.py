@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldgauge.sources.store import VersionedStore
 
 
-def newest_per_key(batch: DataFrame, key: str, order: Column) -> DataFrame:
-    """Last row per key of a batch. A hot key folds map-side."""
-    cols = [c for c in batch.columns]
-    return (batch.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_r"))
-            .select("_r.*"))
+def newest_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
+    """Last row per key of a batch by ``order``, which is then dropped. A hot key
+    folds map-side."""
+    keep = [c for c in batch.columns if c != order]
+    return batch.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*keep), order).alias("_r")).select("_r.*")
 
 
-def stream_upsert(stream: DataFrame, store: VersionedStore, order: Column, checkpoint: str) -> StreamingQuery:
-    """Apply every micro-batch to the store under its batch id, so a replayed
-    batch rewrites its own version from the one before and nothing counts twice."""
+def stream_upsert(stream: DataFrame, store: VersionedStore, order: str, checkpoint: str,
+                  first_version: int = 0) -> StreamingQuery:
+    """Apply every micro-batch to the store under a version tied to its batch id,
+    so a replayed batch rewrites its own version from the one before it and
+    nothing counts twice."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        store.apply(newest_per_key(batch, store.key, order), version=batch_id)
+        store.apply(newest_per_key(batch, store.key, order), version=first_version + batch_id)
 
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
