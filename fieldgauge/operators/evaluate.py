@@ -75,12 +75,18 @@ def prf(counts: DataFrame, places: int | None = 3) -> DataFrame:
     return counts.withColumns({"precision": rounded(p), "recall": rounded(r), "f1": rounded(f1)})
 
 
-def macro(per_field: DataFrame, places: int | None = 3) -> DataFrame:
-    """Means over fields that have a value; F1 comes from the two means."""
+def macro(per_field: DataFrame, places: int | None = 3, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """Means over the fields that have a value, added in a fixed order so the
+    result does not depend on the order rows arrive in; F1 comes from the two means."""
     def rounded(c: Column) -> Column:
         return c if places is None else F.round(c, places)
 
-    m = per_field.agg(rounded(F.avg("precision")).alias("macro_precision"), rounded(F.avg("recall")).alias("macro_recall"))
+    def mean(metric: str) -> Column:
+        cells = [F.max(F.when(F.col("field") == f, F.col(metric))) for f in fields]
+        total = sum((F.coalesce(c, F.lit(0.0)) for c in cells[1:]), F.coalesce(cells[0], F.lit(0.0)))
+        return bands.ratio(total, F.count(metric))
+
+    m = per_field.agg(rounded(mean("precision")).alias("macro_precision"), rounded(mean("recall")).alias("macro_recall"))
     p, r = F.col("macro_precision"), F.col("macro_recall")
     return m.withColumn("macro_f1", rounded(bands.ratio(2 * p * r, p + r)))
 

@@ -77,5 +77,7 @@ def left_lookup(big: DataFrame, side: DataFrame, key: str, row_key: str, weight:
            .withColumn("_jk", F.when(answered, "").otherwise(F.col(key)))
            .withColumn("_js", F.when(answered, F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int")).otherwise(-1)))
     out = out.join(cold, (F.col("_jk") == F.col("_ck")) & (F.col("_js") == F.col("_cs")), "left")
-    found = [F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values]
+    # a keyless group in the side table answers nobody; it is blanked here, not
+    # filtered, because a filter on the key would be pushed down and re-derive it
+    found = [F.when(F.col(key) != "", F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}"))).alias(v) for v in values]
     return out.select(*big.columns, *found)

@@ -43,7 +43,7 @@ def e3(s, d):
 
 @query("e4_verdicts", "select handle, verdict, gone as dropped, e_candidate_website as candidate_website from evd", *E)
 def e4(s, d):
-    return traced(s, d).select("handle", "verdict", "dropped", F.col("ev.candidate_website").alias("candidate_website"))
+    return traced(s, d).select("handle", "verdict", "dropped", F.col("found_website").alias("candidate_website"))
 
 
 @query("e5_type_fill", "select handle, t_val, t_conf from merged", *E)
@@ -371,10 +371,15 @@ def v5(s, d):
     return el.prf(el.confusion(pairs(s, d), ("segment", "field")), places=None)
 
 
-@query("v6_macro", f"""select round(p, 3) as macro_precision, round(r, 3) as macro_recall, round(2*round(p,3)*round(r,3)/(round(p,3)+round(r,3)), 3) as macro_f1 from (
- select avg(round(precision, 3)) as p, avg(round(recall, 3)) as r from ({_PRF} from (select field, {_CONF} from pairs group by field)))""", *V)
+def _mean(metric):
+    total = " + ".join(f"coalesce(max(case when field='{f}' then {metric} end), 0)" for f in F4)
+    return f"({total})/nullif(cast(count({metric}) as double), 0)"
+
+
+@query("v6_macro", f"""select p as macro_precision, r as macro_recall, 2*p*r/nullif(p+r, 0) as macro_f1 from (
+ select {_mean('precision')} as p, {_mean('recall')} as r from ({_PRF} from (select field, {_CONF} from pairs group by field)))""", *V)
 def v6(s, d):
-    return el.macro(el.prf(el.confusion(pairs(s, d))))
+    return el.macro(el.prf(el.confusion(pairs(s, d)), places=None), places=None)
 
 
 @query("v7_ordinal_error", """select count(*) as mismatches, count(*) filter (distance <= 1) as within_one, count(*) filter (distance <= 1)/cast(count(*) as double) as within_one_rate,

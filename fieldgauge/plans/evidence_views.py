@@ -78,16 +78,23 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = sample_conditions()
     cond = F.when(met["missing_website"], "missing_website").when(met["platform_url"], "platform_url").when(
         met["missing_industry"], "missing_industry").otherwise("none")
-    return companies(spark, sf_dir).withColumns({"poc_segment": bands.segment(), "poc_condition": cond})
+    return companies(spark, sf_dir, dealt=True).withColumns({"poc_segment": bands.segment(), "poc_condition": cond})
+
+
+TRACE = ("needs_search", "website_rules_flag", "website_corrupted", "gated", "verdict", "dropped", "t_val", "t_conf",
+         "verified", "w_conf1", "s_val", "s_conf", "uncertain")
 
 
 def traced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.resolve(entities(spark, sf_dir), evidence(spark, sf_dir), trace=True)
+    """Resolved rows with the working columns of every step, as a stored stage."""
+    def build(s: SparkSession, d: str) -> DataFrame:
+        rows = ev.resolve(entities(s, d), evidence(s, d), trace=True)
+        return rows.select(*ev.OUTPUT, *TRACE, F.col("ev.candidate_website").alias("found_website"))
+    return stage(spark, sf_dir, "resolved", build)
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resolved rows as a stored stage."""
-    return stage(spark, sf_dir, "enriched", lambda s, d: ev.resolve(entities(s, d), evidence(s, d)))
+    return traced(spark, sf_dir).select(*ev.OUTPUT)
 
 
 # -- SQL side -----------------------------------------------------------------
