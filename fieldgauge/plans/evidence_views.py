@@ -65,7 +65,7 @@ def per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    base = per_order(spark, sf_dir)
+    base = stage(spark, sf_dir, "per_order", per_order)
     out = {}
     for name, cols in VIEWS.items():
         rows = base.where(KEPT[name]) if KEPT[name] else base
