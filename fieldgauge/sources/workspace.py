@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_LOCAL: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``. A temporary
-    folder stands in only for a local master with no such setting."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset, a folder in the warehouse, which
+    the driver and all executors share as well."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="fieldgauge-"))
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, removed when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(hadoop).deleteOnExit(place)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
