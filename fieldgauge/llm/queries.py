@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from fieldgauge.llm import exact_dedup, mixing  # noqa: F401
+from fieldgauge.llm import chat, exact_dedup, mixing, packing  # noqa: F401
 from fieldgauge.llm.common import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
