@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from fieldgauge.llm import chat, exact_dedup, kmeans_dedup, mixing, packing, secrets, simhash, toxicity  # noqa: F401
+from fieldgauge.llm import chat, exact_dedup, kmeans_dedup, mixing, packing, pii, secrets, simhash, toxicity  # noqa: F401
 from fieldgauge.llm.common import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
