@@ -46,27 +46,29 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     keys = here.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     linked = here.join(keys, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("parent") == F.col("_n")), "left")
     # up: the message reached so far; depth and total: of the way to it, itself left out
-    reach = [materialise(linked.select("tree", "node", F.col("_n").alias("up"), F.lit(1).cast("bigint").alias("depth"), F.col("score").alias("total")))]
-    while not reach[-1].where("up is not null").isEmpty():
-        if len(reach) > 1 and reach[-1].where("up is not null").agg(F.count("*")).first()[0] == reach[-2].where("up is not null").agg(F.count("*")).first()[0]:
-            break  # only cycles are left
-        now = reach[-1]
-        far = now.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("total").alias("_s"))
-        reach.append(materialise(
-            now.join(far, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_n")), "left")
-            .select("tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
-                    (F.col("total") + F.coalesce("_s", F.lit(0.0))).alias("total"))))
-    whole = reach[-1].where("up is null")
+    state = ["tree", "node", "up", "depth", "total"]
+    start = materialise(linked.select("tree", "node", F.col("_n").alias("up"), F.lit(1).cast("bigint").alias("depth"), F.col("score").alias("total")))
+    done, reach = start.where("up is null"), [start.where("up is not null")]
+    open_, before = reach[0].count(), None
+    while open_ and open_ != before:  # as many as before: only cycles are left
+        now = reach[-1]  # messages whose way to the root is known stay out of further joins
+        far = now.unionByName(done).select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("total").alias("_s"))
+        step = materialise(now.join(far, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_n")))
+                           .select("tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("total") + F.col("_s")).alias("total")))
+        done = done.unionByName(step.where("up is null"))
+        reach.append(step.where("up is not null").select(*state))
+        open_, before = reach[-1].count(), open_
+    whole = done
     parents = linked.where("_n is not null").select(F.col("tree").alias("_t"), F.col("parent").alias("_n")).distinct()
     leaves = whole.join(parents, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
-    paths = (leaves.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= branches)
+    paths = materialise(leaves.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= branches)
              .select("tree", F.col("node").alias("leaf"), "node", "depth"))
-    for k in reversed(range(len(reach) - 1)):  # each distance is one sum of powers of two, so no message comes twice
-        jump = reach[k].where("up is not null").select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"))
+    for k in reversed(range(len(reach))):  # each distance is one sum of powers of two, so no message comes twice
+        jump = reach[k].select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"))
         up = (paths.join(jump, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
               .select("tree", "leaf", F.col("_up").alias("node"), (F.col("depth") - 2 ** k).alias("depth")))
-        paths = paths.unionByName(up)
+        paths = materialise(paths.unionByName(up))
     return paths
 
 
@@ -124,7 +126,7 @@ def op6_chat_formatting(spark, sf_dir):
     own = r"\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
         spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id bigint, turn bigint, role string, text string"))
-    out = format_trees(conversation_trees(rows)).withColumn("turns", read_back(F.col("formatted")))
+    out = format_trees(materialise(conversation_trees(rows))).withColumn("turns", read_back(F.col("formatted")))
     out = out.withColumn("spans", loss_spans(F.col("turns")))
     masked = F.transform("spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
     out = out.withColumn("loss", F.array_join(masked, ""))
