@@ -38,8 +38,10 @@ from fieldgauge.sources.workspace import materialise, new_path
 
 K = 5
 HISTORY_SHARE = 1e-6
-BLOCK_TOKENS = 2_000_000
-BUCKET_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_000_000
+BLOCK_DOCS = 16_000   # twice a document's number is a 16-bit integer
+BUCKET_TOKENS = 3_000_000
+SLICES = 16
 HELD = (7, 2)
 END = np.int64(zlib.crc32(b"end of text") + (1 << 40))
 START_CLASS, RARE_CLASS, FIRST_CLASS = 0, 1, 2
@@ -101,6 +103,13 @@ def _numbers(raw: bytes) -> np.ndarray:
     return out
 
 
+def _documents(batch: pa.RecordBatch, size: int = 256):
+    """(doc_id, text) of a batch, a few hundred rows at a time as Python values."""
+    for i in range(0, batch.num_rows, size):
+        part = batch.slice(i, size)
+        yield from zip(part.column(0).to_pylist(), texts_of(part))
+
+
 def _count_words(batches):
     """(word, n) of training documents, summed within a few batches."""
     def flush():
@@ -108,7 +117,7 @@ def _count_words(batches):
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["word", "n"])
     parts, size = [], 0
     for batch in batches:
-        for doc_id, raw in zip(batch.column(0).to_pylist(), texts_of(batch)):
+        for doc_id, raw in _documents(batch):
             if not held_out(doc_id):
                 parts.append(_numbers(raw))
                 size += len(parts[-1])
@@ -119,7 +128,7 @@ def _count_words(batches):
         yield flush()
 
 
-_SENT = ("bucket int, block bigint, w array<bigint>, pairs array<int>, h array<int>, entries array<int>, doc array<int>, "
+_SENT = ("bucket int, block bigint, w array<bigint>, pairs array<int>, h array<int>, entries array<int>, doc array<smallint>, "
          "ids array<bigint>, tokens array<int>")
 
 
@@ -160,7 +169,7 @@ def _send(words: Words, buckets: int):
         head[1:] = len(ids)                                    # the block's documents travel with its first row
         yield pa.RecordBatch.from_arrays(
             [pa.array(bucket[at_b], pa.int32()), pa.array(np.full(k, block), pa.int64()), _lists(w[at_w], ends_w, pa.int64()),
-             _lists(pairs, ends_w, pa.int32()), _lists(h[at_p], ends_p, pa.int32()), _lists(entries, ends_p, pa.int32()), _lists(doc, cut, pa.int32()),
+             _lists(pairs, ends_w, pa.int32()), _lists(h[at_p], ends_p, pa.int32()), _lists(entries, ends_p, pa.int32()), _lists(doc, cut, pa.int16()),
              pa.ListArray.from_arrays(pa.array(head, pa.int32()), pa.array(ids, pa.int64())), pa.ListArray.from_arrays(pa.array(head, pa.int32()), pa.array(n, pa.int32()))],
             names=["bucket", "block", "w", "pairs", "h", "entries", "doc", "ids", "tokens"])
 
@@ -170,12 +179,12 @@ def _send(words: Words, buckets: int):
         docs, lengths, size, block = [], [], 0, TaskContext.get().partitionId() << 32
         meta.clear()
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), texts_of(batch)):
+            for doc_id, raw in _documents(batch):
                 docs.append(_numbers(raw))
                 lengths.append(len(docs[-1]))
                 meta.append((doc_id, held_out(doc_id)))
                 size += lengths[-1]
-                if size >= BLOCK_TOKENS:
+                if size >= BLOCK_TOKENS or len(docs) >= BLOCK_DOCS:
                     yield from block_rows(block, docs, lengths)
                     docs, lengths, size, block = [], [], 0, block + 1
                     meta.clear()
@@ -185,12 +194,12 @@ def _send(words: Words, buckets: int):
 
 
 _MET = ("kind string, block bigint, doc array<int>, fixed array<double>, base array<double>, known array<int>, seen array<int>, "
-        "event_h array<int>, event_doc array<int>, ids array<bigint>, tokens array<int>, w array<bigint>, h array<int>, r array<int>, "
+        "event_h array<int>, event_doc array<int>, ids array<bigint>, tokens array<int>, w array<bigint>, pairs array<int>, h array<int>, r array<int>, "
         "ns array<int>, covered array<double>")
 _MET_SCHEMA = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("doc", pa.list_(pa.int32())), ("fixed", pa.list_(pa.float64())),
                          ("base", pa.list_(pa.float64())), ("known", pa.list_(pa.int32())), ("seen", pa.list_(pa.int32())),
                          ("event_h", pa.list_(pa.int32())), ("event_doc", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())),
-                         ("tokens", pa.list_(pa.int32())), ("w", pa.list_(pa.int64())), ("h", pa.list_(pa.int32())), ("r", pa.list_(pa.int32())),
+                         ("tokens", pa.list_(pa.int32())), ("w", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int32())), ("h", pa.list_(pa.int32())), ("r", pa.list_(pa.int32())),
                          ("ns", pa.list_(pa.int32())), ("covered", pa.list_(pa.float64()))])
 
 
@@ -216,93 +225,101 @@ def _meet(words: Words):
     logs = np.log10(np.maximum(words.histories, 1))
 
     def run(_, group):
-        w, per_row_w = _flat(group.column("w"))
+        word, _ = _flat(group.column("w"))
         pairs, _ = _flat(group.column("pairs"))
         h, per_row = _flat(group.column("h"))
         entries, _ = _flat(group.column("entries"))
-        doc, _ = _flat(group.column("doc"))
-        w = np.repeat(w, pairs)
-        row = np.repeat(np.arange(group.num_rows), per_row)
-        first = np.r_[0, np.cumsum(entries)[:-1]]
-        trained = np.add.reduceat((doc & 1) == 0, first, dtype=np.int64)
-        order = np.lexsort((h, w))
-        new_w = np.r_[True, w[order][1:] != w[order][:-1]]
-        new_p = new_w | np.r_[True, h[order][1:] != h[order][:-1]]
-        at = np.flatnonzero(new_p)
-        r_each = np.add.reduceat(trained[order], at)
-        c_word = np.add.reduceat(trained[order], np.flatnonzero(new_w))
-        c_each = np.repeat(c_word, np.diff(np.r_[np.searchsorted(at, np.flatnonzero(new_w)), len(at)]))
-        w_each, h_each = w[order][at], h[order][at]
-        place = words.place(w_each)
-        if len(words.counts):
-            c_each = np.where(place >= 0, words.counts[np.maximum(place, 0)], c_each)
-        p_each = words.unigram(c_each)
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new_p) - 1
-        r, c = r_each[of], c_each[of]
-        seen = r > 0
-        count = np.where(r > K, r - 0.5, np.maximum(r, 1))
-        fixed = np.where(seen, np.log10(count) - logs[h], np.log10(p_each[of]))
-        # per document of each row
-        e_row, e_of = np.repeat(row, entries), np.repeat(np.arange(len(w)), entries)
-        key, inverse = np.unique(e_row * (1 << 32) + doc, return_inverse=True)
-        add = lambda x: np.bincount(inverse, x[e_of], len(key))
-        k_row, k_doc = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+        doc, per_entry = _flat(group.column("doc"))
+        w = np.repeat(word, pairs)
+        row = np.repeat(np.arange(group.num_rows, dtype=np.int32), per_row)
+        first = np.r_[0, np.cumsum(entries, dtype=np.int64)[:-1]]
+        # a slot for each document of each row
+        ends = np.r_[0, np.cumsum(per_entry)]
+        room = np.array([int(doc[a:b].max()) + 1 if b > a else 0 for a, b in zip(ends, ends[1:])])
+        offset = np.r_[0, np.cumsum(room)]
+        slots = int(offset[-1])
+        fixed, base = np.zeros(slots), np.zeros(slots)
+        known, there, times = np.zeros(slots, np.int32), np.zeros(slots, bool), np.zeros((slots, K), np.int32)
+        events, histories, table_w, table_n, table_h, table_r = [], [], [], [], [], []
+        slice_of = ((w ^ (w >> np.int64(23))) & (SLICES - 1)).astype(np.int8)
+        for s in range(SLICES):                                # a part of the words at a time keeps arrays short
+            at = np.flatnonzero(slice_of == s)
+            if not len(at):
+                continue
+            n = entries[at].astype(np.int64)
+            begin = np.r_[0, np.cumsum(n)[:-1]]
+            pick = np.repeat(first[at] - begin, n) + np.arange(n.sum())
+            trained = np.add.reduceat((doc[pick] & 1) == 0, begin, dtype=np.int64)
+            ws, hs = w[at], h[at]
+            order = np.lexsort((hs, ws))
+            new_w = np.r_[True, ws[order][1:] != ws[order][:-1]]
+            new_p = new_w | np.r_[True, hs[order][1:] != hs[order][:-1]]
+            cut_p, cut_w = np.flatnonzero(new_p), np.flatnonzero(new_w)
+            r_each = np.add.reduceat(trained[order], cut_p)
+            c_word = np.add.reduceat(trained[order], cut_w)
+            to_word = np.cumsum(new_w)[cut_p] - 1
+            w_each, h_each, c_each = ws[order][cut_p], hs[order][cut_p], c_word[to_word]
+            if len(words.counts):
+                place = words.place(w_each)
+                c_each = np.where(place >= 0, words.counts[np.maximum(place, 0)], c_each)
+            p_each = words.unigram(c_each)
+            of = np.empty(len(order), np.int64)
+            of[order] = np.cumsum(new_p) - 1
+            r, c = r_each[of], c_each[of]
+            worth = np.where(r > 0, np.log10(np.where(r > K, r - 0.5, np.maximum(r, 1))) - logs[hs], np.log10(p_each[of]))
+            e_of = np.repeat(np.arange(len(at)), n)
+            slot = offset[row[at]][e_of] + doc[pick]
+            there[slot] = True
+            fixed += np.bincount(slot, worth[e_of], slots)
+            base += np.bincount(slot, np.log10(c + 1.0)[e_of], slots)
+            known += np.bincount(slot[c[e_of] > 0], minlength=slots).astype(np.int32)
+            for k in range(1, K + 1):
+                times[:, k - 1] += np.bincount(slot[r[e_of] == k], minlength=slots).astype(np.int32)
+            open_ = r[e_of] == 0
+            events.append((row[at][e_of[open_]], hs[e_of[open_]], doc[pick[open_]]))
+            ok = r_each > 0
+            hist, inv = np.unique(h_each[ok], return_inverse=True)
+            ns = np.bincount(inv * NS + np.minimum(r_each[ok], NS) - 1, minlength=len(hist) * NS)
+            histories.append((hist, ns, np.bincount(inv, p_each[ok], len(hist))))
+            kept_w, n_w = np.unique(to_word[ok], return_counts=True)
+            table_w.append(ws[order][cut_w][kept_w]), table_n.append(n_w)
+            table_h.append(h_each[ok]), table_r.append(r_each[ok])
+        slot = np.flatnonzero(there)
+        k_row = np.searchsorted(offset, slot, "right") - 1
         cut = np.searchsorted(k_row, np.arange(group.num_rows + 1))
-        low = np.where(seen & (r <= K), r, 0)[e_of]
-        times = np.bincount(inverse * (K + 1) + low, minlength=len(key) * (K + 1)).reshape(-1, K + 1)[:, 1:]
-        open_ = ~seen[e_of]
-        cut_open = np.searchsorted(e_row[open_], np.arange(group.num_rows + 1))
-        part = {"block": group.column("block"), "doc": _lists(k_doc, cut, pa.int32()), "fixed": _lists(add(fixed), cut, pa.float64()),
-                "base": _lists(add(np.log10(c + 1.0)), cut, pa.float64()), "known": _lists(add((c > 0).astype(float)).astype(np.int32), cut, pa.int32()),
-                "seen": _lists(times.astype(np.int32).ravel(), cut * K, pa.int32()),
-                "event_h": _lists(h[e_of[open_]], cut_open, pa.int32()), "event_doc": _lists(doc[open_], cut_open, pa.int32()),
+        ev_row, ev_h, ev_doc = (np.concatenate(x) for x in zip(*events))
+        order = np.argsort(ev_row, kind="stable")
+        cut_open = np.searchsorted(ev_row[order], np.arange(group.num_rows + 1))
+        part = {"block": group.column("block"), "doc": _lists(slot - offset[k_row], cut, pa.int32()), "fixed": _lists(fixed[slot], cut, pa.float64()),
+                "base": _lists(base[slot], cut, pa.float64()), "known": _lists(known[slot], cut, pa.int32()), "seen": _lists(times[slot].ravel(), cut * K, pa.int32()),
+                "event_h": _lists(ev_h[order], cut_open, pa.int32()), "event_doc": _lists(ev_doc[order], cut_open, pa.int32()),
                 "ids": group.column("ids"), "tokens": group.column("tokens")}
         part = {k: _whole(v) for k, v in part.items()}
-        ok = r_each > 0
-        hist, inv = np.unique(h_each[ok], return_inverse=True)
-        ns = np.bincount(inv * NS + np.minimum(r_each[ok], NS) - 1, minlength=len(hist) * NS)
-        covered = np.bincount(inv, p_each[ok], len(hist))
-        one = lambda x, t: pa.array([x], pa.list_(t))
+        one = lambda x, t: pa.array([np.concatenate(x)], pa.list_(t))
+        hist, ns, covered = zip(*histories)
         return pa.Table.from_batches([
             _rows("documents", part, group.num_rows),
             _rows("histories", {"h": one(hist, pa.int32()), "ns": one(ns, pa.int32()), "covered": one(covered, pa.float64())}, 1),
-            _rows("pairs", {"w": one(w_each[ok], pa.int64()), "h": one(h_each[ok], pa.int32()), "r": one(r_each[ok], pa.int32())}, 1)])
+            _rows("pairs", {"w": one(table_w, pa.int64()), "pairs": one(table_n, pa.int32()), "h": one(table_h, pa.int32()), "r": one(table_r, pa.int32())}, 1)])
     return run
 
 
 def _settle(d: np.ndarray, alpha: np.ndarray, per_token: float):
-    """(block, doc, ...) sums of one part of each document's tokens, and the documents themselves."""
+    """All parts of one block: a row for each document. Opens what was left open."""
     log_d, log_a = np.log10(d), np.log10(alpha)
 
-    def run(batches):
-        for batch in batches:
-            col = lambda n: batch.column(batch.schema.get_field_index(n))
-            blocks = col("block").to_numpy()
-            doc, per_row = _flat(col("doc"))
-            block = np.repeat(blocks, per_row)
-            fixed, base, known = (_flat(col(c))[0] for c in ("fixed", "base", "known"))
-            score = fixed + _flat(col("seen"))[0].reshape(-1, K) @ log_d
-            event_h, per_event = _flat(col("event_h"))
-            event_doc, _ = _flat(col("event_doc"))
-            rows = np.repeat(np.arange(len(blocks)), per_event)
-            starts = np.r_[0, np.cumsum(per_row)]
-            for i in np.unique(rows):
-                mine = rows == i
-                a, b = starts[i], starts[i + 1]
-                score[a:b] += np.bincount(np.searchsorted(doc[a:b], event_doc[mine]), log_a[event_h[mine]], b - a)
-            n = len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array((doc >> 1).astype(np.int32)), pa.array(score), pa.array(base), pa.array(known.astype(np.int64)),
-                                              pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(np.zeros(n, np.int64))], names=names)
-            ids = col("ids")
-            tokens, per_id = _flat(col("tokens"))
-            m = len(tokens)
-            number = np.arange(m) - np.repeat(np.r_[0, np.cumsum(per_id)[:-1]], per_id) if m else np.zeros(0, int)
-            flat = ids.flatten()
-            zero = np.zeros(m)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(blocks, per_id)), pa.array(number.astype(np.int32)), pa.array(zero), pa.array(per_token * tokens), pa.array(zero.astype(np.int64)),
-                                              flat, pa.array([held_out(i) for i in flat.to_pylist()], pa.bool_()), pa.array(tokens.astype(np.int64))], names=names)
-    names = ["block", "doc", "score", "base", "known", "doc_id", "held_out", "n_tokens"]
+    def run(_, group):
+        ids = _whole(group.column("ids")).flatten().to_pylist()
+        tokens, _ = _flat(group.column("tokens"))
+        n = len(tokens)
+        doc, _ = _flat(group.column("doc"))
+        fixed, base, known = (_flat(group.column(c))[0] for c in ("fixed", "base", "known"))
+        event_h, _ = _flat(group.column("event_h"))
+        event_doc, _ = _flat(group.column("event_doc"))
+        part = fixed + _flat(group.column("seen"))[0].reshape(-1, K) @ log_d
+        score = np.bincount(doc >> 1, part, n) + np.bincount(event_doc >> 1, log_a[event_h], n)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids], pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()),
+                         "n_known": pa.array(np.bincount(doc >> 1, known, n).astype(np.int64)), "base_score": np.bincount(doc >> 1, base, n) + per_token * tokens, "score": score})
     return run
 
 
@@ -331,10 +348,8 @@ def score_texts(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, history_sha
     alpha[at] = left / words.histories[at] / np.maximum(1 - np.array(hist["covered"]), 1e-12)
     per_token = -np.log10(total + have["types"] + 1)
     parts = met.where("kind = 'documents'").select("block", "doc", "fixed", "base", "known", "seen", "event_h", "event_doc", "ids", "tokens")
-    sums = parts.mapInArrow(_settle(d, alpha, per_token), "block bigint, doc int, score double, base double, known bigint, doc_id bigint, held_out boolean, n_tokens bigint")
-    return (sums.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
-                                             F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-            .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score"))
+    scored = parts.groupBy("block").applyInArrow(_settle(d, alpha, per_token), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 @query("op3_katz_scores")
