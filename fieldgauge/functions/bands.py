@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from fieldgauge.functions.space import strip
 from fieldgauge import fixed_values as fv
 from fieldgauge.config import GapTiers, VolumeTiers
 from fieldgauge.functions.text import col, lookup
@@ -69,5 +70,5 @@ def implausible_size() -> Column:
 def low_signal() -> Column:
     """No website, no industry, and a placeholder or missing name."""
     name = F.col("name")
-    placeholder = name.isNull() | name.rlike(fv.PLACEHOLDER_NAME) | F.lower(F.trim(name)).isin(*fv.NAME_SENTINELS)
+    placeholder = name.isNull() | name.rlike(fv.PLACEHOLDER_NAME) | F.lower(strip(name)).isin(*fv.NAME_SENTINELS)
     return F.col("website").isNull() & F.col("industry").isNull() & placeholder

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, functions as F
 
+from fieldgauge.functions.space import strip
 from fieldgauge import fixed_values as fv
 
 
@@ -17,7 +18,7 @@ def col(c: Column | str) -> Column:
 def is_missing(c: Column | str) -> Column:
     """NULL, empty and blank all mean missing."""
     c = col(c)
-    return c.isNull() | (F.trim(c.cast("string")) == "")
+    return c.isNull() | (strip(c.cast("string")) == "")
 
 
 def present(c: Column | str) -> Column:
@@ -54,13 +55,13 @@ def any_of(words: Iterable[str]) -> str:
 
 def host(url: Column | str) -> Column:
     """Lower-case host: scheme and one leading ``www.`` removed, cut at / ? #."""
-    return F.regexp_extract(F.lower(F.trim(col(url))), r"^(?:https?://)?(?:www\.)?([^/?#]*)", 1)
+    return F.regexp_extract(F.lower(strip(col(url))), r"^(?:https?://)?(?:www\.)?([^/?#]*)", 1)
 
 
 def bare_domain(url: Column | str) -> Column:
     """Domain for comparison: https, http, www prefixes off in that order, cut
     at / and ?, trailing dots off; NULL when nothing is left."""
-    cut = F.regexp_extract(F.lower(F.trim(col(url))), r"^(?:https://)?(?:http://)?(?:www\.)?([^/?]*)", 1)
+    cut = F.regexp_extract(F.lower(strip(col(url))), r"^(?:https://)?(?:http://)?(?:www\.)?([^/?]*)", 1)
     return F.nullif(F.rtrim(cut, F.lit(".")), F.lit(""))
 
 
@@ -149,7 +150,7 @@ def similarity(a: Column | str, b: Column | str) -> Column:
 
 
 def sorted_tokens(c: Column | str) -> Column:
-    return F.array_join(F.array_sort(F.split(F.lower(F.trim(col(c))), r"\s+")), " ")
+    return F.array_join(F.array_sort(F.split(F.lower(strip(col(c))), r"\s+")), " ")
 
 
 def name_matches_domain(name: Column | str, url: Column | str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from fieldgauge.functions.space import strip
 from fieldgauge import fixed_values as fv
 from fieldgauge.functions import bands
 from fieldgauge.functions.text import col, has_non_latin, host, similarity, sorted_tokens
@@ -44,7 +45,7 @@ def cardinality_check(df: DataFrame, column: str, limit: int = 500, approximate:
 
 
 def distinct_labels(df: DataFrame, column: str) -> DataFrame:
-    return df.select(F.lower(F.trim(column)).alias("label")).where("label <> ''").distinct()
+    return df.select(F.lower(strip(column)).alias("label")).where("label <> ''").distinct()
 
 
 def similar_labels(labels: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -167,7 +168,7 @@ def classify_invalid(raw: DataFrame, cleaned_state, state: str = "state") -> Dat
     """Category, rows and distinct values of states that are set but not valid.
     ``cleaned_state`` is the normaliser's (value, flag) struct column."""
     flag = cleaned_state["flag"]
-    s = F.trim(F.col(state))
+    s = strip(F.col(state))
     category = (F.when(s.isin(*fv.TERRITORIES) | s.isin("Virgin Islands", "Us Virgin Islands"), "territory")
                 .when(flag == "state_case_fix", "case_mismatch")
                 .when(flag == "state_city_recover", "city_leak")

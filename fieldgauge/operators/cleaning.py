@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from fieldgauge.functions.space import strip
 from fieldgauge import fixed_values as fv
 from fieldgauge.functions import bands
 from fieldgauge.functions.text import (any_of, col, foreign_government, has_non_latin, host,
@@ -23,7 +24,7 @@ def _result(value: Column | None, flag: Column | str | None = None) -> Column:
 
 def clean_name(name: Column | str = "name") -> Column:
     c = col(name)
-    t = F.trim(c)
+    t = strip(c)
     garbage = (F.length(t) < 2) | F.lower(t).isin(*fv.NAME_SENTINELS)
     return F.when(garbage, _result(None, "name_garbage")).otherwise(_result(c))
 
@@ -31,7 +32,7 @@ def clean_name(name: Column | str = "name") -> Column:
 def clean_website(url: Column | str = "website", blocked: Iterable[str] = fv.PLATFORM_DOMAINS,
                   domain: Column | None = None) -> Column:
     """``domain`` is the host of the address when it is already at hand."""
-    t = F.trim(col(url))
+    t = strip(col(url))
     domain = host(t) if domain is None else domain
     return (F.when(t.isNull() | (t == ""), _result(None))
             .when(F.lower(t).isin(*fv.PLACEHOLDER_URLS), _result(None, "website_placeholder"))
@@ -44,7 +45,7 @@ def clean_founded(year: Column, dtype: T.DataType | None = None) -> Column:
     """Numbers and number-like text become a year; anything else is NULL without
     a flag; years before 1800 are NULL with one."""
     if dtype is None or isinstance(dtype, T.StringType):
-        parsed = F.trim(year.cast("string")).try_cast("double")
+        parsed = strip(year.cast("string")).try_cast("double")
         value = F.when(~F.isnan(parsed), parsed).try_cast("bigint")
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
         value = F.when(~F.isnan(year), year).try_cast("bigint")
@@ -75,14 +76,14 @@ def clean_state(state: Column | str = "state", city: Column | str = "city", low:
     """First match wins: exact, other letter case, postal code, valid name after
     dropping leading words, known typo, place split over city and state.
     ``low`` is the lower-case trimmed state when it is already at hand."""
-    raw = F.trim(col(state))
+    raw = strip(col(state))
     low = F.lower(raw) if low is None else low
     tails = {name.lower(): _fix(name, "state_redundant_prefix") for name in bands.STATE_NAMES}
     # lazily drop as few leading words as possible, so the longest name is tried first
     tail = F.regexp_extract(F.regexp_replace(low, r"\s+", " "), rf"^(?:\S+ )+?({any_of(tails)})$", 1)
     halves = lookup({k.lower(): {"first": v[0].lower(), "fix": _fix(v[1], "state_city_recover")}
                      for k, v in fv.SPLIT_PLACES.items()}, low)
-    town = F.lower(F.trim(F.coalesce(col(city), F.lit(""))))
+    town = F.lower(strip(F.coalesce(col(city), F.lit(""))))
     return (F.when(F.coalesce(raw, F.lit("")) == "", _result(None))
             .when(raw.isin(*bands.STATE_NAMES), _result(raw))
             .otherwise(F.coalesce(
@@ -91,9 +92,9 @@ def clean_state(state: Column | str = "state", city: Column | str = "city", low:
 
 
 def clean_city(city: Column | str, raw_state: Column | str, state_flag: Column) -> Column:
-    t = F.trim(col(city))
+    t = strip(col(city))
     whole = lookup({k.lower(): v[2] for k, v in fv.SPLIT_PLACES.items() if v[2]},
-                   F.lower(F.trim(col(raw_state))))
+                   F.lower(strip(col(raw_state))))
     junk = (F.lower(t).isin(*fv.JUNK_CITIES) | ((F.length(t) <= 2) & t.rlike(r"^\p{L}+$"))
             | ((F.length(t) <= 3) & t.endswith("-")))
     return (F.when(t.isNull() | (t == ""), _result(None))
@@ -110,8 +111,8 @@ def apply_rules(df: DataFrame, blocked: Iterable[str] = fv.PLATFORM_DOMAINS) ->
     keep = [c for c in df.columns if c not in ("name", "website", "founded", "city", "state")]
     # parts used several times come first, so each is computed once per row and
     # the generated code stays in methods small enough to be compiled
-    parts = df.select(*keep, "name", "founded", "city", F.trim("state").alias("_raw_state"),
-                      F.lower(F.trim("state")).alias("_low_state"), F.trim("website").alias("_url"),
+    parts = df.select(*keep, "name", "founded", "city", strip("state").alias("_raw_state"),
+                      F.lower(strip("state")).alias("_low_state"), strip("website").alias("_url"),
                       host("website").alias("_host"))
     ruled = parts.select(
         *keep, "city", "_raw_state", clean_name().alias("_name"),
@@ -189,7 +190,7 @@ def url_class(url: Column | str = "website") -> Column:
         out = out.when(in_domains(d, domains), label)
     return (out.when(d.rlike(r"(^|\.)blogspot\.[a-z.]+$"), "blog_platform")
             .when(d.rlike(r"(^|\.)yelp\.[a-z]{2}(\.[a-z]{2})?$|(^|\.)yelp\.co\.[a-z]{2}$"), "directory")
-            .when(F.contains(F.trim(col(url)), F.lit("@")), "email_as_url")
+            .when(F.contains(strip(col(url)), F.lit("@")), "email_as_url")
             .when(d.rlike(fv.FOREIGN_GOV_HOST), "foreign_government")
             .when(in_domains(d, fv.PARENT_BRAND_DOMAINS), "wrong_entity"))
 
@@ -198,7 +199,7 @@ def unique_city_states(crosswalk: DataFrame) -> DataFrame:
     """Per lower-case city: its state when there is only one, and how many there are.
     min and max decide uniqueness, so no list of states is ever collected."""
     return (crosswalk.where("trim(city) <> '' and state is not null")
-            .groupBy(F.lower(F.trim("city")).alias("_city"))
+            .groupBy(F.lower(strip("city")).alias("_city"))
             .agg(F.min("state").alias("_lo"), F.max("state").alias("_hi")))
 
 
@@ -207,7 +208,7 @@ def recover_state(df: DataFrame, crosswalk: DataFrame, key: str = "handle") -> D
     cities with several are reported as STATE_AMBIGUOUS. Only rows that lack a
     state take part in the join."""
     states = unique_city_states(crosswalk)
-    want = F.when(F.col("state").isNull(), F.lower(F.trim("city")))
+    want = F.when(F.col("state").isNull(), F.lower(strip("city")))
     keyed = df.withColumn("_want", F.coalesce(want, F.lit("")))
     need = keyed.groupBy("_want").agg(F.count("*").alias("_n"))
     side = need.join(states, F.col("_want") == F.col("_city")).select("_want", "_n", "_lo", "_hi")
@@ -225,7 +226,7 @@ def fill_type_from_list(df: DataFrame, listed: DataFrame, key: str = "handle", v
     Names are compared lower-case without punctuation and legal endings."""
     def plain(c: Column) -> Column:
         words = F.regexp_replace(F.lower(c), r"[^a-z0-9 ]", "")
-        return F.trim(F.regexp_replace(words, r"\b(inc|corp|corporation|co|company|ltd|llc|plc)\b", ""))
+        return strip(F.regexp_replace(words, r"\b(inc|corp|corporation|co|company|ltd|llc|plc)\b", ""))
 
     names = listed.select(plain(F.col("name")).alias("_want")).where("_want <> ''").distinct()
     keyed = df.withColumn("_want", F.coalesce(F.when(F.col("type").isNull(), plain(F.col("name"))), F.lit("")))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldgauge.functions.space import strip
 from fieldgauge.config import CALIBRATION_AT
 from fieldgauge.functions import bands
 from fieldgauge.functions.text import bare_domain
@@ -29,7 +30,7 @@ def match_summary(labels: DataFrame, output: DataFrame, key: str = "handle") ->
 
 def normalise(field: Column, value: Column) -> Column:
     """Domain for website, trimmed lower case for the rest."""
-    return F.when(field == "website", bare_domain(value)).otherwise(F.lower(F.trim(value)))
+    return F.when(field == "website", bare_domain(value)).otherwise(F.lower(strip(value)))
 
 
 def long_labels(truth: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:

@@ -13,13 +13,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldgauge.functions.space import strip
 from fieldgauge import fixed_values as fv
 from fieldgauge.functions.text import col, literal, similarity
-from fieldgauge.operators.scale import small_rows
 
 
 def tidy(text: Column | str) -> Column:
-    return F.nullif(F.trim(F.lower(col(text))), F.lit(""))
+    return F.nullif(strip(F.lower(col(text))), F.lit(""))
 
 
 def words(text: Column | str) -> Column:
@@ -55,11 +55,17 @@ def keyword_label(text: Column | str, rules: Sequence[tuple[str, str]] = fv.KEYW
     return out.otherwise(F.lit(None).cast("string"))
 
 
+def taxonomy_rows(labels: DataFrame) -> list:
+    """All labels in order. Every task holds the taxonomy, so its memory grows with the number of labels, not of rows;
+    there is no limit to the number."""
+    return list(labels.orderBy("pos").toLocalIterator())
+
+
 def snap_cosine(rows: DataFrame, labels: DataFrame, key: str, at: float = 0.40) -> DataFrame:
     """Nearest label by cosine within the row's sector if that reaches ``at``,
     else over all labels if that does. ``rows`` has (key, sector, vector). Rows
-    stay where they are; the checked-size label matrix goes to them."""
-    known = small_rows(labels.select("label", "sector", "pos", "vector").orderBy("pos"), "label taxonomy")
+    stay where they are; the label matrix goes to them."""
+    known = taxonomy_rows(labels.select("label", "sector", "pos", "vector"))
     matrix = np.asarray([r["vector"] for r in known], dtype=np.float64)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-9
     names = np.asarray([r["label"] for r in known], dtype=object)
@@ -124,14 +130,14 @@ def snap_overlap(texts: DataFrame, labels: DataFrame, text: str = "text", at: fl
 def snap_edit(texts: DataFrame, labels: DataFrame, text: str = "text", at: float = 0.45) -> DataFrame:
     """Closest label by edit similarity, NULL where it stays below ``at``. The
     small taxonomy is a literal array, so each text is scored where it stands.
-    The texts are dealt over all cores first: they are few bytes but much work,
+    The texts are dealt out by value first: they are few bytes but much work,
     which size-based partition merging would put into one task. No row filter is
     applied here, since it would be pushed down and the scoring done twice."""
-    known = small_rows(labels.select("label", "pos").orderBy("pos"), "label taxonomy")
+    known = taxonomy_rows(labels.select("label", "pos"))
     arr = F.expr("array(" + ", ".join(literal(r["label"]) for r in known) + ")")
     best = F.array_max(F.transform(arr, lambda l, i: F.struct(
         similarity(F.col(text), l).alias("score"), (-i).alias("order"), l.alias("label"))))
-    dealt = texts.select(text).repartition(texts.sparkSession.sparkContext.defaultParallelism)
+    dealt = texts.select(text).repartition(text)
     return dealt.select(text, best.alias("_b")).select(
         text, F.when(F.col("_b.score") >= at, F.col("_b.label")).alias("label"), F.col("_b.score").alias("score"))
 
@@ -164,7 +170,7 @@ def snap_method(inferred: Column, confirmed: Column, snapped: Column, sector: Co
     return (F.when(inferred.isNotNull() & confirmed, pick(inferred, "stage0_tld"))
             .when(snapped.isNotNull() & sector.isNotNull(), pick(snapped, "embeddings"))
             .when(snapped.isNotNull(), pick(snapped, "keyword"))
-            .when(F.trim(original) != "", pick(original, "passthrough"))
+            .when(strip(original) != "", pick(original, "passthrough"))
             .otherwise(pick(F.lit(None).cast("string"), "none")))
 
 

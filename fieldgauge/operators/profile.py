@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldgauge.functions.space import strip
 from fieldgauge import fixed_values as fv
 from fieldgauge.config import PARITY_TARGETS, TIER_B_SLACK, VolumeTiers
 from fieldgauge.functions import bands
@@ -104,7 +105,7 @@ def tier_summary(df: DataFrame, group: str = "state", tiers: VolumeTiers = Volum
 # -- flags and keys ------------------------------------------------------------
 
 def quality_flags(df: DataFrame, year_max: int = 2026) -> DataFrame:
-    name = F.trim("name")
+    name = strip("name")
     repeated = (df.where(F.col("name").isNotNull() & F.col("state").isNotNull())
                 .groupBy(F.lower(name), "state").agg(F.count("*").alias("n"))
                 .where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0))))
@@ -132,12 +133,12 @@ def candidate_key(df: DataFrame, label: str, parts: Sequence[Column], sources: S
 
 def key_report(df: DataFrame) -> DataFrame:
     """handle, name+state, name+domain and name+city+state side by side."""
-    name = F.lower(F.trim("name")).alias("n")
+    name = F.lower(strip("name")).alias("n")
     keys = [
         ("handle", [F.col("handle")], ["handle"]),
         ("name + state", [name, F.col("state")], ["name", "state"]),
         ("name + domain", [name, regex_domain("website").alias("d")], ["name", "website"]),
-        ("name + city + state", [name, F.lower(F.trim("city")).alias("c"), F.col("state")], ["name", "city", "state"]),
+        ("name + city + state", [name, F.lower(strip("city")).alias("c"), F.col("state")], ["name", "city", "state"]),
     ]
     out = None
     for label, parts, sources in keys:

@@ -11,8 +11,8 @@ from fieldgauge import fixed_values as fv
 from fieldgauge.config import SAMPLE_QUOTAS, SAMPLE_SPLIT
 from fieldgauge.functions import bands
 from fieldgauge.functions.text import lookup, platform_by_substring
-from fieldgauge.operators.coverage import worst_states
-from fieldgauge.operators.scale import top_per_group
+from fieldgauge.operators.coverage import worst_states, label_codes
+from fieldgauge.operators.scale import broadcast_if_small, top_per_group
 
 SAMPLE_PLATFORMS = tuple(d for d in fv.PLATFORM_DOMAINS if d != "hub.biz")
 
@@ -74,7 +74,7 @@ def sample_composition(sample: DataFrame) -> DataFrame:
 def sector_samples(df: DataFrame, label_map: DataFrame, n: int = 15, seed: str = "part2_verify_seed",
                    key: str = "handle") -> DataFrame:
     """Spot-check sample of ``n`` rows of every mapped sector in one job."""
-    codes = label_map.select(F.lower("label").alias("_l"), "sector")
+    codes = label_codes(label_map).withColumnRenamed("_s", "sector")
     rows = df.where("state is not null").join(codes, F.lower("industry") == F.col("_l")).drop("_l")
     return top_per_group(rows, ["sector"], hash_order(key, seed), n, n, salt=F.col(key)).drop("_rank")
 
@@ -91,7 +91,8 @@ def audit_sample(df: DataFrame, cells: DataFrame, label_map: DataFrame, gaps: Da
     size      enterprise rows of any sector
     """
     pool = df.where("website is not null or industry is not null")
-    codes = label_map.select(F.lower("label").alias("_l"), F.col("sector").alias("_sector"))
+    codes = label_codes(label_map).withColumnRenamed("_s", "_sector")
+    gaps = broadcast_if_small(gaps)
     mapped = pool.join(codes, F.lower("industry") == F.col("_l")).drop("_l")
     big = F.col("size").isin(*bands.ENTERPRISE)
     order = hash_order(key, seed)

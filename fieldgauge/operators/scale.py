@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SMALL_TABLE_ROWS = 5_000
 
@@ -16,14 +16,6 @@ def scalar(df: DataFrame) -> Column:
     return df.scalar()
 
 
-def deal_out(df: DataFrame, scan: DataFrame) -> DataFrame:
-    """Spread the rows of ``df`` over the cores when the scan it comes from has
-    fewer splits than cores; anything larger is left as it is, so big inputs
-    never shuffle here."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if scan.rdd.getNumPartitions() < cores else df
-
-
 def small_rows(df: DataFrame, what: str, limit: int = SMALL_TABLE_ROWS) -> list:
     """Rows of a table that must be small (a taxonomy, a rule table). At most
     ``limit`` + 1 rows ever reach the driver; a larger table is an error."""
@@ -33,10 +25,11 @@ def small_rows(df: DataFrame, what: str, limit: int = SMALL_TABLE_ROWS) -> list:
     return rows
 
 
-def small_table(spark: SparkSession, df: DataFrame, what: str,
-                limit: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """A broadcast-ready copy of a table whose row count has been checked."""
-    return F.broadcast(spark.createDataFrame(small_rows(df, what, limit), df.schema))
+def broadcast_if_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """A table that is usually small (a label map, a price list), marked for broadcast after a check of its rows. Of a
+    larger one no more than ``limit`` + 1 rows reach the driver, and it is joined by shuffle."""
+    rows = df.limit(limit + 1).collect()
+    return df if len(rows) > limit else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],

@@ -8,7 +8,6 @@ from fieldgauge import fixed_values as fv
 from fieldgauge.config import PARITY_TARGETS
 from fieldgauge.functions import bands
 from fieldgauge.functions.text import host
-from fieldgauge.operators.scale import deal_out
 from fieldgauge.operators import anomalies as an, cleaning as cl, profile as pr
 from fieldgauge.plans.registry import BAND_ORD, SEGMENT, SET_CTE, TIER, TIERS, US_CTE, VALID, query, quoted
 from fieldgauge.plans.testbed import CLEANED_CTE, COMPANIES_CTE, cleaned, companies, table
@@ -435,7 +434,7 @@ def p38(s, d):
  from documents group by lang""")
 def p39(s, d):
     docs = table(s, d, "documents")
-    return an.encoding_profile(deal_out(docs.select("lang", "text"), docs), "text", by=["lang"])
+    return an.encoding_profile(docs.select("lang", "text"), "text", by=["lang"])
 
 
 @query("p40_invalid_state_categories", """select category, count(*) as records, count(distinct state) as distinct_values from (

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldgauge.functions.text import lookup
 from fieldgauge.operators.cleaning import clean
-from fieldgauge.operators.scale import deal_out
 from fieldgauge.sources.workspace import materialise
 
 INDUSTRY_OF_SEGMENT = {
@@ -50,9 +49,8 @@ def industry_of_segment() -> Column:
     return F.expr(_INDUSTRY)
 
 
-def companies(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
-    """One company per order; ``dealt`` spreads a small scan over the cores for
-    costly row work. Join sides are left to Spark's size estimates and
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One company per order. Join sides are left to Spark's size estimates and
     to adaptive skew handling: a customer may own a third of the orders."""
     orders = table(spark, sf_dir, "orders")
     base = (orders
@@ -77,7 +75,7 @@ def companies(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFram
          when k % 73 = 0 then 'District Of Columbia' when k % 79 = 0 then 'N.Y.' when k % 83 = 0 then 'Ontario'
          when k % 41 = 0 then null else {_HOME} end as state""",
         "case when k % 91 = 0 then 'CA' else 'US' end as country_code")
-    return deal_out(view, orders) if dealt else view
+    return view
 
 
 _STAGES: dict[tuple[str, str, str], DataFrame] = {}
@@ -94,7 +92,7 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned company table as a stored stage."""
-    return stage(spark, sf_dir, "cleaned", lambda s, d: clean(companies(s, d, dealt=True)))
+    return stage(spark, sf_dir, "cleaned", lambda s, d: clean(companies(s, d)))
 
 
 def sector_labels(spark: SparkSession) -> DataFrame:

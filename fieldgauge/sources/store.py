@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldgauge.sources.workspace import new_path
 
 
-def upsert(existing: DataFrame, batch: DataFrame, key: str = "handle") -> DataFrame:
-    """Rows of ``batch`` replace stored rows with the same key; the rest stay."""
+def upsert(existing: DataFrame, batch: DataFrame, key: str = "handle", order: str | None = None) -> DataFrame:
+    """Rows of ``batch`` replace stored rows with the same key; the rest stay. With an ``order`` column, which the store
+    keeps, a row replaces a stored one only if its order is not smaller; a stored row without one is oldest."""
+    if order is not None:
+        if order not in existing.columns:
+            existing = existing.withColumn(order, F.lit(None).cast(batch.schema[order].dataType))
+        old = existing.select(F.col(key).alias("_k"), F.col(order).alias("_o"))
+        batch = (batch.join(old, F.col(key) == F.col("_k"), "left")
+                 .where(F.col("_o").isNull() | (F.col(order) >= F.col("_o"))).drop("_k", "_o"))
     return existing.join(batch.select(key), key, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
@@ -38,11 +45,11 @@ class VersionedStore:
         vs = [v for v in self.versions() if below is None or v < below]
         return self.spark.read.parquet(self._path(vs[-1])) if vs else None
 
-    def apply(self, batch: DataFrame, version: int | None = None, force: bool = False) -> None:
+    def apply(self, batch: DataFrame, version: int | None = None, force: bool = False, order: str | None = None) -> None:
         """Write version ``version`` from the newest one before it. Repeating a
         version recomputes the same content."""
         vs = self.versions()
         version = (vs[-1] + 1 if vs else 0) if version is None else version
         base = None if force else self.read(below=version)
-        out = batch if base is None else upsert(base, batch, self.key)
+        out = batch if base is None else upsert(base, batch, self.key, order)
         out.write.mode("overwrite").parquet(self._path(version))

@@ -9,19 +9,17 @@ from fieldgauge.sources.store import VersionedStore
 
 
 def newest_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
-    """Last row per key of a batch by ``order``, which is then dropped. A hot key
-    folds map-side."""
-    keep = [c for c in batch.columns if c != order]
-    return batch.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*keep), order).alias("_r")).select("_r.*")
+    """Last row per key of a batch by ``order``. A hot key folds map-side."""
+    return batch.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
 
 
 def stream_upsert(stream: DataFrame, store: VersionedStore, order: str, checkpoint: str,
                   first_version: int = 0) -> StreamingQuery:
     """Apply every micro-batch to the store under a version tied to its batch id,
     so a replayed batch rewrites its own version from the one before it and
-    nothing counts twice."""
+    nothing counts twice. The order is kept and compared across batches."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        store.apply(newest_per_key(batch, store.key, order), version=first_version + batch_id)
+        store.apply(newest_per_key(batch, store.key, order), version=first_version + batch_id, order=order)
 
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -194,3 +194,35 @@ def test_sample_ignores_partitioning(spark):
     a = sa.quota_sample(df).orderBy("handle").collect()
     assert a == sa.quota_sample(df.repartition(11)).orderBy("handle").collect()
     assert new_path(spark, "x") != new_path(spark, "x")
+
+
+def test_upsert_order_holds_across_batches(spark):
+    for first, second in ((10, 5), (5, 10)):
+        store = VersionedStore(spark)
+        store.apply(spark.createDataFrame([("a", "stored"), ("b", "stored")], "handle string, v string"), version=0)
+        for version, seq in enumerate((first, second, second), 1):
+            batch = spark.createDataFrame([("a", f"at {seq}", seq)], "handle string, v string, _seq int")
+            store.apply(batch, version=version, order="_seq")
+        assert {r["handle"]: r["v"] for r in store.read().collect()} == {"a": "at 10", "b": "stored"}
+
+
+def test_label_spellings_count_once(spark):
+    from fieldgauge.operators import coverage
+
+    rows = spark.createDataFrame([("TX", "retail")] * 10, "state string, industry string")
+    spelled = spark.createDataFrame([("Retail", "44"), ("retail", "44")], "label string, sector string")
+    sector = coverage.fv.SECTORS[0]
+    spelled = spelled.select("label", F.lit(sector).alias("sector"))
+    assert [r["our_records"] for r in coverage.label_counts_to_sector(rows, spelled).collect()] == [10]
+    plan = coverage.in_sector(rows, spelled, sector)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_white_space_of_every_kind_goes(spark):
+    from fieldgauge.functions.space import WHITE, strip
+    from fieldgauge.operators import cleaning
+
+    assert "".join(WHITE.split()) == "" and len(set(WHITE)) == len(WHITE) == sum(chr(c).isspace() for c in range(0x110000))
+    df = spark.createDataFrame([("Texas\t", "\tx\u00a0", "www\n", "\n")], "state string, name string, website string, city string")
+    got = df.select(strip("state"), strip("name"), cleaning.clean_website("website")["value"], cleaning.clean_website("city")["value"]).first()
+    assert tuple(got) == ("Texas", "x", None, None)
