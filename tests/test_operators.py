@@ -211,7 +211,7 @@ def test_label_spellings_count_once(spark):
 
     rows = spark.createDataFrame([("TX", "retail")] * 10, "state string, industry string")
     spelled = spark.createDataFrame([("Retail", "44"), ("retail", "44")], "label string, sector string")
-    sector = coverage.fv.SECTORS[0]
+    sector = next(iter(coverage.fv.SECTORS))
     spelled = spelled.select("label", F.lit(sector).alias("sector"))
     assert [r["our_records"] for r in coverage.label_counts_to_sector(rows, spelled).collect()] == [10]
     plan = coverage.in_sector(rows, spelled, sector)._jdf.queryExecution().executedPlan().toString()
