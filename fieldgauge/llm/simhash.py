@@ -144,15 +144,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "fp", F.when(got.isNull(), F.col("doc_id")).otherwise(got["component_id"]).alias("component_id"))
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each component: the row with its smallest doc_id. Of rows that share that id one
-    stays."""
+    """The documents that stay, one of each component: the row with its smallest doc_id, once if it is repeated. An id
+    that stands for unlike texts stays with all of them if any of them is its component's smallest, so that no
+    component is lost."""
     found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n"))
-    goes = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = found.where(stays).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
+    goes = found.where(~stays).select(F.col("doc_id").alias("_gone")).distinct()
+    goes = goes.join(kept, F.col("_gone").eqNullSafe(F.col("_kept")), "left_anti")
     out = docs.join(goes, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
-    if kept.where("_n > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id"])
+    return out if kept.where("_n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+
 
 @query("op2_simhash_near_dedup")
 def op2_simhash_near_dedup(spark, sf_dir):
