@@ -31,6 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def apart(docs: DataFrame, *need: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` as the columns an operator works on and one struct of all others, where no name of theirs can clash with
+    the operator's own, and the function that gives the columns back as they were."""
+    rest = [c for c in docs.columns if c not in need]
+    named = {c: "`" + c.replace("`", "``") + "`" for c in rest}
+    held = docs.select(*need, *([F.struct(*[F.col(n) for n in named.values()]).alias("_rest")] if rest else []))
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(c) if c in need else F.col(f"_rest.{named[c]}").alias(c) for c in docs.columns])
+    return held, back
+
+
 def one_space(text: Column) -> Column:
     """``text`` with each run of white space as one space; null counts as empty. Runs that are one space already are
     not matched, which leaves most of a text alone."""

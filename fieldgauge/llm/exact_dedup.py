@@ -6,7 +6,7 @@ contents. A bucket that outgrows the table is written to spill files in the shar
 bits, until every bucket fits.
 
 Defined results: no rows give no rows; a null doc_id counts as larger than any number and a group of null ids keeps a
-null; of rows that repeat doc_id and text exactly one is kept; other columns are never looked at.
+null; of rows that repeat doc_id and text exactly one is kept; other columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fieldgauge.llm.common import one_space, query, table
+from fieldgauge.llm.common import apart, one_space, query, table
 from fieldgauge.sources.workspace import new_path
 
 TABLE_BYTES = 32 << 20
@@ -205,7 +205,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tab
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents that stay, columns unchanged."""
-    return exact_dedup(docs).where("_kept").select(*docs.columns)
+    held, back = apart(docs, "doc_id", "text")
+    return back(exact_dedup(held).where("_kept"))
 
 
 @query("op10_exact_dedup", r"""

@@ -9,14 +9,15 @@ equal width are therefore a balanced range sort whose borders need no sampling,
 Running sums never gather a source: it is cut into slices of the shuffle order, slices are summed first.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; a null or repeated doc_id is
-an ordinary row; identical rows are interchangeable; a source without words has target 0; no rows give no rows.
+an ordinary row; identical rows are interchangeable; a source without words has target 0; no rows give no rows; other
+columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fieldgauge.llm.common import WORD, query, table
+from fieldgauge.llm.common import WORD, apart, query, table
 from fieldgauge.sources.workspace import materialise
 
 WEIGHTS = (3, 1, 2)
@@ -105,7 +106,8 @@ def mixed(docs: DataFrame) -> DataFrame:
                                                 F.count("*").alias("_of")))
     named = {c: f"_m_{c}" for c in key}
     share = share.select(*[F.col(c).alias(n) for c, n in named.items()], "_n", "_of").where("_n > 0")
-    rows = docs.withColumn("_words", word_count(F.col("text")))
+    held, back = apart(docs, "doc_id", "source", "text")
+    rows = held.withColumn("_words", word_count(F.col("text")))
     on = (F.col("doc_id").eqNullSafe(F.col("_m_doc_id")) & F.col("source").eqNullSafe(F.col("_m_source")) & (F.col("_words") == F.col("_m_size")))
     rows = rows.join(share, on)
     turn = F.when(F.col("_of") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("_m_doc_id", "_m_source", "_m_size").orderBy(F.lit(1))))
@@ -113,7 +115,7 @@ def mixed(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("_times", F.col("_n"))
     else:
         rows = rows.withColumn("_turn", turn).withColumn("_times", F.floor((F.col("_n") + F.col("_of") - F.col("_turn")) / F.col("_of")))
-    return rows.withColumn("_e", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).where("_times > 0").select(*docs.columns)
+    return back(rows.where("_times > 0").withColumn("_e", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))))
 
 
 @query("op7_mix_sources", r"""

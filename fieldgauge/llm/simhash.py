@@ -10,7 +10,7 @@ links that join its groups, at most one per fingerprint.
 
 Defined results: null, empty and blank texts have fingerprint 0 and link like any other; repeated rows come out as often
 as they came in; a null doc_id is larger than any number and is the component id only where no other id is; no rows
-give no rows; other columns are never looked at.
+give no rows; other columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fieldgauge.llm.common import Forest, components, query, sorted_runs, table, texts_of
+from fieldgauge.llm.common import Forest, apart, components, query, sorted_runs, table, texts_of
 from fieldgauge.sources.workspace import materialise
 
 SHINGLE = 3
@@ -152,8 +152,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = found.where(stays).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
     goes = found.where(~stays).select(F.col("doc_id").alias("_gone")).distinct()
     goes = goes.join(kept, F.col("_gone").eqNullSafe(F.col("_kept")), "left_anti")
-    out = docs.join(goes, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
-    return out if kept.where("_n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    held, back = apart(docs, "doc_id", "text")
+    out = held.join(goes, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
+    return back(out if kept.where("_n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"]))
 
 
 @query("op2_simhash_near_dedup")

@@ -9,7 +9,7 @@ The models are fitted on at most ``max_labelled`` labelled documents, those whos
 
 Defined results: null text is an empty text; labels with a null id or a null category are left out, a repeated id takes
 its largest label; a repeated document is scored as often as it comes; without labels probabilities are null and
-nothing is toxic; no rows give no rows; other columns are never looked at.
+nothing is toxic; no rows give no rows; other columns, whatever their names, are never looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fieldgauge.llm.common import query, table, texts_of
+from fieldgauge.llm.common import apart, query, table, texts_of
 from fieldgauge.sources.workspace import materialise
 
 CATEGORIES = ("quality", "toxic")
@@ -181,7 +181,8 @@ def scored(docs: DataFrame, chain: Chain | None, threshold: float = 0.5) -> Data
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not toxic, columns unchanged."""
-    return scored(docs, fit_chain(docs, labels)).where(~F.col("_toxic")).select(*docs.columns)
+    held, back = apart(docs, "doc_id", "text")
+    return back(scored(held, fit_chain(docs, labels)).where(~F.col("_toxic")))
 
 
 @query("op4_toxicity_chain")

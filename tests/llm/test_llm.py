@@ -253,14 +253,111 @@ def test_personal_data(spark, docs, none):
     assert pii.find_personal_data(docs).count() == len(ROWS) and pii.find_personal_data(none).count() == 0
 
 
-def test_pipeline_stages(spark):
+CLASHING = ["_toxic", "_p", "_digest", "_kept", "_gone", "_n", "_words", "_times", "_rest", "size", "component_id", "a.b", "c`d"]
+
+
+def least_id(ids):
+    return min(ids, key=lambda i: (i is None, i))
+
+
+def best_fit(lengths, width=1024):
+    """Plain best fit, longest first: the number of sequences."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, room in enumerate(rooms) if room >= n]
+        if fits:
+            rooms[min(fits, key=rooms.__getitem__)] -= n
+        else:
+            rooms.append(width - n)
+    return len(rooms)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage over a table with the odd cases and clashing column names, then run() as a whole."""
+    import duckdb
+    from tokenizers import Tokenizer
+    import public_tokenizers as P
+    import corpus_pipeline
+
+    odd = spark.createDataFrame([(None if r[0] is None else 10_000_000 + r[0], *r[1:5]) for r in ROWS], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("cast(doc_id as bigint) as doc_id", "text", "lang", "source", "cast(n_chars as bigint) as n_chars").unionByName(odd)
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.coalesce("doc_id", F.lit(-1)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "exact_dedup", "simhash_near_dedup", "mix_sources", "best_fit_packing"]
+
+    def rows_of(df):
+        assert df.columns == docs.columns
+        rows = [tuple(r) for r in df.collect()]
+        assert all(v == (-1 if r[0] is None else r[0]) for r in rows for v in r[5:])
+        return rows
+
+    def after(name, before):
+        """The stage's rows, read back from a table, and that table."""
+        stages[name](spark, before, str(tmp_path)).write.parquet(f"{tmp_path}/{name}.parquet")
+        out = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        return rows_of(out), out
+
+    rows = rows_of(docs)
+    chain = toxicity.fit_chain(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    want = [r for r in rows if chain.odds(toxicity.words_of(r[1] or ""))[-1] < 0]
+    got, docs_1 = after("toxicity", docs)
+    assert collections.Counter(got) == collections.Counter(want) and len(got) < len(rows)
+
+    groups = collections.defaultdict(list)
+    for r in got:
+        groups[norm(r[1])].append(r)
+    low = {t: least_id([r[0] for r in g]) for t, g in groups.items()}
+    got, docs_2 = after("exact_dedup", docs_1)
+    assert sorted(map(str, ((norm(r[1]), r[0]) for r in got))) == sorted(map(str, low.items()))
+
+    fps = [brute_fp(r[1]) for r in got]
+    near = list(range(len(got)))
+    while True:
+        new = [min(near[j] for j in range(len(got)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(got))]
+        if new == near:
+            break
+        near = new
+    parts = collections.defaultdict(list)
+    for c, r in zip(near, got):
+        parts[c].append(r)
+    want = [next(r for r in p if r[0] == least_id([x[0] for x in p])) for p in parts.values()]
+    got, docs_3 = after("simhash_near_dedup", docs_2)
+    assert collections.Counter(got) == collections.Counter(want)
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/simhash_near_dedup.parquet/*.parquet')")
+    times = {r[0]: r[2] // r[1] if r[1] else 1 for r in con.execute(f"select doc_id, size, taken from ({ORACLES['op7_mix_sources']})").fetchall()}
+    want = collections.Counter()
+    for r in got:
+        want[r] += times[r[0]]
+    got, docs_4 = after("mix_sources", docs_3)
+    assert collections.Counter(got) == +want
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = collections.Counter()
+    for r in got:
+        ids = np.array(tok.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[r[0], k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    for packed in (stages["best_fit_packing"](spark, docs_4, str(tmp_path)).collect(), corpus_pipeline.run(spark, str(tmp_path)).collect()):
+        assert collections.Counter(tuple(r)[:5] for r in packed) == want
+        ends = collections.defaultdict(list)
+        for r in packed:
+            ends[r["sequence_id"]].append((r["offset"], r["offset"] + r["length"]))
+        for s in ends.values():
+            s.sort()
+            assert s[0][0] == 0 and s[-1][1] <= 1024 and all(a[1] == b[0] for a, b in zip(s, s[1:]))
+        assert len(ends) <= best_fit([k[3] for k, n in want.items() for _ in range(n)])
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    seen = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns
-        seen.append(out.count())
-    assert all(n <= seen[0] for n in seen[1:4])
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
