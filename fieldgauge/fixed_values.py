@@ -197,38 +197,38 @@ LABEL_STOP_WORDS = ("and", "or", "of", "the", "a", "an", "in", "for", "to", "wit
 
 # ordered keyword rules: any shared word picks the label, the first rule wins
 KEYWORD_LABELS = (
-    ("hospital hospitals", "hospitals and health care"),
-    ("restaurant restaurants dining eatery", "restaurants"),
-    ("maritime shipping tanker bulk liquid", "maritime transportation"),
-    ("law attorney attorneys lawyers litigation llp p.a.", "law practice"),
-    ("legal", "legal services"),
-    ("district isd k-12 k12 elementary secondary", "primary and secondary education"),
-    ("school", "primary and secondary education"),
-    ("vehicle auto automobile body repair", "vehicle repair and maintenance"),
-    ("defense missile munitions", "defense and space manufacturing"),
-    ("aerospace space satellite rocket launch", "aviation and aerospace component manufacturing"),
-    ("skincare beauty cosmetics personal care", "personal care product manufacturing"),
-    ("staffing recruiting temp placement", "staffing and recruiting"),
-    ("trucking truck freight hauling", "truck transportation"),
-    ("it software saas app platform cloud tech", "it services and it consulting"),
-    ("consulting advisory management strategy", "business consulting and services"),
-    ("real estate realty property brokerage", "real estate"),
-    ("warehouse warehousing storage fulfillment", "warehousing and storage"),
-    ("construction contractor building", "construction"),
-    ("healthcare health medical clinical", "hospitals and health care"),
-    ("education university college higher", "higher education"),
-    ("nonprofit non-profit charity foundation", "philanthropic fundraising services"),
-    ("government agency federal municipal", "government administration"),
-    ("public safety corrections prison", "public safety"),
-    ("outsourcing bpo offshoring", "outsourcing and offshoring consulting"),
-    ("insurance", "insurance"),
-    ("banking bank financial", "banking"),
-    ("retail", "retail"),
-    ("hospitality hotel lodging", "hospitality"),
-    ("manufacturing", "manufacturing"),
-    ("logistics supply chain distribution", "transportation, logistics, supply chain and storage"),
-    ("telecom telecommunications wireless", "telecommunications"),
-    ("defense military", "defense and space manufacturing"),
+    (("hospital", "hospitals"), "hospitals and health care"),
+    (("restaurant", "restaurants", "dining", "eatery"), "restaurants"),
+    (("maritime", "shipping", "tanker", "bulk", "liquid"), "maritime transportation"),
+    (("law", "attorney", "attorneys", "lawyers", "litigation", "llp", "p.a."), "law practice"),
+    (("legal",), "legal services"),
+    (("district", "isd", "k-12", "k12", "elementary", "secondary"), "primary and secondary education"),
+    (("school",), "primary and secondary education"),
+    (("vehicle", "auto", "automobile", "body", "repair"), "vehicle repair and maintenance"),
+    (("defense", "missile", "munitions"), "defense and space manufacturing"),
+    (("aerospace", "space", "satellite", "rocket", "launch"), "aviation and aerospace component manufacturing"),
+    (("skincare", "beauty", "cosmetics", "personal", "care"), "personal care product manufacturing"),
+    (("staffing", "recruiting", "temp", "placement"), "staffing and recruiting"),
+    (("trucking", "truck", "freight", "hauling"), "truck transportation"),
+    (("it", "software", "saas", "app", "platform", "cloud", "tech"), "it services and it consulting"),
+    (("consulting", "advisory", "management", "strategy"), "business consulting and services"),
+    (("real", "estate", "realty", "property", "brokerage"), "real estate"),
+    (("warehouse", "warehousing", "storage", "fulfillment"), "warehousing and storage"),
+    (("construction", "contractor", "building"), "construction"),
+    (("healthcare", "health", "medical", "clinical"), "hospitals and health care"),
+    (("education", "university", "college", "higher"), "higher education"),
+    (("nonprofit", "non-profit", "charity", "foundation"), "philanthropic fundraising services"),
+    (("government", "agency", "federal", "municipal"), "government administration"),
+    (("public", "safety", "corrections", "prison"), "public safety"),
+    (("outsourcing", "bpo", "offshoring"), "outsourcing and offshoring consulting"),
+    (("insurance",), "insurance"),
+    (("banking", "bank", "financial"), "banking"),
+    (("retail",), "retail"),
+    (("hospitality", "hotel", "lodging"), "hospitality"),
+    (("manufacturing",), "manufacturing"),
+    (("logistics", "supply", "chain", "distribution"), "transportation, logistics, supply chain and storage"),
+    (("telecom", "telecommunications", "wireless"), "telecommunications"),
+    (("defense", "military"), "defense and space manufacturing"),
 )
 
 # words that mark a placeholder company name

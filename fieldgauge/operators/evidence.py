@@ -215,7 +215,7 @@ OUTPUT = (["handle", "name", "city", "state", "poc_segment", "poc_condition"]
           + [f"{f}_{x}" for f in FIELDS for x in ("original", "enriched", "final", "original_correct", "confidence",
                                                   "pipeline_stage", "review_flag")]
           + ["operating_status_review_flag", "enrichment_status", "stage_resolved", "status", "still_operating",
-             "closure_signals", "is_single_facility", "b2b_vs_b2c"])
+             "closure_signals", "is_single_facility", "b2b_vs_b2c", "industry_snap_method"])
 
 
 def resolve(entities: DataFrame, evidence: dict[str, DataFrame], rules: EvidenceRules = EvidenceRules(),

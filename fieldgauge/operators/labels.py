@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldgauge.functions.space import strip
 from fieldgauge import fixed_values as fv
 from fieldgauge.functions.text import col, literal, similarity
+from fieldgauge.operators.scale import broadcast_if_small
 
 
 def tidy(text: Column | str) -> Column:
@@ -46,12 +47,12 @@ def snap_exact(texts: DataFrame, labels: DataFrame, text: str = "text") -> DataF
     return texts.select(text).join(dictionary, F.col(text) == F.col("_form")).select(text, "label")
 
 
-def keyword_label(text: Column | str, rules: Sequence[tuple[str, str]] = fv.KEYWORD_LABELS) -> Column:
+def keyword_label(text: Column | str, rules: Sequence[tuple[Sequence[str], str]] = fv.KEYWORD_LABELS) -> Column:
     """Label of the first keyword rule that shares a word with the text."""
     mine = words(text)
     out = F
     for keys, label in rules:
-        out = out.when(F.arrays_overlap(mine, F.array(*[F.lit(k) for k in keys.split()])), F.lit(label))
+        out = out.when(F.arrays_overlap(mine, F.array(*[F.lit(k) for k in keys])), F.lit(label))
     return out.otherwise(F.lit(None).cast("string"))
 
 
@@ -106,9 +107,10 @@ def snap_cosine(rows: DataFrame, labels: DataFrame, key: str, at: float = 0.40)
 
 
 def snap_overlap(texts: DataFrame, labels: DataFrame, text: str = "text", at: float = 0.35) -> DataFrame:
-    """Best label by word overlap F1, a text word counting when it lies inside a
-    label word. Every substring of every label word is a dictionary key, so the
-    containment test is an equi join and no text meets a label it shares nothing with."""
+    """Best label by word overlap F1, a text word counting when it lies inside a label word. Every substring of every
+    label word is a dictionary key that holds the list of its labels, so the containment test is an equi join of text
+    words, at most one row each; the lists of a text are tallied within its row, and pairs of text and label never
+    become rows."""
     lw = labels.select("label", "pos", label_words("label").alias("_lw")).where("size(_lw) > 0")
     pieces = lw.select("label", "pos", F.size("_lw").alias("_nl"), F.explode("_lw").alias("_w"))
     starts = F.sequence(F.lit(1), F.length("_w"))
@@ -116,15 +118,27 @@ def snap_overlap(texts: DataFrame, labels: DataFrame, text: str = "text", at: fl
               .withColumn("_piece", F.explode(F.transform(
                   F.sequence(F.lit(1), F.length("_w") - F.col("_s") + 1),
                   lambda n: F.substring("_w", F.col("_s"), n))))
-              .select("label", "pos", "_nl", "_piece").distinct())
+              .select("pos", "_nl", "_piece").distinct()
+              .groupBy("_piece").agg(F.collect_list(F.struct("pos", "_nl")).alias("_posted")))
     mine = (texts.select(text, words(text).alias("_tw")).where("size(_tw) > 0")
             .select(text, F.size("_tw").alias("_nt"), F.explode("_tw").alias("_t")))
-    hits = (mine.join(pieces, F.col("_t") == F.col("_piece")).groupBy(text, "label", "pos", "_nt", "_nl")
-            .agg(F.count("*").alias("_h")))
-    p, r = F.col("_h") / F.col("_nt"), F.col("_h") / F.col("_nl")
-    scored = hits.withColumn("score", 2 * p * r / (p + r)).where(F.col("score") >= at)
-    return (scored.groupBy(text).agg(F.max_by("label", F.struct("score", -F.col("pos"))).alias("label"),
-                                     F.max("score").alias("score")))
+    met = (mine.join(pieces, F.col("_t") == F.col("_piece")).groupBy(text, "_nt")
+           .agg(F.array_sort(F.flatten(F.collect_list("_posted"))).alias("_met")))
+
+    def tally(a, x):
+        """Hits of the label so far; the score grows with them, so the best of all steps is the best of all labels."""
+        hits = F.when(a["pos"] == x["pos"], a["hits"] + 1).otherwise(F.lit(1))
+        p, r = hits / F.col("_nt"), hits / x["_nl"]
+        score = 2 * p * r / (p + r)
+        return F.struct(x["pos"].alias("pos"), hits.alias("hits"),
+                        F.greatest(a["best"], F.struct(score.alias("score"), (-x["pos"]).alias("order"))).alias("best"))
+
+    kind = labels.schema["pos"].dataType
+    nobody = F.struct(F.lit(None).cast(kind).alias("pos"), F.lit(0).alias("hits"),
+                      F.struct(F.lit(0.0).alias("score"), F.lit(0).cast(kind).alias("order")).alias("best"))
+    best = met.select(text, F.aggregate("_met", nobody, tally, lambda a: a["best"]).alias("_b")).where(F.col("_b.score") >= at)
+    names = broadcast_if_small(labels.select("label", "pos"))
+    return best.join(names, F.col("pos") == -F.col("_b.order")).select(text, "label", F.col("_b.score").alias("score"))
 
 
 def snap_edit(texts: DataFrame, labels: DataFrame, text: str = "text", at: float = 0.45) -> DataFrame:
@@ -142,7 +156,7 @@ def snap_edit(texts: DataFrame, labels: DataFrame, text: str = "text", at: float
         text, F.when(F.col("_b.score") >= at, F.col("_b.label")).alias("label"), F.col("_b.score").alias("score"))
 
 
-def snap_cascade(texts: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = fv.KEYWORD_LABELS,
+def snap_cascade(texts: DataFrame, labels: DataFrame, rules: Sequence[tuple[Sequence[str], str]] = fv.KEYWORD_LABELS,
                  overlap_at: float = 0.35, edit_at: float = 0.45) -> DataFrame:
     """Distinct tidy texts -> (text, label, step): exact or leading words, keyword
     rules, word overlap, edit distance. Each step sees only what is left."""
@@ -161,6 +175,25 @@ def snap_cascade(texts: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     return out.select("text", F.coalesce("_exact", "_kw", "_overlap", "_edit").alias("label"), step.alias("step"))
 
 
+def snap_cascade_vectors(rows: DataFrame, labels: DataFrame, key: str, rules: Sequence[tuple[Sequence[str], str]] = fv.KEYWORD_LABELS,
+                         cosine_at: float = 0.40) -> DataFrame:
+    """(key, label, step) where vectors exist: exact or leading words, keyword rules, then the nearest label by cosine in
+    the row's sector, else among all. ``rows`` has (key, text, sector, vector), ``labels`` (label, pos, sector, vector).
+    Words are matched once per distinct text, vectors once per row that is left."""
+    tidied = rows.select(key, tidy("text").alias("_text"), "sector", "vector")
+    todo = tidied.select(F.col("_text").alias("text")).where("text is not null").distinct()
+    first = (todo.join(snap_exact(todo, labels).withColumnRenamed("label", "_exact"), "text", "left")
+             .withColumn("_kw", F.when(F.col("_exact").isNull(), keyword_label("text", rules)))
+             .where("_exact is not null or _kw is not null"))
+    known = tidied.join(first, F.col("_text") == F.col("text"), "left")
+    left = known.where("_exact is null and _kw is null and _text is not null")
+    near = snap_cosine(left, labels, key, cosine_at).select(F.col(key).alias("_k"), F.col("label").alias("_near"))
+    out = known.select(key, "_exact", "_kw").join(near, F.col(key) == F.col("_k"), "left")
+    step = (F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_kw").isNotNull(), "keyword")
+            .when(F.col("_near").isNotNull(), "cosine").otherwise("none"))
+    return out.select(key, F.coalesce("_exact", "_kw", "_near").alias("label"), step.alias("step"))
+
+
 def snap_method(inferred: Column, confirmed: Column, snapped: Column, sector: Column, original: Column) -> Column:
     """(label, method) of one row: a confirmed rule label, the snapped label, the
     original one, or none."""

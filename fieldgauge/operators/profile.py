@@ -131,20 +131,29 @@ def candidate_key(df: DataFrame, label: str, parts: Sequence[Column], sources: S
         F.count_if("_null").alias("nulls_in_key"))
 
 
+def candidate_keys(df: DataFrame, keys: Mapping[str, tuple[Sequence[Column], Sequence[str]]]) -> DataFrame:
+    """``candidate_key`` for several keys of texts at once: a row gives one tagged tuple per key, and tuples are counted
+    before labels are, so no label is a hot key."""
+    tuples = F.array(*[F.struct(F.lit(label).alias("candidate_key"), F.array(*parts).alias("_key"),
+                                F.greatest(*[F.col(s).isNull() for s in sources], F.lit(False)).alias("_null"))
+                       for label, (parts, sources) in keys.items()])
+    counted = (df.select(F.inline(tuples)).groupBy("candidate_key", "_key")
+               .agg(F.count("*").alias("_n"), F.count_if("_null").alias("_nulls")))
+    n, d = F.sum("_n"), F.count("*")
+    return counted.groupBy("candidate_key").agg(
+        n.alias("total_records"), d.alias("distinct_values"), (n - d).alias("duplicates"),
+        bands.pct(n - d, n).alias("collision_pct"), F.sum("_nulls").alias("nulls_in_key"))
+
+
 def key_report(df: DataFrame) -> DataFrame:
-    """handle, name+state, name+domain and name+city+state side by side."""
-    name = F.lower(strip("name")).alias("n")
-    keys = [
-        ("handle", [F.col("handle")], ["handle"]),
-        ("name + state", [name, F.col("state")], ["name", "state"]),
-        ("name + domain", [name, regex_domain("website").alias("d")], ["name", "website"]),
-        ("name + city + state", [name, F.lower(strip("city")).alias("c"), F.col("state")], ["name", "city", "state"]),
-    ]
-    out = None
-    for label, parts, sources in keys:
-        one = candidate_key(df, label, parts, sources)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """handle, name+state, name+domain and name+city+state side by side, from one pass."""
+    name = F.lower(strip("name"))
+    return candidate_keys(df, {
+        "handle": ([F.col("handle")], ["handle"]),
+        "name + state": ([name, F.col("state")], ["name", "state"]),
+        "name + domain": ([name, regex_domain("website")], ["name", "website"]),
+        "name + city + state": ([name, F.lower(strip("city")), F.col("state")], ["name", "city", "state"]),
+    })
 
 
 def duplicate_groups(df: DataFrame, keys: Mapping[str, Column], k: int = 20) -> DataFrame:
@@ -286,15 +295,15 @@ def vintage_by_band(df: DataFrame, base_year: int = 2026) -> DataFrame:
 
 
 def null_rate_by(df: DataFrame, dim: str, cols: Sequence[str] = ("website", "industry", "size", "type")) -> DataFrame:
-    """NULL share per group and its distance from the whole table, in points.
-    The whole-table row comes from the same rollup."""
-    n = F.count("*")
-    rolled = df.rollup(dim).agg(
-        F.grouping(dim).alias("_g"), n.alias("records"),
-        *[bands.pct(n - F.count(c), n).alias(f"{c}_null_pct") for c in cols])
-    nation = {c: scalar(rolled.where("_g = 1").select(f"{c}_null_pct")) for c in cols}
-    return (rolled.where("_g = 0").drop("_g")
-            .withColumns({f"{c}_vs_all": F.col(f"{c}_null_pct") - nation[c] for c in cols}))
+    """NULL share per group and its distance from the whole table, in points. The whole-table values are summed from
+    the counts of the groups and attached as one struct, so rows are counted in one pass."""
+    per_group = df.groupBy(dim).agg(F.count("*").alias("records"), *[F.count(c).alias(f"_n_{c}") for c in cols])
+    whole = scalar(per_group.agg(F.struct(*[
+        bands.pct(F.sum("records") - F.sum(f"_n_{c}"), F.sum("records")).alias(c) for c in cols])))
+    shares = {f"{c}_null_pct": bands.pct(F.col("records") - F.col(f"_n_{c}"), F.col("records")) for c in cols}
+    return (per_group.withColumns(shares).withColumn("_all", whole)
+            .withColumns({f"{c}_vs_all": F.col(f"{c}_null_pct") - F.col("_all")[c] for c in cols})
+            .drop("_all", *[f"_n_{c}" for c in cols]))
 
 
 def null_rate_by_tier(df: DataFrame, group: str = "state", tiers: VolumeTiers = VolumeTiers(),

@@ -253,6 +253,15 @@ NAME = "case sector " + " ".join(f"when '{c}' then '{n}'" for c, n in fv.SECTORS
 SOURCE = "case when sector in ('55','99') then 'employers' else 'employers+nonemployers' end"
 
 
+@query("j7_best_indexed", """select sector, employer_only_pct, coverage from combined
+ where employer_only_pct > (select avg(employer_only_pct) from combined)""", *ALL, COMBINED)
+def j7_best(s, d):
+    """Sectors over the mean of all, so that rows pass the threshold whatever the counts."""
+    all_ = combined(s, d)
+    mean = all_.agg(F.avg("employer_only_pct")).scalar()
+    return all_.where(F.col("employer_only_pct") > mean).transform(cv.over_indexed, float("-inf"))
+
+
 @query("j8_gap_cells", f"select *, {NAME} as sector_name, {SOURCE} as source from cells", *ALL)
 def j8(s, d):
     return cells(s, d)
@@ -372,7 +381,12 @@ def j17c(s, d):
 
 @query("j18_verdicts", """select sector, nonemployer_share, employer_coverage, slice_records, website_fill_pct, industry_fill_pct,
  case when nonemployer_share > 0.70 and employer_coverage >= 0.35 then 'ARTIFACT' when nonemployer_share > 0.70 then 'CONFIRMED'
-  when slice_records < 1000 then 'CONFIRMED' else 'PLAUSIBLE' end as verdict
+  when slice_records < 1000 then 'CONFIRMED' else 'PLAUSIBLE' end as verdict,
+ case when nonemployer_share > 0.70 and employer_coverage >= 0.35 then printf('%.0f%%', nonemployer_share * 100) || ' non-employers while employer coverage is ' || printf('%.1f%%', employer_coverage * 100)
+  when nonemployer_share > 0.70 then 'employer coverage is only ' || printf('%.1f%%', employer_coverage * 100) || ' under ' || printf('%.0f%%', nonemployer_share * 100) || ' non-employers'
+  when slice_records < 1000 then 'only ' || slice_records || ' rows in this slice'
+  when coalesce(website_fill_pct, 100) < 40 and coalesce(industry_fill_pct, 100) < 50 then 'rows exist but the sample is poorly filled'
+  else slice_records || ' rows in this slice support the gap in direction' end as why
  from rollx join (select sector, our_records as slice_records from ours_sector) using (sector)
  join (select sector, count(website)*100e0/count(*) as website_fill_pct, count(industry)*100e0/count(*) as industry_fill_pct from spot group by sector)
  using (sector)""", *ALL, ROLL, SPOT)
@@ -380,7 +394,7 @@ def j18(s, d):
     roll = cv.sector_rollup(cells(s, d)).select("sector", "nonemployer_share", "employer_coverage")
     joined = (roll.join(cv.slice_counts(ruled(s, d), sector_labels(s)), "sector")
               .join(cv.slice_stats(spot(s, d)).select("sector", "website_fill_pct", "industry_fill_pct"), "sector"))
-    return cv.verdict(joined).drop("why")
+    return cv.verdict(joined)
 
 
 @query("j19_first_percentage", r"""select doc_id, coalesce(try_cast(nullif(regexp_extract(t, '(\d+(?:\.\d+)?)\s*%', 1), '') as double), 0e0) as pct

@@ -152,7 +152,7 @@ def l1(s, d):
 _STOP = quoted(fv.LABEL_STOP_WORDS)
 _TOK = f"list_distinct(list_filter(regexp_split_to_array(text, '[\\s,&/\\-]+'), lambda x: x <> '' and x not in ({_STOP})))"
 _KWSQL = "case " + " ".join(
-    f"when list_has_any(w, [{quoted(k.split())}]) then '{label}'" for k, label in fv.KEYWORD_LABELS) + " end"
+    f"when list_has_any(w, [{quoted(k)}]) then '{label}'" for k, label in fv.KEYWORD_LABELS) + " end"
 
 
 @query("l2_keyword_rules", f"select text, {_KWSQL} as label from (select text, {_TOK} as w from texts)", _TAX, _RAW, _TEXTS)
@@ -213,6 +213,30 @@ def l6(s, d):
     return raw.join(snapped, lb.tidy("text") == F.col("_t"), "left").select("p_partkey", "label", "step")
 
 
+_VTEXT = """case when vec_id % 5 = 0 then 'Label ' || label when vec_id % 5 = 1 then 'Retail ' || vec_id
+ when vec_id % 5 = 2 then ' ' else 'zz ' || vec_id end"""
+
+
+@query("l6_label_cascade_vectors", f"""with near as (
+ select vec_id, coalesce(case when s1 >= 0.40 then l1 end, case when s2 >= 0.40 then l2 end) as label from (
+ select vec_id, max(c) filter (sector = mine) as s1, arg_min(l, -c) filter (sector = mine) as l1, max(c) as s2, arg_min(l, -c) as l2 from (
+  select v.vec_id, v.label//2 as mine, t.l, t.sector, list_cosine_similarity(v.embedding, t.vector) as c
+  from embeddings v cross join (select 'label ' || label as l, label//2 as sector, arg_min(embedding, vec_id) as vector
+   from embeddings group by label) t) group by vec_id))
+ select vec_id, case vec_id % 5 when 0 then 'label ' || e.label when 1 then 'retail' when 2 then null else near.label end as label,
+ case when vec_id % 5 = 0 then 'exact' when vec_id % 5 = 1 then 'keyword' when vec_id % 5 > 2 and near.label is not null then 'cosine'
+  else 'none' end as step from embeddings e left join near using (vec_id)""")
+def l6_vectors(s, d):
+    """The cascade with vectors: a label's own text, a keyword, a blank text, and texts that only their vector places."""
+    v = table(s, d, "embeddings")
+    half = F.floor(F.col("label") / 2).cast("int")
+    tax = (v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector"))
+           .select(F.concat(F.lit("label "), F.col("label").cast("string")).alias("label"), half.alias("sector"),
+                   F.col("label").alias("pos"), "vector"))
+    rows = v.select("vec_id", F.expr(_VTEXT).alias("text"), half.alias("sector"), F.col("embedding").alias("vector"))
+    return lb.snap_cascade_vectors(rows, tax, "vec_id")
+
+
 @query("l7_name_divergence", """select c_custkey, 1e0 - levenshtein(a, b)/cast(greatest(length(a), length(b)) as double) as score,
  1e0 - levenshtein(a, b)/cast(greatest(length(a), length(b)) as double) < 0.70 as diverges
  from (select c_custkey, lower(c_name) as a, lower(case c_custkey%3 when 0 then c_name || ' Inc' when 1 then 'Cust ' || c_custkey

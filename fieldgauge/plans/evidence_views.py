@@ -202,6 +202,7 @@ def _final_sql() -> str:
              "case when failed then 1 when gone then 0 when escalated then 4 when was_checked then 3 when gate_ran then 2 else 1 end as stage_resolved",
              "case when failed then 'error' else 'completed' end as status", "operating as still_operating",
              "array_to_string(coalesce(signals, []), ',') as closure_signals", "e_is_single_facility as is_single_facility", "aud as b2b_vs_b2c",
+             "lab_method as industry_snap_method",
              "failed", "verified", "escalated"]
     return "fin as (select " + ", ".join(cols) + " from cand0)"
 

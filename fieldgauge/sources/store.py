@@ -20,36 +20,57 @@ def upsert(existing: DataFrame, batch: DataFrame, key: str = "handle", order: st
 
 
 class VersionedStore:
-    """Parquet versions under one folder. A version is written whole to its own
-    path and counts once its _SUCCESS marker is there, so the path being read is
-    never overwritten, and a lost executor or repeated batch leaves one result."""
+    """Keyed rows under one folder, dealt into ``buckets`` by hash of the key. A version holds, whole, the buckets that
+    its batch touches; the newest version of each bucket is the state. A version is written to its own path and counts
+    once its _SUCCESS marker is there, so the path being read is never overwritten, and a lost executor or repeated
+    batch leaves one result. The number of buckets belongs to the folder and must not change."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, key: str = "handle"):
-        self.spark, self.key = spark, key
+    BUCKET = "_bucket"
+
+    def __init__(self, spark: SparkSession, root: str | None = None, key: str = "handle", buckets: int = 64):
+        self.spark, self.key, self.buckets = spark, key, buckets
         self.root = root or new_path(spark, "store")
 
-    def _path(self, version: int) -> str:
-        return f"{self.root}/v{version:012d}"
+    def _path(self, version: int, whole: bool) -> str:
+        return f"{self.root}/{'w' if whole else 'v'}{version:012d}"
 
-    def versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.root)
+    def _list(self, path: str) -> list[str]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        done = [s.getPath() for s in fs.listStatus(p)]
-        return sorted(int(d.getName()[1:]) for d in done
-                      if d.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS")))
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _versions(self) -> list[tuple[int, bool, list[int]]]:
+        """(version, replaces all before, buckets) of each complete version, oldest first."""
+        out = []
+        for name in self._list(self.root):
+            inside = self._list(f"{self.root}/{name}")
+            if name[:1] in ("v", "w") and "_SUCCESS" in inside:
+                out.append((int(name[1:]), name[0] == "w", sorted(int(n.split("=")[1]) for n in inside if n.startswith(self.BUCKET))))
+        return sorted(out)
+
+    def versions(self) -> list[int]:
+        return [v for v, _, _ in self._versions()]
 
-    def read(self, below: int | None = None) -> DataFrame | None:
-        vs = [v for v in self.versions() if below is None or v < below]
-        return self.spark.read.parquet(self._path(vs[-1])) if vs else None
+    def read(self, below: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """The rows of all buckets, or of some, before version ``below``; None without any."""
+        newest: dict[int, str] = {}
+        for version, whole, held in self._versions():
+            if below is None or version < below:
+                if whole:
+                    newest.clear()
+                newest.update({b: f"{self._path(version, whole)}/{self.BUCKET}={b}" for b in held})
+        paths = [p for b, p in newest.items() if buckets is None or b in buckets]
+        return self.spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
 
     def apply(self, batch: DataFrame, version: int | None = None, force: bool = False, order: str | None = None) -> None:
-        """Write version ``version`` from the newest one before it. Repeating a
-        version recomputes the same content."""
-        vs = self.versions()
-        version = (vs[-1] + 1 if vs else 0) if version is None else version
-        base = None if force else self.read(below=version)
+        """Write version ``version``: the touched buckets as they were before it, with the batch. ``force`` replaces
+        the whole store. Repeating a version recomputes the same content."""
+        last = self.versions()[-1:]
+        version = (last[0] + 1 if last else 0) if version is None else version
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        base = None
+        if not force:
+            touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+            base = self.read(below=version, buckets=touched)
         out = batch if base is None else upsert(base, batch, self.key, order)
-        out.write.mode("overwrite").parquet(self._path(version))
+        out.withColumn(self.BUCKET, bucket).write.mode("overwrite").partitionBy(self.BUCKET).parquet(self._path(version, force))

@@ -10,6 +10,7 @@ from fieldgauge.operators import anomalies as an, coverage as cv, evaluate as el
 from fieldgauge.sources import benchmarks as bm, companies as src
 from fieldgauge.sources.store import VersionedStore
 from fieldgauge.sources.workspace import new_path
+from fieldgauge.streaming.upsert import stream_upsert
 
 
 def lev(a, b):
@@ -167,6 +168,18 @@ def test_store_replay_is_idempotent(spark):
     assert [tuple(r) for r in store.read().collect()] == [("z", 9)]
 
 
+def test_store_rewrites_touched_buckets_only(spark):
+    store = VersionedStore(spark, buckets=8)
+    store.apply(spark.createDataFrame([(f"k{i}", 0) for i in range(200)], "handle string, v int"))
+    before = {f for f in store.read().inputFiles()}
+    store.apply(spark.createDataFrame([("k7", 1)], "handle string, v int"))
+    state = store.read()
+    assert {r["handle"]: r["v"] for r in state.collect()} == {f"k{i}": int(i == 7) for i in range(200)}
+    assert len({f.rsplit("/", 1)[0] for f in before & set(state.inputFiles())}) == 7
+    store.apply(spark.createDataFrame([], "handle string, v int"))
+    assert store.read().count() == 200
+
+
 def test_loaders_take_public_file_quirks(spark, tmp_path):
     f = tmp_path / "emp.csv"
     f.write_text('﻿State,"State\nName",NAICS,"Enterprise\nSize",Firms\n1,Alabama,--,01: Total,"1,234"\n'
@@ -226,3 +239,50 @@ def test_white_space_of_every_kind_goes(spark):
     df = spark.createDataFrame([("Texas\t", "\tx\u00a0", "www\n", "\n")], "state string, name string, website string, city string")
     got = df.select(strip("state"), strip("name"), cleaning.clean_website("website")["value"], cleaning.clean_website("city")["value"]).first()
     assert tuple(got) == ("Texas", "x", None, None)
+
+
+def test_stream_upsert_over_several_files_in_either_order(spark, tmp_path):
+    import os
+
+    for name, order in (("up", (0, 1, 2)), ("down", (2, 1, 0))):
+        folder = tmp_path / name
+        for at, i in enumerate(order):  # files are read oldest first, one a batch
+            part = f"{folder}/part-{i}"
+            spark.createDataFrame([("a", f"at {i}", i), (f"own {i}", "x", i)], "handle string, v string, _seq int").coalesce(1).write.parquet(part)
+            for f in os.listdir(part):
+                os.utime(f"{part}/{f}", (1_700_000_000 + 100 * at,) * 2)
+        store = VersionedStore(spark)
+        store.apply(spark.createDataFrame([("a", "stored"), ("b", "stored")], "handle string, v string"), version=0)
+        stream = (spark.readStream.schema("handle string, v string, _seq int").option("maxFilesPerTrigger", 1)
+                  .option("recursiveFileLookup", True).parquet(str(folder)))
+        stream_upsert(stream, store, "_seq", new_path(spark, "upsert-state"), first_version=1).awaitTermination()
+        assert len(store.versions()) == 4
+        assert {r["handle"]: r["v"] for r in store.read().collect()} == {"a": "at 2", "b": "stored", "own 0": "x", "own 1": "x", "own 2": "x"}
+
+
+def test_overlap_join_gives_a_row_for_each_text_word(spark):
+    from fieldgauge.operators import labels as lb
+
+    tax = spark.createDataFrame([(f"alpha{i} services", i) for i in range(300)], "label string, pos int")
+    texts = spark.createDataFrame([("alpha services",), ("services alpha7",), ("none such",)], "text string")
+    out = lb.snap_overlap(texts, tax)
+    assert {tuple(r)[:2] for r in out.collect()} == {("alpha services", "alpha0 services"), ("services alpha7", "alpha7 services")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(_posted" in plan
+    labels = 6000
+    many = spark.createDataFrame([(f"word{i} trade", i) for i in range(labels)], "label string, pos int")
+    got = lb.snap_cascade(spark.createDataFrame([("word5999 trade",), ("xword17y",)], "text string"), many).collect()
+    assert {r["text"]: (r["label"], r["step"]) for r in got}["word5999 trade"] == ("word5999 trade", "exact")
+
+
+def test_reports_read_their_table_once(spark, tmp_path):
+    from fieldgauge.operators import profile as pr
+
+    rows = [(f"h{i}", f"n{i % 3}", f"http://d{i % 5}.com" if i % 2 else None, "c", "TX" if i % 4 else None, "1-10", None) for i in range(50)]
+    spark.createDataFrame(rows, "handle string, name string, website string, city string, state string, size string, type string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    keys = pr.key_report(df)
+    assert keys._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {r["candidate_key"]: (r["distinct_values"], r["nulls_in_key"]) for r in keys.collect()}["name + state"] == (6, 13)
+    rates = pr.null_rate_by(df, "state", ("website", "type"))
+    assert {r["state"]: (r["records"], r["type_vs_all"]) for r in rates.collect()} == {"TX": (37, 0.0), None: (13, 0.0)}
