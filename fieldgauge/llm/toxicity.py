@@ -8,8 +8,9 @@ The models are fitted on at most ``max_labelled`` labelled documents, those whos
 ``words`` also bound what reaches the driver. Every document is scored over its whole text.
 
 Defined results: null text is an empty text; labels with a null id or a null category are left out, a repeated id takes
-its largest label; a repeated document is scored as often as it comes; without labels probabilities are null and
-nothing is toxic; no rows give no rows; other columns, whatever their names, are never looked at.
+its largest label; a repeated document is scored as often as it comes, and the least text of an id is learnt from;
+without labels probabilities are null and nothing is toxic; no rows give no rows; other columns, whatever their names,
+are never looked at.
 """
 
 from __future__ import annotations
@@ -113,7 +114,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_lab
     mixed = F.xxhash64("_id")
     sample = known.orderBy(mixed, "_id").limit(max_labelled).withColumn("fold", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(folds)).cast("int"))
     n = len(categories)
-    train = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "fold", *[f"y{c}" for c in range(n)])
+    # one text for each id, so repeated ids can't outgrow the bound; written once, as it is read twice
+    train = materialise(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+                        .groupBy("_id", "fold", *[f"y{c}" for c in range(n)]).agg(F.min("text").alias("text"))
+                        .select("text", "fold", *[f"y{c}" for c in range(n)]))
     run, ddl = _word_counts(n, folds)
     width = folds * (1 + n)
     sums = train.mapInArrow(run, ddl).groupBy("word").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(width)])
