@@ -32,15 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def apart(docs: DataFrame, *need: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """``docs`` as the columns an operator works on and one struct of all others, where no name of theirs can clash with
-    the operator's own, and the function that gives the columns back as they were."""
-    rest = [c for c in docs.columns if c not in need]
-    named = {c: "`" + c.replace("`", "``") + "`" for c in rest}
-    held = docs.select(*need, *([F.struct(*[F.col(n) for n in named.values()]).alias("_rest")] if rest else []))
+    """``docs`` with all columns but those an operator works on under numbered names, where none can clash with the
+    operator's own, and the function that gives the columns back as they were."""
+    names = [c if c in need else f"_rest_{i}" for i, c in enumerate(docs.columns)]
 
     def back(out: DataFrame) -> DataFrame:
-        return out.select(*[F.col(c) if c in need else F.col(f"_rest.{named[c]}").alias(c) for c in docs.columns])
-    return held, back
+        return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return docs.toDF(*names), back
 
 
 def one_space(text: Column) -> Column:
