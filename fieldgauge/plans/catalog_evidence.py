@@ -192,6 +192,16 @@ def g8(s, d):
                               {"size": fv.SIZE_BANDS, "state": ("California", "Texas")})
 
 
+@query("g8_confidence_gate", """select *, after - before as delta, after - before >= -5 as passed from (
+ select 'confidence:website_confidence' as gate, (select quantile_disc(w1, 0.5) from vals) * 100e0 as before,
+  (select quantile_disc(website_confidence, 0.5) from enriched) * 100e0 as after)""", *X)
+def g8_confidence(s, d):
+    """Median confidence of the final rows against that before the last step."""
+    rows = traced(s, d)
+    return lg.regression_gate(rows.select(F.col("w_conf1").alias("website_confidence")), rows.select("website_confidence"), (), {},
+                              ("website_confidence",))
+
+
 # -- reports ---------------------------------------------------------------------
 
 def _dist(c):
