@@ -150,6 +150,17 @@ def test_toxicity_chain(spark, docs, none):
     assert toxicity.clean_documents(docs, labels.where("false")).count() == len(ROWS)
 
 
+def test_toxicity_repeated_ids_learn_once(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} " + ("vile" if i % 3 == 0 else "kind")) for i in range(120)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(120)], "doc_id bigint, quality int, toxic int")
+    once = toxicity.fit_chain(docs, labels)
+    again = toxicity.fit_chain(docs.union(docs).union(docs.where("doc_id < 40").selectExpr("doc_id", "concat(text, ' z')")), labels)
+    assert once.categories == again.categories
+    for a, b in zip(once.words, again.words):
+        assert a == pytest.approx(b)
+    assert once.intercept == pytest.approx(again.intercept)
+
+
 def test_packing_round_trip(docs, none):
     from tokenizers import Tokenizer
     import public_tokenizers as P
