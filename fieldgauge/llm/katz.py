@@ -11,8 +11,13 @@ The model, for word w after history h:
 
 d is the Good-Turing discount up to K; larger counts lose half a count, so that every history keeps some mass.
 alpha(h) = (1 - sum of seen P(. | h)) / (1 - sum of P(w) over the words seen after h), so each distribution sums to 1.
-A history is the word before if that holds at least HISTORY_SHARE of all tokens, so there are at most 1 / HISTORY_SHARE
-of them whatever the corpus; all other words before share one history, and the start of a text is one.
+A history is the word before, or the start of a text. Every word has its own; only if a caller gives a history_share do
+the words below that share of all tokens have one history together.
+
+Both cases divide by C(h), and the history of a token is the token before, so each word gives its document 1 / C(word) where
+its count is known anyway. Left open are seen pairs by count and unseen ones by history. Histories of at least HOT_SHARE of
+all tokens, at most 1 / HOT_SHARE of them, are numbered and their alpha goes to all tasks; the others, none of them a hot
+key, stay in a table that is joined to the open events by history. HOT_SHARE has no influence on scores.
 
 Tables, all in the shared folder: word counts; pair counts, history counts and what each document adds, in partitions
 by kind. Texts are read twice: to count words, and to send pairs to the partition of their word, where counts meet
@@ -26,6 +31,7 @@ probability 1; no rows give no rows; other columns are never looked at.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -37,14 +43,16 @@ from fieldgauge.llm.common import query, table, texts_of
 from fieldgauge.sources.workspace import materialise, new_path
 
 K = 5
-HISTORY_SHARE = 1e-6
+HISTORY_SHARE = 0.0
+HOT_SHARE = 1e-6
 BLOCK_TOKENS = 1_000_000
 BLOCK_DOCS = 16_000   # twice a document's number is a 16-bit integer
 BUCKET_TOKENS = 3_000_000
 SLICES = 16
 HELD = (7, 2)
 END = np.int64(zlib.crc32(b"end of text") + (1 << 40))
-START_CLASS, RARE_CLASS, FIRST_CLASS = 0, 1, 2
+START, POOLED = END + 1, END + 2            # histories that are no word
+START_CLASS, RARE_CLASS, FIRST_CLASS = 0, 1, 2   # RARE_CLASS: one history if pooled, else all that are not numbered
 NS = K + 2          # pairs seen 1 .. K + 1 times, and more often
 
 
@@ -68,15 +76,14 @@ def kept(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 class Words:
     """What every task needs of the word counts: totals, discounts, and the numbers and counts of frequent words."""
 
-    def __init__(self, total: int, types: int, n: list[int], train_docs: int, frequent: dict[int, int]):
-        self.total, self.types, self.d = total, types, discounts(n)
+    def __init__(self, total: int, types: int, n: list[int], train_docs: int, frequent: dict[int, int], pooled: bool = False):
+        self.total, self.types, self.d, self.train_docs, self.pooled = total, types, discounts(n), train_docs, pooled
         low = sum((1 - self.d[r - 1]) * r * n[r] for r in range(1, K + 1)) + 0.5 * (types - sum(n[1:K + 1]))
         self.unknown = low / total if total else 1.0
         self.ids = np.array(sorted(frequent), np.int64)
         self.counts = np.array([frequent[i] for i in self.ids.tolist()], np.int64)
-        words = total - train_docs
-        followed = np.where(self.ids == END, 0, self.counts)   # an end is no history
-        self.histories = np.r_[train_docs, words - followed.sum(), followed].astype(np.int64)
+        self.rest = total - train_docs - self.counts[self.ids != END].sum()   # an end is no history
+        self.numbered = np.r_[START, POOLED, self.ids]
 
     def place(self, ids: np.ndarray) -> np.ndarray:
         """Number among the frequent words, or -1."""
@@ -85,6 +92,20 @@ class Words:
         at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
         return np.where(self.ids[at] == ids, at, -1)
 
+    def history(self, ids: np.ndarray) -> np.ndarray:
+        """The history a word makes."""
+        return np.where(self.place(ids) >= 0, ids, POOLED) if self.pooled else ids
+
+    def classes(self, histories: np.ndarray) -> np.ndarray:
+        """Number of a history, RARE_CLASS if it has none of its own."""
+        place = self.place(histories)
+        return np.where(histories == START, START_CLASS, np.where(place >= 0, place + FIRST_CLASS, RARE_CLASS))
+
+    def history_total(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """C of the histories that words make, from the counts of the words; 1 where nothing was seen after it."""
+        own = np.where(self.place(ids) >= 0, counts, self.rest) if self.pooled else counts
+        return np.where(ids == END, 1, np.maximum(own, 1))
+
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.where(counts > 0, kept(counts, self.d) / max(self.total, 1), self.unknown)
 
@@ -128,7 +149,7 @@ def _count_words(batches):
         yield flush()
 
 
-_SENT = ("bucket int, block bigint, w array<bigint>, pairs array<int>, h array<int>, entries array<int>, doc array<smallint>, "
+_SENT = ("bucket int, block bigint, w array<bigint>, pairs array<int>, h array<int>, rare array<bigint>, entries array<int>, doc array<smallint>, "
          "ids array<bigint>, tokens array<int>")
 
 
@@ -137,21 +158,21 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind) -> pa.ListArray:
 
 
 def _send(words: Words, buckets: int):
-    """Blocks of documents as rows (bucket, block): distinct words, their histories, and per pair the documents it
+    """Blocks of documents as rows (bucket, block): distinct words, their histories by number (``rare``: the words of those
+    without one, in turn), and per pair the documents it
     occurs in (twice the number in the block, plus 1 if held out), one entry per occurrence."""
     def block_rows(block: int, docs: list, lengths: list):
         w = np.concatenate(docs)
         n = np.array(lengths)
         ids = [i for i, _ in meta]
         held = np.array([h for _, h in meta])
-        place = words.place(w)
-        cls = np.where(place >= 0, place + FIRST_CLASS, RARE_CLASS)
-        h = np.r_[START_CLASS, cls[:-1]]
+        h = np.r_[START, words.history(w[:-1])]
         starts = np.r_[0, np.cumsum(n)[:-1]]
-        h[starts] = START_CLASS
+        h[starts] = START
         doc = np.repeat(2 * np.arange(len(n)) + held, n)
         mix = w.view(np.uint64) ^ (w.view(np.uint64) >> np.uint64(29))
-        mix = mix + np.where(place >= 0, h, 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mix = mix + np.where(words.place(w) >= 0, h, 0).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mix = mix ^ (mix >> np.uint64(32))
         bucket = ((mix * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)) % np.uint64(buckets)
         order = np.lexsort((h, w, bucket))
         w, h, doc, bucket = w[order], h[order], doc[order], bucket[order].astype(np.int64)
@@ -165,13 +186,16 @@ def _send(words: Words, buckets: int):
         cut = np.r_[at_b, size]
         ends_w, ends_p = np.searchsorted(at_w, cut), np.searchsorted(at_p, cut)
         k = len(at_b)
+        cls = words.classes(h[at_p])
+        rare = cls == RARE_CLASS
+        ends_rare = np.r_[0, np.cumsum(rare)][ends_p]
         head = np.zeros(k + 1, np.int64)
         head[1:] = len(ids)                                    # the block's documents travel with its first row
         yield pa.RecordBatch.from_arrays(
             [pa.array(bucket[at_b], pa.int32()), pa.array(np.full(k, block), pa.int64()), _lists(w[at_w], ends_w, pa.int64()),
-             _lists(pairs, ends_w, pa.int32()), _lists(h[at_p], ends_p, pa.int32()), _lists(entries, ends_p, pa.int32()), _lists(doc, cut, pa.int16()),
+             _lists(pairs, ends_w, pa.int32()), _lists(cls, ends_p, pa.int32()), _lists(h[at_p][rare], ends_rare, pa.int64()), _lists(entries, ends_p, pa.int32()), _lists(doc, cut, pa.int16()),
              pa.ListArray.from_arrays(pa.array(head, pa.int32()), pa.array(ids, pa.int64())), pa.ListArray.from_arrays(pa.array(head, pa.int32()), pa.array(n, pa.int32()))],
-            names=["bucket", "block", "w", "pairs", "h", "entries", "doc", "ids", "tokens"])
+            names=["bucket", "block", "w", "pairs", "h", "rare", "entries", "doc", "ids", "tokens"])
 
     meta: list = []
 
@@ -194,11 +218,12 @@ def _send(words: Words, buckets: int):
 
 
 _MET = ("kind string, block bigint, doc array<int>, fixed array<double>, base array<double>, known array<int>, seen array<int>, "
-        "event_h array<int>, event_doc array<int>, ids array<bigint>, tokens array<int>, w array<bigint>, pairs array<int>, h array<int>, r array<int>, "
+        "event_h array<int>, event_doc array<int>, rare array<bigint>, rare_doc array<int>, ids array<bigint>, tokens array<int>, w array<bigint>, pairs array<int>, h array<int>, r array<int>, "
         "ns array<int>, covered array<double>")
 _MET_SCHEMA = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("doc", pa.list_(pa.int32())), ("fixed", pa.list_(pa.float64())),
                          ("base", pa.list_(pa.float64())), ("known", pa.list_(pa.int32())), ("seen", pa.list_(pa.int32())),
-                         ("event_h", pa.list_(pa.int32())), ("event_doc", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())),
+                         ("event_h", pa.list_(pa.int32())), ("event_doc", pa.list_(pa.int32())),
+                         ("rare", pa.list_(pa.int64())), ("rare_doc", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())),
                          ("tokens", pa.list_(pa.int32())), ("w", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int32())), ("h", pa.list_(pa.int32())), ("r", pa.list_(pa.int32())),
                          ("ns", pa.list_(pa.int32())), ("covered", pa.list_(pa.float64()))])
 
@@ -222,12 +247,12 @@ def _rows(kind: str, columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
 def _meet(words: Words):
     """All blocks of one bucket: total the pairs, then give each document what its tokens are worth. What depends on the
     discounts of pairs or on alpha is left open: tokens seen 1 .. K times by number, unseen ones as events."""
-    logs = np.log10(np.maximum(words.histories, 1))
-
     def run(_, group):
         word, _ = _flat(group.column("w"))
         pairs, _ = _flat(group.column("pairs"))
-        h, per_row = _flat(group.column("h"))
+        cls, per_row = _flat(group.column("h"))
+        h = words.numbered[cls]
+        h[cls == RARE_CLASS] = POOLED if words.pooled else _flat(group.column("rare"))[0]
         entries, _ = _flat(group.column("entries"))
         doc, per_entry = _flat(group.column("doc"))
         w = np.repeat(word, pairs)
@@ -266,7 +291,7 @@ def _meet(words: Words):
             of = np.empty(len(order), np.int64)
             of[order] = np.cumsum(new_p) - 1
             r, c = r_each[of], c_each[of]
-            worth = np.where(r > 0, np.log10(np.where(r > K, r - 0.5, np.maximum(r, 1))) - logs[hs], np.log10(p_each[of]))
+            worth = np.log10(np.where(r > K, r - 0.5, np.where(r > 0, r, p_each[of]))) - np.log10(words.history_total(w_each, c_each)[of])
             e_of = np.repeat(np.arange(len(at)), n)
             slot = offset[row[at]][e_of] + doc[pick]
             there[slot] = True
@@ -288,25 +313,57 @@ def _meet(words: Words):
         k_row = np.searchsorted(offset, slot, "right") - 1
         cut = np.searchsorted(k_row, np.arange(group.num_rows + 1))
         ev_row, ev_h, ev_doc = (np.concatenate(x) for x in zip(*events))
-        order = np.argsort(ev_row, kind="stable")
-        cut_open = np.searchsorted(ev_row[order], np.arange(group.num_rows + 1))
+        ev_class = words.classes(ev_h)
+        joined = (ev_class == RARE_CLASS) & (not words.pooled)
+        order, order_rare = (np.flatnonzero(x)[np.argsort(ev_row[x], kind="stable")] for x in (~joined, joined))
+        cut_open, cut_rare = (np.searchsorted(ev_row[o], np.arange(group.num_rows + 1)) for o in (order, order_rare))
         part = {"block": group.column("block"), "doc": _lists(slot - offset[k_row], cut, pa.int32()), "fixed": _lists(fixed[slot], cut, pa.float64()),
                 "base": _lists(base[slot], cut, pa.float64()), "known": _lists(known[slot], cut, pa.int32()), "seen": _lists(times[slot].ravel(), cut * K, pa.int32()),
-                "event_h": _lists(ev_h[order], cut_open, pa.int32()), "event_doc": _lists(ev_doc[order], cut_open, pa.int32()),
+                "event_h": _lists(ev_class[order], cut_open, pa.int32()), "event_doc": _lists(ev_doc[order], cut_open, pa.int32()),
+                "rare": _lists(ev_h[order_rare], cut_rare, pa.int64()), "rare_doc": _lists(ev_doc[order_rare], cut_rare, pa.int32()),
                 "ids": group.column("ids"), "tokens": group.column("tokens")}
         part = {k: _whole(v) for k, v in part.items()}
         one = lambda x, t: pa.array([np.concatenate(x)], pa.list_(t))
-        hist, ns, covered = zip(*histories)
+        hist, ns, covered = (np.concatenate(x) for x in zip(*histories))
+        hist, inv = np.unique(hist, return_inverse=True)
+        ns = np.stack([np.bincount(inv, x, len(hist)) for x in ns.reshape(-1, NS).T], 1).astype(np.int64)
+        covered = np.bincount(inv, covered, len(hist))
+        number = words.classes(hist)
+        own = (number != RARE_CLASS) | words.pooled
+        h_all = np.concatenate(table_h) if table_h else np.zeros(0, np.int64)
+        h_class = words.classes(h_all)
         return pa.Table.from_batches([
             _rows("documents", part, group.num_rows),
-            _rows("histories", {"h": one(hist, pa.int32()), "ns": one(ns, pa.int32()), "covered": one(covered, pa.float64())}, 1),
-            _rows("pairs", {"w": one(table_w, pa.int64()), "pairs": one(table_n, pa.int32()), "h": one(table_h, pa.int32()), "r": one(table_r, pa.int32())}, 1)])
+            _rows("histories", {"h": one([number[own], [RARE_CLASS]], pa.int32()), "ns": one([ns[own].ravel(), ns[~own].sum(0)], pa.int32()),
+                                "covered": one([covered[own], [0.0]], pa.float64())}, 1),   # last: totals of those that are joined
+            _rows("rare", {"rare": one([hist[~own]], pa.int64()), "ns": one([ns[~own].ravel()], pa.int32()), "covered": one([covered[~own]], pa.float64())}, 1),
+            _rows("pairs", {"w": one(table_w, pa.int64()), "pairs": one(table_n, pa.int32()), "h": one([h_class], pa.int32()),
+                            "rare": one([h_all[h_class == RARE_CLASS]], pa.int64()), "r": one(table_r, pa.int32())}, 1)])
     return run
 
 
-def _settle(d: np.ndarray, alpha: np.ndarray, per_token: float):
+def _rare_histories(batches):
+    """(h, n1 .., covered) of the histories without a number, one row each."""
+    for batch in batches:
+        h, ns, covered = (_flat(batch.column(batch.schema.get_field_index(c)))[0] for c in ("rare", "ns", "covered"))
+        if len(h):
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *[pa.array(n, pa.int64()) for n in ns.reshape(-1, NS).T], pa.array(covered, pa.float64())],
+                                             names=["h", *[f"n{r + 1}" for r in range(NS)], "covered"])
+
+
+def _rare_events(batches):
+    """(h, block, doc) of the open events whose history has no number."""
+    for batch in batches:
+        h, n = _flat(batch.column(batch.schema.get_field_index("rare")))
+        doc, _ = _flat(batch.column(batch.schema.get_field_index("rare_doc")))
+        block = np.repeat(batch.column(batch.schema.get_field_index("block")).to_numpy(), n)
+        if len(h):
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(block, pa.int64()), pa.array(doc, pa.int32())], names=["h", "block", "doc"])
+
+
+def _settle(d: np.ndarray, log_a: np.ndarray, per_token: float, start: float):
     """All parts of one block: a row for each document. Opens what was left open."""
-    log_d, log_a = np.log10(d), np.log10(alpha)
+    log_d = np.log10(d)
 
     def run(_, group):
         ids = _whole(group.column("ids")).flatten().to_pylist()
@@ -317,21 +374,23 @@ def _settle(d: np.ndarray, alpha: np.ndarray, per_token: float):
         event_h, _ = _flat(group.column("event_h"))
         event_doc, _ = _flat(group.column("event_doc"))
         part = fixed + _flat(group.column("seen"))[0].reshape(-1, K) @ log_d
-        score = np.bincount(doc >> 1, part, n) + np.bincount(event_doc >> 1, log_a[event_h], n)
+        score = np.bincount(doc >> 1, part, n) + np.bincount(event_doc >> 1, log_a[event_h], n) - start
+        score += np.bincount(_flat(group.column("rare_doc"))[0] >> 1, _flat(group.column("rare_add"))[0], n)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids], pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()),
                          "n_known": pa.array(np.bincount(doc >> 1, known, n).astype(np.int64)), "base_score": np.bincount(doc >> 1, base, n) + per_token * tokens, "score": score})
     return run
 
 
 def score_texts(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, history_share: float = HISTORY_SHARE) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document. A ``history_share`` gives
+    the words below that share of all tokens one history together."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     counts = materialise(rows.mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     have = counts.agg(F.sum("n").alias("total"), F.count("*").alias("types"), F.sum(F.when(F.col("word") == int(END), F.col("n"))).alias("docs"),
                       *[F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, K + 2)]).first()
     total = have["total"] or 0
-    frequent = counts.where(F.col("n") >= max(1, total * history_share)).toArrow().to_pydict()  # at most 1 / history_share rows
-    words = Words(total, have["types"], [0] + [have[f"n{r}"] for r in range(1, K + 2)], have["docs"] or 0, dict(zip(frequent["word"], frequent["n"])))
+    frequent = counts.where(F.col("n") >= max(1, total * (history_share or HOT_SHARE))).toArrow().to_pydict()  # at most 1 / share rows
+    words = Words(total, have["types"], [0] + [have[f"n{r}"] for r in range(1, K + 2)], have["docs"] or 0, dict(zip(frequent["word"], frequent["n"])), history_share > 0)
     buckets = max(1, -(-total // bucket_tokens))
     path = new_path(docs.sparkSession, "katz")
     (rows.mapInArrow(_send(words, buckets), _SENT).groupBy("bucket").applyInArrow(_meet(words), _MET).write.partitionBy("kind").parquet(path))
@@ -339,16 +398,28 @@ def score_texts(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, history_sha
     each = met.where("kind = 'histories'").select(F.posexplode("h").alias("i", "h"), "ns", "covered")
     n_at = [F.get("ns", F.col("i") * NS + r).alias(f"n{r + 1}") for r in range(NS)]
     hist = (each.select("h", F.get("covered", F.col("i")).alias("covered"), *n_at).groupBy("h")
-            .agg(F.sum("covered").alias("covered"), *[F.sum(f"n{r + 1}").alias(f"n{r + 1}") for r in range(NS)])).toArrow().to_pydict()  # one row per history
+            .agg(F.sum("covered").alias("covered"), *[F.sum(f"n{r + 1}").alias(f"n{r + 1}") for r in range(NS)])).toArrow().to_pydict()  # one row per numbered history
     ns = np.array([hist[f"n{r + 1}"] for r in range(NS)], np.int64).reshape(NS, -1)
     d = discounts([0, *ns.sum(1).tolist()])
-    left = sum((1 - d[r]) * (r + 1) * ns[r] for r in range(K)) + 0.5 * ns[K:].sum(0)
-    alpha = np.ones(len(words.histories))
+    loss = [(1 - d[r]) * (r + 1) if r < K else 0.5 for r in range(NS)]
+    log_a = np.zeros(len(words.numbered))
     at = np.array(hist["h"], np.int64)
-    alpha[at] = left / words.histories[at] / np.maximum(1 - np.array(hist["covered"]), 1e-12)
+    left = np.array(loss) @ ns
+    log_a[at] = np.log10(np.where(left > 0, left, 1) / np.maximum(1 - np.array(hist["covered"]), 1e-12))
     per_token = -np.log10(total + have["types"] + 1)
+    rare_sum = [F.sum(f"n{r + 1}") * F.lit(float(loss[r])) for r in range(NS)]
+    rare = (met.where("kind = 'rare'").select("rare", "ns", "covered")
+            .mapInArrow(_rare_histories, "h bigint, " + ", ".join(f"n{r + 1} bigint" for r in range(NS)) + ", covered double").groupBy("h")
+            .agg(F.log10(sum(rare_sum[1:], rare_sum[0]) / F.greatest(1 - F.sum("covered"), F.lit(1e-12))).alias("add")))
     parts = met.where("kind = 'documents'").select("block", "doc", "fixed", "base", "known", "seen", "event_h", "event_doc", "ids", "tokens")
-    scored = parts.groupBy("block").applyInArrow(_settle(d, alpha, per_token), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    events = met.where("kind = 'documents'").select("block", "rare", "rare_doc").mapInArrow(_rare_events, "h bigint, block bigint, doc int")
+    added = (events.join(rare, "h").groupBy("block", "doc").agg(F.sum("add").alias("add"))     # no row: nothing seen after it, alpha is 1
+             .groupBy("block").agg(F.collect_list("doc").alias("rare_doc"), F.collect_list("add").alias("rare_add")))
+    empty = {c: F.array().cast(t) for c, t in parts.dtypes if c != "block"}
+    parts = (parts.withColumns({"rare_doc": F.array().cast("array<int>"), "rare_add": F.array().cast("array<double>")})
+             .unionByName(added.withColumns(empty)))
+    settle = _settle(d, log_a, per_token, math.log10(max(words.train_docs, 1)))
+    scored = parts.groupBy("block").applyInArrow(settle, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

@@ -140,6 +140,48 @@ def test_katz_against_brute_force(docs, none, monkeypatch):
     assert katz.score_texts(none).count() == 0
 
 
+def katz_scores(rows):
+    """Scores with a history for every word, by brute force."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [(i, t.split() + ["</s>"]) for i, t in rows]
+    u = collections.Counter(w for i, t in texts if not held(i) for w in t)
+    pairs = collections.Counter((p, w) for i, t in texts if not held(i) for p, w in zip([None, *t], t))
+    c = collections.Counter()
+    for (h, _), k in pairs.items():
+        c[h] += k
+
+    def left(counts):
+        tally = collections.Counter(counts.values())
+        d = katz.discounts([0] + [tally[r] for r in range(1, 7)])
+        return lambda r: r * d[r - 1] if r <= 5 else r - 0.5
+    du, dp, n = left(u), left(pairs), sum(u.values())
+    p1 = {w: du(k) / n for w, k in u.items()}
+    alpha = {h: (1 - sum(dp(k) / c[h] for (g, _), k in pairs.items() if g == h)) / (1 - sum(p1[w] for (g, w) in pairs if g == h)) for h in c}
+    return {i: sum(math.log10(dp(pairs[p, w]) / c[p] if (p, w) in pairs else alpha.get(p, 1) * p1.get(w, 1 - sum(p1.values()))) for p, w in zip([None, *t], t)) for i, t in texts}
+
+
+def test_katz_numbered_or_joined_histories_score_alike(spark, monkeypatch):
+    import random
+
+    pick = random.Random(3)
+    rows = [(i, " ".join(f"w{int(60 * pick.random() ** 3)}" for _ in range(pick.randint(0, 40)))) for i in range(200)]
+    rows += [(1000 + i, f"rare{i % 20} after{i % 20} w1 other{i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = katz_scores(rows)
+    monkeypatch.setattr(katz, "BLOCK_DOCS", 70)
+    for share in (1e-6, 0.02, 1.1):   # all numbered, some, none
+        monkeypatch.setattr(katz, "HOT_SHARE", share)
+        got = {r["doc_id"]: r["score"] for r in katz.score_texts(docs, bucket_tokens=1000).collect()}
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_katz_large_corpus_keeps_rare_histories(spark):
+    """Words seen once in more than two million tokens are histories."""
+    rows = [(i, "so " * 100_000) for i in range(26)] + [(100 + i, f"rare{i} after{i} so") for i in range(60)]
+    got = {r["doc_id"]: r["score"] for r in katz.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id >= 100").collect()}
+    assert got == pytest.approx({i: s for i, s in katz_scores(rows).items() if i >= 100}, abs=1e-6)
+
+
 def test_toxicity_chain(spark, docs, none):
     rows = [(i, f"plain words number {i} " + ("vile scum here" if i % 4 == 0 else "fine day here"), i % 3 and 1, int(i % 4 == 0)) for i in range(400)]
     d, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(r[0], r[2], r[3]) for r in rows] + [(None, 1, 1), (5, None, 0)], "doc_id bigint, quality int, toxic int")
