@@ -10,6 +10,7 @@ from fieldgauge.functions import bands
 from fieldgauge.functions.text import is_missing, lookup
 from fieldgauge.operators.evidence import FIELDS
 from fieldgauge.operators.profile import distribution, long_form, with_share
+from fieldgauge.operators.running import running_total
 
 FLAGS = tuple(f"{f}_review_flag" for f in FIELDS) + ("operating_status_review_flag",)
 PRIORITY = {"enterprise": 1, "mid_market": 2, "smb": 3, "micro": 4}
@@ -89,6 +90,10 @@ def review_by_segment(df: DataFrame) -> DataFrame:
             .agg(F.count_if(any_flag()).alias("flagged"), F.count("*").alias("records")))
 
 
+def queue_order() -> list[Column]:
+    return [F.col("priority"), F.asc_nulls_last("website_confidence"), F.col("handle")]
+
+
 def review_queue(df: DataFrame, ordered: bool = True) -> DataFrame:
     """Flagged rows with a priority, the fields to look at, and only the flagged
     fields' columns filled in."""
@@ -99,4 +104,10 @@ def review_queue(df: DataFrame, ordered: bool = True) -> DataFrame:
         F.coalesce(lookup(PRIORITY, F.col("poc_segment")), F.lit(9)).alias("priority"),
         "handle", "name", "city", "state", "poc_segment",
         F.array_join(F.array_compact(F.array(*marked)), ", ").alias("fields_to_review"), *details)
-    return out.orderBy("priority", F.asc_nulls_last("website_confidence"), "handle") if ordered else out
+    return out.orderBy(*queue_order()) if ordered else out
+
+
+def review_queue_places(df: DataFrame) -> DataFrame:
+    """The whole review queue with the place of each row, from 0."""
+    queue = review_queue(df, ordered=False).withColumn("_one", F.lit(1))
+    return running_total(queue, queue_order(), "_one", "_upto").withColumn("place", F.col("_upto") - 1).drop("_one", "_upto")

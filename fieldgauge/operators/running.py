@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldgauge.sources.workspace import materialise
 
 
-def running_total(df: DataFrame, order: Sequence[str], value: str, name: str = "running",
+def running_total(df: DataFrame, order: Sequence[str | Column], value: str, name: str = "running",
                   partitions: int | None = None) -> DataFrame:
     """Sum of ``value`` up to and including each row in the total order ``order``.
 

@@ -299,9 +299,15 @@ def r8(s, d):
 @query("r8_review_queue_order", f"""select handle, row_number() over (order by priority, website_confidence nulls last, handle) - 1 as place
  from ({_QUEUE}) order by place limit 500""", *X)
 def r8_order(s, d):
-    """The first 500 rows of the queue with their places, so that the order counts too. The cut leaves one partition, in
-    which the row id is the place."""
-    return rp.review_queue(enriched(s, d)).limit(500).select("handle", F.monotonically_increasing_id().alias("place"))
+    """The rows of the numbered queue that this query's SQL asks for; r8_review_queue_places has all of them."""
+    return rp.review_queue_places(enriched(s, d)).where("place < 500").select("handle", "place")
+
+
+@query("r8_review_queue_places", f"""select handle, row_number() over (order by priority, website_confidence nulls last, handle) - 1 as place
+ from ({_QUEUE})""", *X)
+def r8_places(s, d):
+    """Every row of the queue with its place, so that the order counts too."""
+    return rp.review_queue_places(enriched(s, d)).select("handle", "place")
 
 
 @query("i13_review_queue_csv", f"select priority, handle, poc_segment, nullif(fields_to_review, '') as fields_to_review from ({_QUEUE})", *X)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldgauge import fixed_values as fv
-from fieldgauge.operators import anomalies as an, coverage as cv, evaluate as el, labels as lb, ledger as lg, running as rn, sampling as sa, scale
+from fieldgauge.operators import anomalies as an, coverage as cv, evaluate as el, labels as lb, ledger as lg, reports as rp, running as rn, sampling as sa, scale
 from fieldgauge.sources import benchmarks as bm, companies as src
 from fieldgauge.sources.store import VersionedStore
 from fieldgauge.sources.workspace import new_path
@@ -84,6 +84,18 @@ def test_running_total_with_ties(spark, partitions):
     assert all(r["running"] - r["c"] < 1000 for r in cut) and len(cut) == sum(want[b] - c < 1000 for _, b, c in rows)
 
 
+def test_review_queue_numbers_every_row(spark):
+    rng = random.Random(2)
+    rows = [(f"h{i:04}", rng.choice(["enterprise", "smb", None]), rng.choice([0.1, 0.5, None]), i % 4 > 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "handle string, poc_segment string, c double, flag boolean")
+    for f in rp.FIELDS:
+        df = df.withColumns({f"{f}_review_flag": F.col("flag"), f"{f}_confidence": F.col("c"), **{f"{f}_{x}": F.lit("x") for x in ("original", "enriched", "pipeline_stage")}})
+    df = df.withColumns({"name": F.lit("n"), "city": F.lit("c"), "state": F.lit("s"), "operating_status_review_flag": F.lit(False)})
+    flagged = sorted((r for r in rows if r[3]), key=lambda r: (rp.PRIORITY.get(r[1], 9), r[2] is None, r[2] or 0, r[0]))
+    got = {r["handle"]: r["place"] for r in rp.review_queue_places(df).collect()}
+    assert got == {r[0]: i for i, r in enumerate(flagged)} and len(got) == 1500
+
+
 def test_keyword_cascade_defaults(spark):
     labels = spark.createDataFrame([("food and beverage manufacturing", 0), ("legal services", 1), ("food retail", 2), ("pet services", 3)], "label string, pos int")
     texts = spark.createDataFrame([(t,) for t in (" Legal Services", "food", "law firm", "P.A.", "beverages and foods", "pet servces", "the of", None, "qqqqqq")], "text string")
