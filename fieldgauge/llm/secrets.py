@@ -1,7 +1,8 @@
 """Secret scan by a battery of randomness tests.
 
 Besides the three plain patterns, every long run of letters, digits and base-64 signs that has both a letter and a
-digit is a candidate. Its encoding is inferred from the signs it uses; under that encoding a uniform random key passes
+digit is a candidate; a run that no alphabet holds is cut at its inner ``=``, then at the signs that keep a piece out of
+all alphabets, and the pieces that are long enough are candidates at their own places. The encoding is inferred from the signs it uses; under that encoding a uniform random key passes
 a chi-squared test of alphabet use, a runs test about the median sign and a lag-one serial correlation test. The
 least of the three p-values, times three, is the candidate's p-value; a small one speaks against randomness.
 
@@ -47,6 +48,7 @@ _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+_EQUALS, _URL, _STANDARD = re.compile(r"=+(?=[^=])"), re.compile(r"[-_]+"), re.compile(r"[+/]+")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 
@@ -128,12 +130,31 @@ def length_bin(n: int) -> int:
     return n if n < 32 else 32 + int(8 * math.log2(n / 32))
 
 
+def _split(start: int, t: str, cut: re.Pattern):
+    """(start, part) of the parts of ``t`` between the matches of ``cut``."""
+    at = 0
+    for m in cut.finditer(t):
+        yield start + at, t[at:m.start()]
+        at = m.end()
+    yield start + at, t[at:]
+
+
+def _parts(start: int, t: str):
+    """(start, part) of a run, as far as alphabets hold it: cut at inner ``=``; a part with signs of both kinds of base 64
+    is cut at ``-`` and ``_`` and, apart from that, at ``+`` and ``/``, since either may be the signs of a key."""
+    for at, part in _split(start, t, _EQUALS):
+        if _URL.search(part) and _STANDARD.search(part):
+            yield from dict.fromkeys([*_split(at, part, _URL), *_split(at, part, _STANDARD)])
+        else:
+            yield at, part
+
+
 def _candidates(text: str):
-    """Runs with letters; a run of letters alone is an ordinary string that tells the battery's power."""
+    """Runs with letters, or their parts; one of letters alone is an ordinary string that tells the battery's power."""
     for m in _RUN.finditer(text):
-        t = m[0]
-        if _LETTER.search(t):
-            yield m.start(), m.end(), t, _DIGIT.search(t) is None
+        for start, t in _parts(m.start(), m[0]):
+            if len(t) >= LEAST and _LETTER.search(t):
+                yield start, start + len(t), t, _DIGIT.search(t) is None
 
 
 def _p_bin(p: np.ndarray) -> np.ndarray:
@@ -191,8 +212,9 @@ def _scan(limit: dict[tuple[int, int], int]):
                         owner.append(i)
             enc, p = battery([c[2] for c in found])
             more: dict[int, list] = defaultdict(list)
-            for (a, b, _, _), i, e, k in zip(found, owner, enc.tolist(), _p_bin(p).tolist()):
-                if k < limit.get((e, length_bin(b - a)), 0) and all(b <= s or t <= a for s, _, t in bases[i]):
+            tested = sorted(zip(found, owner, enc.tolist(), _p_bin(p).tolist()), key=lambda x: (x[3], x[0][0] - x[0][1]))
+            for (a, b, _, _), i, e, k in tested:     # of parts that overlap, the most random and then the longest
+                if k < limit.get((e, length_bin(b - a)), 0) and all(b <= s or t <= a for s, _, t in bases[i] + more[i]):
                     more[i].append((a, "random", b))
             rank = {k: r for r, k in enumerate(KINDS)}
             cols = [[], [], [], [], [], []]

@@ -295,6 +295,26 @@ def test_secrets(spark, docs, none):
     assert secrets.find_secrets(docs).count() == len(ROWS) and secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_within_runs(spark):
+    """Keys after a name and "=", in a query, and in a path with signs of the other base 64."""
+    import random
+
+    r = random.Random(8)
+    keys = ["".join(r.choice(secrets.ALPHABETS["base62"]) for _ in range(40)) for _ in range(80)]
+    forms = ["client_auth={}", "see x?a=1&sig={} end", "=={}==", "/srv-a/b_c/{}", "a+b/my-dir/{}/x", "n=1=k_v={}=z"]
+    rows = [(i, "é " + forms[i % len(forms)].format(k)) for i, k in enumerate(keys)]
+    got = {x["doc_id"]: x["spans"] for x in secrets.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for j, form in enumerate(forms):
+        mine = [i for i in range(len(keys)) if i % len(forms) == j]
+        hit = 0
+        for i in mine:
+            at = rows[i][1].index(keys[i])
+            spans = [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s]
+            hit += any(a <= at and at + 40 <= b <= at + 46 and at - a <= 4 for a, b in spans)
+            assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+        assert hit >= 0.7 * len(mine), form
+
+
 def test_personal_data(spark, docs, none):
     rows = [(-3, "é a@b.com%x@y.org 1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255"), (-4, "1" * 5000 + " " + "a" * 20000 + "@ 4111 1111-1111 1111"), (-5, "+1 (017) 555-7713 +1((((((9 +12345678")]
     rows += [(-10 - i, f"text passport number: AB{1000 + i}9 and") for i in range(3)] + [(-30 - i, f"my passport number: {i}.{i}.3.4 and") for i in range(20)]
