@@ -5,7 +5,9 @@ seed are a lexical pattern; tokens with digits that follow the same words elsewh
 instances form a graph that is scored in turns: a pattern is worth the mean worth of its distinct instances, an instance
 that is no seed the worth of its best patterns. A pattern counts only with MIN_SUPPORT worthy instances, and only if an
 identifier follows its two words at most of their places in the corpus, which keeps ordinary words from turning into
-patterns. Tokens found by patterns of at least MIN_WORTH are reported as kind ``context``.
+patterns. Patterns come in generations: instances of patterns of at least MIN_WORTH keep their worth and support further
+patterns as seeds do, until a generation adds no pattern. Tokens found by patterns of at least MIN_WORTH are reported as
+kind ``context``.
 
 Defined results: null text is empty and has no span; a repeated row is scanned as often as it comes; a null doc_id is an
 ordinary value; no rows give no rows; other columns are never looked at.
@@ -108,22 +110,52 @@ def specific_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
         places = pairs.join(left.select("pattern"), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("places"))
         left = materialise(left.join(places, "pattern", "left").where(2 * F.col("followed") >= F.coalesce("places", F.lit(0)))
                            .select("pattern", "followed"))
+        if left.isEmpty():
+            break
     return left.select("pattern")
 
 
-def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, worth) of the patterns that pass, from edges (pattern, instance, seed) of specific patterns."""
-    worth = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("seed"))
+def score_graph(edges: DataFrame, base: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, worth) of the patterns that pass, from edges (pattern, instance) of specific patterns and the worth
+    (instance, base) of seeds and earlier finds."""
     graph = edges.select("pattern", "instance")
-    state = materialise(worth.select("instance", "seed", F.col("seed").alias("worth")))
+    state = start = materialise(graph.select("instance").distinct().join(base, "instance", "left")
+                                .select("instance", F.coalesce("base", F.lit(0.0)).alias("base"), F.coalesce("base", F.lit(0.0)).alias("worth")))
     patterns = None
-    for _ in range(rounds):
+    for i in range(rounds):
         patterns = materialise(graph.join(state, "instance").groupBy("pattern")
                                .agg(F.avg("worth").alias("worth"), F.count_if(F.col("worth") >= MIN_WORTH).alias("support"))
                                .where((F.col("support") >= MIN_SUPPORT)))
-        best = graph.join(patterns.select("pattern", F.col("worth").alias("pw")), "pattern").groupBy("instance").agg(F.max("pw").alias("pw"))
-        state = materialise(state.join(best, "instance", "left").select("instance", "seed", F.greatest("seed", F.coalesce("pw", F.lit(0.0))).alias("worth")))
-    return patterns.where(F.col("worth") >= MIN_WORTH).select("pattern", "worth")
+        if i + 1 < rounds:
+            best = graph.join(patterns.select("pattern", F.col("worth").alias("pw")), "pattern").groupBy("instance").agg(F.max("pw").alias("pw"))
+            state = materialise(start.join(best, "instance", "left").select("instance", "base", F.greatest("base", F.coalesce("pw", F.lit(0.0))).alias("worth")))
+    return materialise(patterns.where(F.col("worth") >= MIN_WORTH).select("pattern", "worth"))
+
+
+def bootstrap(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pattern, worth) of all patterns that seeds, or instances of patterns found before, lead to. Each pattern is held
+    against the corpus once. Worth never falls from one generation to the next, so the loop ends."""
+    seeds = materialise(edges.where("seed = 1").select("instance", F.lit(1.0).alias("base")).distinct())
+    base, good, found = seeds, None, 0
+    tried = specific = None
+    while True:
+        fresh = edges.join(base.where(F.col("base") >= MIN_WORTH), "instance", "left_semi").groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= MIN_SUPPORT)
+        if tried is not None:
+            fresh = fresh.join(tried, "pattern", "left_anti")
+        followed = edges.join(fresh, "pattern", "left_semi").groupBy("pattern").agg(F.sum("n").alias("followed"))
+        fresh = materialise(followed)
+        if tried is None or not fresh.isEmpty():
+            more = specific_patterns(docs, fresh)
+            specific = more if specific is None else materialise(specific.unionByName(more))
+            tried = fresh.select("pattern") if tried is None else materialise(tried.unionByName(fresh.select("pattern")))
+        graph = materialise(edges.join(specific, "pattern", "left_semi"))
+        good = score_graph(graph, base)
+        n = good.count()
+        if n == found:
+            return good
+        found = n
+        finds = graph.join(good, "pattern").groupBy("instance").agg(F.max("worth").alias("base"))
+        base = materialise(seeds.unionByName(finds).groupBy("instance").agg(F.max("base").alias("base")))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -136,8 +168,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         seen = part if seen is None else seen.unionByName(part)
     seen = materialise(seen)
     edges = materialise(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")))
-    likely = materialise(edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.sum("n").alias("followed")).where(F.col("seeds") >= MIN_SUPPORT))
-    good = score_graph(materialise(edges.join(specific_patterns(docs, likely), "pattern", "left_semi")))
+    good = bootstrap(docs, edges)
     new = (seen.where("seed = 0").join(good, "pattern", "left_semi").groupBy("row")
            .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("context")).select(F.col("row").alias("_r"), "context"))
     out = found.join(new, F.col("row") == F.col("_r"), "left")

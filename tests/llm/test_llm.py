@@ -326,6 +326,17 @@ def test_personal_data(spark, docs, none):
     assert pii.find_personal_data(docs).count() == len(ROWS) and pii.find_personal_data(none).count() == 0
 
 
+def test_personal_data_later_generations(spark):
+    """Identifiers found after "contact id:" support "badge no:", which no seed follows, and those of it "pass nr:"."""
+    rows = [(i, f"contact id: {i}.2.3.4 and") for i in range(20)] + [(100 + i, f"the contact id: AB{1000 + i} and") for i in range(8)]
+    rows += [(200 + i, f"his badge no: AB{1000 + i} and") for i in range(8)] + [(300, "his badge no: ZZ7777 and")]
+    rows += [(310 + i, f"his badge no: YY{7000 + i} and") for i in range(1)] + [(400 + i, f"her pass nr: {x} and") for i, x in enumerate(["AB1001", "AB1002", "AB1003", "ZZ7777", "YY7000", "QQ5555"])]
+    rows += [(500 + i, f"in room number AB{1000 + i} and") for i in range(4)] + [(600, "in room number RR1234 and")]
+    got = {x["doc_id"]: x["spans"] for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[100] == "context:16:22" and got[200] == got[300] == got[310] == "context:14:20"
+    assert got[405] == "context:13:19" and got[600] == ""
+
+
 CLASHING = ["_toxic", "_p", "_digest", "_kept", "_gone", "_n", "_words", "_times", "_rest", "size", "component_id", "a.b", "c`d"]
 
 
