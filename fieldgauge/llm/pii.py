@@ -32,22 +32,26 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?:\G|(?<![^\x20\x09-\x0D]))(?=[^\x20\x09-\x0D0-9]*+[0-9])[^\x20\x09-\x0D]++"
-BEFORE = r"([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$"
+# Two words before the end of a text, and what of a text the words before its next match can come from: its last two
+# whole words and the begun one. Both start at a word, so long words are read once.
+BEFORE = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$"
+LAST = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){0,2}[^\x20\x09-\x0D]*+$"
 _SPAN = "array<struct<start:bigint,end:bigint,m:string,before:string>>"
 
 
 def spans(text: Column, matches: Column, pattern: str) -> Column:
-    """Start, end (code points), match and the words before, of each match. ``matches`` are those of ``pattern``; the
-    text between comes from a split by it."""
+    """Start, end (code points), match and the two words of the text before, of each match. ``matches`` are those of
+    ``pattern``; the text between comes from a split by it. ``last`` is the end of the text so far."""
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("g"), matches.alias("m"))
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"), F.lit("").alias("last"))
 
     def step(a, z):
         start = a["at"] + F.length(z["g"])
         end = start + F.length(z["m"])
-        before = F.regexp_extract(F.right(z["g"], F.lit(80)), BEFORE, 1)
+        before = F.regexp_extract(F.concat(a["last"], z["g"]), BEFORE, 1)
         one = F.array(F.struct(start.alias("start"), end.alias("end"), z["m"].alias("m"), before.alias("before")))
-        return F.struct(F.coalesce(end, start).cast("bigint").alias("at"), F.when(z["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], one.cast(_SPAN))).alias("out"))
+        return F.struct(F.coalesce(end, start).cast("bigint").alias("at"), F.when(z["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], one.cast(_SPAN))).alias("out"),
+                        F.coalesce(F.regexp_extract(F.concat(a["last"], z["g"], z["m"]), LAST, 0), F.lit("")).alias("last"))
     return F.when(F.size(matches) > 0, F.aggregate(pieces, first, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
 
 

@@ -337,6 +337,23 @@ def test_personal_data_later_generations(spark):
     assert got[405] == "context:13:19" and got[600] == ""
 
 
+def test_personal_data_words_before(spark):
+    """The two words before each match come from the whole text, whatever matched in it before."""
+    long = "w" * 90
+    texts = ["line 07: AB1234 and\tline 08:  AB1235", f"{long} {long}x 1.2.3.4", "ids of AB1234 AB1235 AB1236, 5.6.7.8", "a b (1.2.3.4 c 1.2.3.5", "1.2.3.4 a 1.2.3.5",
+             "x1 y2 a@b.com é 𝒳 c@d.org", "b@c.d1e e 4111 1111 1111 1111", " AB1234", "a" * 30000 + " " + "1a" * 3000 + " id AB1234"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    seen = 0
+    for row in pii.scanned(docs).collect():
+        for k in (*pii.KINDS, "token"):
+            for s in row[k]:
+                at = s["start"] - (k == "token" and len(re.search(r"[^ \t]*$", texts[row["doc_id"]][:s["start"]])[0]))
+                m = re.search(r"(?:^|(?<=\s))(\S+\s+\S+)\s+$", texts[row["doc_id"]][max(0, at - 6300):at])
+                assert s["before"] == (m[1] if m else ""), (row["doc_id"], s)
+                seen += s["before"] != ""
+    assert seen >= 11
+
+
 CLASHING = ["_toxic", "_p", "_digest", "_kept", "_gone", "_n", "_words", "_times", "_rest", "size", "component_id", "a.b", "c`d"]
 
 
