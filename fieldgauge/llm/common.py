@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fieldgauge.sources.workspace import materialise
 
@@ -138,3 +138,23 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if new.where("moved").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
+
+
+def numbered(rows: DataFrame, group: list[str], order: Iterable[str], name: str, partitions: int | None = None) -> DataFrame:
+    """``rows`` with the place of each within its group by ``order``, from 0 without gaps. Rows go to ranges of group,
+    order and a number of their own, pinned as partition numbers must not change between the two reads; so neither a
+    large group nor equal rows meet in one task. Counts have one row for each group and each range border."""
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*order, "_own"]
+    placed = materialise(rows.withColumn("_own", F.monotonically_increasing_id()).repartitionByRange(n, *group, *order)
+                         .withColumn("_pid", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (placed.groupBy(*group, "_pid").agg(F.count("*").alias("_n"))
+              .select(*[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group)], F.col("_pid").alias("_p"),
+                      F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    on = F.col("_pid") == F.col("_p")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g_{i}"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_pid").orderBy(*order)) - 1
+    return placed.withColumn("_in", inside).join(starts, on).select(
+        *[c for c in rows.columns if c != name], (F.col("_in") + F.col("_before")).cast("bigint").alias(name))
