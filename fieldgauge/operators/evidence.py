@@ -1,13 +1,16 @@
 """Merging per-field evidence into final values.
 
 Evidence arrives as tables keyed like the entities, one per source. ``gather``
-brings each in by one equi join on that key, so all joins share a single
-partitioning; everything after is a narrow chain of column expressions.
+deals the tagged rows of all sources by key in one exchange, folds them into one
+row per key and joins that to the entities once; everything after is a narrow
+chain of column expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,7 +19,9 @@ from fieldgauge.config import EvidenceRules
 from fieldgauge.functions import bands
 from fieldgauge.functions.text import bare_domain, is_missing, name_matches_domain, platform_by_prefix, present
 from fieldgauge.operators.cleaning import address_signals, infer_type
-from fieldgauge.operators.labels import name_diverges, snap_method
+from fieldgauge.operators.labels import name_diverges, snap_cascade, snap_method, tidy
+from fieldgauge.operators.running import running_total
+from fieldgauge.operators.scale import left_lookup
 
 FIELDS = ("website", "type", "industry", "size")
 
@@ -48,16 +53,33 @@ class StageNames:
 
 
 def gather(entities: DataFrame, evidence: dict[str, DataFrame], key: str = "handle") -> DataFrame:
-    """Entities with one nullable struct column per evidence source."""
-    out = entities
-    for name, ddl in SOURCES.items():
+    """Entities with one nullable struct column per evidence source. A source has at most one row per key; rows without
+    a key belong to nobody. The union is dealt by key before it is folded, so the fold needs no partial step and its
+    order serves the join too."""
+    kinds = {name: f"struct<{ddl}>" for name, ddl in SOURCES.items()}
+    sides = []
+    for name, kind in kinds.items():
         if name in evidence:
-            fields = [c.split()[0] for c in ddl.split(", ")]
-            side = evidence[name].select(F.col(key), F.struct(*fields).cast(f"struct<{ddl}>").alias(name))
-            out = out.join(side, key, "left")
-        else:
-            out = out.withColumn(name, F.lit(None).cast(f"struct<{ddl}>"))
-    return out
+            fields = [c.split()[0] for c in SOURCES[name].split(", ")]
+            mine = F.struct(*fields).cast(kind)
+            sides.append(evidence[name].where(F.col(key).isNotNull()).select(
+                F.col(key).alias("_key"), *[(mine if n == name else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()]))
+    if not sides:
+        return entities.withColumns({n: F.lit(None).cast(k) for n, k in kinds.items()})
+    tagged = reduce(DataFrame.unionByName, sides)
+    folded = tagged.repartition("_key").groupBy("_key").agg(*[F.first(n, ignorenulls=True).alias(n) for n in kinds])
+    return entities.join(folded, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def snap_raw_labels(found: DataFrame, labels: DataFrame, key: str = "handle", raw: str = "industry_raw", **steps) -> DataFrame:
+    """``found`` with ``industry_snapped`` from its raw label texts. Every distinct text goes through the cascade once;
+    a text that many rows share reaches them by broadcast, the others by a shuffle in which no key is hot."""
+    rows = found.drop("industry_snapped").withColumn("_text", F.coalesce(tidy(raw), F.lit("")))
+    counts = rows.groupBy("_text").agg(F.count("*").alias("_rows"))
+    snapped = snap_cascade(counts.select(F.col("_text").alias("text")), labels, **steps)
+    side = (counts.join(snapped, F.col("_text") == F.col("text"), "left")
+            .select("_text", "_rows", F.col("label").alias("industry_snapped")))
+    return left_lookup(rows, side, "_text", key, "_rows", ["industry_snapped"]).drop("_text")
 
 
 def _flag(c: Column) -> Column:
@@ -219,11 +241,44 @@ OUTPUT = (["handle", "name", "city", "state", "poc_segment", "poc_condition"]
 
 
 def resolve(entities: DataFrame, evidence: dict[str, DataFrame], rules: EvidenceRules = EvidenceRules(),
-            names: StageNames = StageNames(), trace: bool = False) -> DataFrame:
-    """The whole merge. ``trace`` keeps the working columns next to the output."""
-    df = apply_verdict(route(gather(entities, evidence)), rules)
-    out = finalise(merge_fields(df, rules), rules, names)
-    return out if trace else out.select(*OUTPUT)
+            names: StageNames = StageNames(), trace: bool = False, labels: DataFrame | None = None,
+            version: str | None = None) -> DataFrame:
+    """The whole merge. ``trace`` keeps the working columns next to the output. With ``labels``, raw label texts of the
+    findings (``industry_raw``) are snapped to them first; with ``version``, rows carry it as ``pipeline_version``."""
+    df = finalise(merge_fields(apply_verdict(route(gather(entities, snapped(evidence, labels))), rules), rules), rules, names)
+    if version is not None:
+        df = df.withColumn("pipeline_version", F.lit(version))
+    return df if trace else df.select(*OUTPUT, *(["pipeline_version"] if version is not None else []))
+
+
+def snapped(evidence: dict[str, DataFrame], labels: DataFrame | None) -> dict[str, DataFrame]:
+    """The evidence with raw label texts of its findings snapped to ``labels``."""
+    if labels is None:
+        return evidence
+    return {n: snap_raw_labels(df, labels) if "industry_raw" in df.columns else df for n, df in evidence.items()}
+
+
+def resolve_within_budget(entities: DataFrame, evidence: dict[str, DataFrame], costs: DataFrame, cap: float, order: Sequence[str],
+                          rules: EvidenceRules = EvidenceRules(), names: StageNames = StageNames(), key: str = "handle",
+                          labels: DataFrame | None = None, version: str | None = None) -> DataFrame:
+    """The merge of a run that stops spending at ``cap``. Entities are worked in ``order``, which is unique; ``costs`` has
+    (key, cost, closing_cost), what an entity's calls cost and which part of it is the closure check, the last but one
+    step. An entity reached with the cap spent is not worked: it keeps its identity with status budget_exhausted, no
+    candidate and stage 0. One whose own calls reach the cap goes without the closure check."""
+    price = costs.select(F.col(key).alias("_key"), "cost", "closing_cost")
+    priced = (entities.join(price, F.col(key) == F.col("_key"), "left").drop("_key")
+              .withColumns({"cost": F.coalesce("cost", F.lit(0)), "closing_cost": F.coalesce("closing_cost", F.lit(0))}))
+    worked = running_total(priced, order, "cost")
+    left = F.col("running") - F.col("cost")
+    worked = (worked.withColumns({"_exhausted": left >= cap, "_closes": F.col("running") - F.col("closing_cost") < cap})
+              .drop("running", "cost", "closing_cost"))
+    met = gather(worked, snapped(evidence, labels), key)
+    met = met.withColumn("closed", F.when(F.col("_closes"), F.col("closed")))
+    df = finalise(merge_fields(apply_verdict(route(met), rules), rules), rules, names)
+    spent = {"status": "budget_exhausted", "enrichment_status": "NO_CANDIDATE", "stage_resolved": 0}
+    ids = ("handle", "name", "city", "state", "poc_segment", "poc_condition")
+    cols = [F.when(~F.col("_exhausted"), F.col(c)).otherwise(F.lit(spent.get(c))).alias(c) if c not in ids else F.col(c) for c in OUTPUT]
+    return df.select(*cols, *([F.lit(version).alias("pipeline_version")] if version is not None else []))
 
 
 def size_delta_flag(old: Column | str = "size_original", new: Column | str = "size_enriched", bands_apart: int = 1) -> Column:

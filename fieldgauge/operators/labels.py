@@ -1,8 +1,8 @@
 """Matching free text to a label taxonomy.
 
 Texts are reduced to distinct values before anything is compared. The taxonomy
-is a small table of (label, pos[, sector, vector]); its size is checked where
-it has to reach every task.
+is a table of (label, pos[, sector, vector]) that stays partitioned: texts and
+vectors meet it by equi joins or block by block.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldgauge.functions.space import strip
 from fieldgauge import fixed_values as fv
-from fieldgauge.functions.text import col, literal, similarity
+from fieldgauge.functions.text import col, similarity
+from fieldgauge.operators.blocks import in_blocks
 from fieldgauge.operators.scale import broadcast_if_small
 
 
@@ -56,54 +57,45 @@ def keyword_label(text: Column | str, rules: Sequence[tuple[Sequence[str], str]]
     return out.otherwise(F.lit(None).cast("string"))
 
 
-def taxonomy_rows(labels: DataFrame) -> list:
-    """All labels in order. Every task holds the taxonomy, so its memory grows with the number of labels, not of rows;
-    there is no limit to the number."""
-    return list(labels.orderBy("pos").toLocalIterator())
+def _nearest_vectors(rows: DataFrame, labels: DataFrame, key: str, group: str) -> DataFrame:
+    """(key, best): the label with the largest cosine among those of the row's group, first in order among equals. Each
+    task multiplies a slice of rows by a block of labels; the best of the blocks is kept by key."""
+    kind = rows.schema[key].dataType.simpleString()
 
+    def compare(some, block):
+        if not some.num_rows or not block.num_rows:
+            return pa.table({key: some.column(key).slice(0, 0), "score": pa.array([], pa.float64()),
+                             "order": pa.array([], pa.int64()), "label": pa.array([], pa.string())})
+        def matrix(t):
+            m = pa.concat_arrays(t.column("vector").chunks).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            m = m.reshape(t.num_rows, -1)
+            return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
+        place = block.column("pos").to_numpy()
+        first = np.argsort(place, kind="stable")
+        sims = np.nan_to_num(matrix(some) @ matrix(block)[first].T, nan=-2.0)
+        best = sims.argmax(axis=1)
+        return pa.table({key: some.column(key), "score": sims[np.arange(len(best)), best], "order": -place[first][best],
+                         "label": block.column("label").take(pa.array(first[best]))})
+
+    met = in_blocks(rows.select(key, "vector", group), labels.select("label", F.col("pos").cast("bigint").alias("pos"), "vector", group),
+                    group, key, "label", compare, f"{key} {kind}, score double, order bigint, label string")
+    return met.groupBy(key).agg(F.max(F.struct("score", "order", "label")).alias("best"))
 
-def snap_cosine(rows: DataFrame, labels: DataFrame, key: str, at: float = 0.40) -> DataFrame:
-    """Nearest label by cosine within the row's sector if that reaches ``at``,
-    else over all labels if that does. ``rows`` has (key, sector, vector). Rows
-    stay where they are; the label matrix goes to them."""
-    known = taxonomy_rows(labels.select("label", "sector", "pos", "vector"))
-    matrix = np.asarray([r["vector"] for r in known], dtype=np.float64)
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-9
-    names = np.asarray([r["label"] for r in known], dtype=object)
-    by_sector: dict = {}
-    for i, r in enumerate(known):
-        by_sector.setdefault(r["sector"], []).append(i)
-    shared = rows.sparkSession.sparkContext.broadcast((matrix, names, by_sector))
-
-    def nearest(batches):
-        m, lab, sectors = shared.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vector"]])
-            x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
-            sims = x @ m.T
-            best = sims.argmax(axis=1)
-            scope = np.full(len(pdf), "all", dtype=object)
-            score = sims[np.arange(len(pdf)), best]
-            for s, at_rows in pdf.groupby("sector", dropna=True).indices.items():
-                idx = sectors.get(s)
-                if idx is None:
-                    continue
-                sub = sims[np.ix_(at_rows, idx)]
-                top = sub.argmax(axis=1)
-                good = sub[np.arange(len(at_rows)), top] >= at
-                hit = at_rows[good]
-                best[hit] = np.asarray(idx)[top[good]]
-                score[hit] = sub[np.arange(len(at_rows)), top][good]
-                scope[hit] = "sector"
-            ok = score >= at
-            yield pd.DataFrame({key: pdf[key], "label": np.where(ok, lab[best], None),
-                                "scope": np.where(ok, scope, None), "score": score})
 
-    kind = rows.schema[key].dataType.simpleString()
-    return (rows.where("vector is not null").select(key, "sector", "vector")
-            .mapInPandas(nearest, f"{key} {kind}, label string, scope string, score double"))
+def snap_cosine(rows: DataFrame, labels: DataFrame, key: str, at: float = 0.40) -> DataFrame:
+    """Nearest label by cosine within the row's sector if that reaches ``at``, else over all labels if that does.
+    ``rows`` has (key, sector, vector), its keys are unique. Rows meet the labels of their sector block by block; only
+    those without an answer there go on to all blocks. The taxonomy stays partitioned."""
+    have = rows.where("vector is not null").select(key, "sector", "vector")
+    own = _nearest_vectors(have, labels, key, "sector").where(F.col("best.score") >= at)
+    first = have.join(own.withColumnRenamed("best", "_own"), key, "left")
+    whole = F.lit(0)
+    far = _nearest_vectors(first.where("_own is null").withColumn("_all", whole), labels.withColumn("_all", whole), key, "_all")
+    out = first.select(key, "_own").join(far.withColumnRenamed("best", "_far"), key, "left")
+    best = F.coalesce("_own", "_far")
+    hit = best["score"] >= at
+    scope = F.when(F.col("_own").isNotNull(), "sector").when(hit, "all")
+    return out.select(key, F.when(hit, best["label"]).alias("label"), scope.alias("scope"), best["score"].alias("score"))
 
 
 def snap_overlap(texts: DataFrame, labels: DataFrame, text: str = "text", at: float = 0.35) -> DataFrame:
@@ -141,18 +133,118 @@ def snap_overlap(texts: DataFrame, labels: DataFrame, text: str = "text", at: fl
     return best.join(names, F.col("pos") == -F.col("_b.order")).select(text, "label", F.col("_b.score").alias("score"))
 
 
+SEED_GRAMS = 4       # rarest pieces of a text that propose labels
+SEED_LABELS = 64     # a piece of more labels proposes none; the block scan sees those labels all the same
+GRAMS = (3, 5, 7)    # lengths of the pieces; where short ones are common, longer ones are rare
+CHARS, PAIRS = 64, 256   # counters of characters and of neighbouring characters; shared ones only loosen a bound
+
+
+def _grams(text: Column | str) -> Column:
+    """Distinct pieces of the text, its ends marked."""
+    c = F.concat(F.lit("^"), col(text), F.lit("$"))
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    return F.array_distinct(F.concat(*[pieces(n) for n in GRAMS]))
+
+
+def edit_seeds(texts: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """(text, floor): similarity of the best label among those that share one of the text's rarest pieces, at most
+    SEED_GRAMS * SEED_LABELS for each text. A lower bound of the best similarity, nothing else."""
+    posted = (labels.select("label", F.explode(_grams("label")).alias("_g")).groupBy("_g")
+              .agg(F.count("*").alias("_df"), F.collect_set("label").alias("_labels")).where(F.col("_df") <= SEED_LABELS))
+    mine = texts.select(text, F.explode(_grams(text)).alias("_t"))
+    met = mine.join(posted, F.col("_t") == F.col("_g")).groupBy(text).agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("_df", "_g", "_labels"))), 1, SEED_GRAMS).alias("_met"))
+    proposed = F.array_distinct(F.flatten(F.col("_met._labels")))
+    return met.select(text, F.array_max(F.transform(proposed, lambda l: similarity(F.col(text), l))).alias("floor"))
+
+
+def _band(length: Column) -> Column:
+    """Band of a length; about a sixth longer is a band further."""
+    return F.floor(F.log1p(length) * 6).cast("int")
+
+
+def _counted(codes: list[np.ndarray], size: int) -> np.ndarray:
+    out = np.zeros((len(codes), size), np.int32)
+    for i, c in enumerate(codes):
+        np.add.at(out[i], c % size, 1)
+    return out
+
+
+def _edit_distances(text: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of one text to rows of padded characters."""
+    wide = others.shape[1]
+    steps = np.arange(wide + 1)
+    row = np.broadcast_to(steps, (len(others), wide + 1)).astype(np.int32)
+    for i, c in enumerate(text, 1):
+        new = np.empty_like(row)
+        new[:, 0] = i
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (others != c))
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    return row[np.arange(len(others)), lengths]
+
+
+def _closest(name: str):
+    """Best label of a block for each text of a slice. Labels are tried from the highest bound down, until no bound reaches
+    the best similarity so far: an edit costs one character at most one place and two of the neighbouring pairs."""
+    out = pa.schema([(name, pa.string()), ("score", pa.float64()), ("order", pa.int64()), ("label", pa.string()), ("tried", pa.int64())])
+
+    def compare(some, block):
+        labels, place = block.column("label").to_pylist(), block.column("pos").to_numpy()
+        codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in labels]
+        lengths = np.array([len(c) for c in codes], np.int64)
+        wide = np.full((len(codes), max(lengths, default=0)), -1, np.int64)
+        for i, c in enumerate(codes):
+            wide[i, :len(c)] = c
+        pairs_of = lambda c: c[:-1] * 31 + c[1:]
+        chars, pairs = _counted(codes, CHARS), _counted([pairs_of(c) for c in codes], PAIRS)
+        rows = []
+        for text, floor in zip(some.column(name).to_pylist(), some.column("floor").to_pylist()):
+            mine = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+            longest = np.maximum(np.maximum(lengths, len(mine)), 1)
+            least = longest - np.minimum(chars, _counted([mine], CHARS)).sum(1)
+            bound = 1 - least / longest
+            at = np.flatnonzero(bound >= floor)
+            shared = np.minimum(pairs[at], _counted([pairs_of(mine)], PAIRS)).sum(1)
+            least = np.maximum(least[at], -(-(longest[at] - 1 - shared) // 2))
+            bound = 1 - least / longest[at]
+            order = np.lexsort((place[at], -bound))
+            at, bound = at[order], bound[order]
+            best, tried, size = None, 0, 16
+            while tried < len(at) and bound[tried] >= floor:
+                part = at[tried:tried + size]
+                score = 1 - _edit_distances(mine, wide[part], lengths[part]) / longest[part]
+                top = max(zip(score.tolist(), (-place[part]).tolist(), part.tolist()))
+                best = top if best is None else max(best, top)
+                floor, tried, size = max(floor, best[0]), tried + len(part), min(4 * size, 1024)
+            rows.append((text, *((best[0], best[1], labels[best[2]]) if best else (None, None, None)), tried))
+        return pa.table([pa.array(c, t.type) for c, t in zip(list(zip(*rows)) or [()] * 5, out)], schema=out)
+    return compare
+
+
+def edit_candidates(texts: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """(text, score, order, label, tried): the best label of every block a text meets. A similarity of s bounds the
+    ratio of the lengths by s, so a text meets only the length bands its floor leaves."""
+    todo = texts.where(F.col(text).isNotNull()).select(text).distinct()
+    floors = todo.join(edit_seeds(todo, labels, text), text, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    most = labels.agg(F.max(F.length("label"))).first()[0] or 0
+    n = F.length(text)
+    # one character of slack on either side keeps rounding out of the bound
+    low, high = F.greatest(F.floor(n * F.col("floor")) - 1, F.lit(0)), F.least(F.when(F.col("floor") > 0, F.ceil(n / F.col("floor")) + 1).otherwise(most), F.lit(most))
+    low, high = _band(low), _band(F.greatest(high, F.lit(0)))
+    rows = (floors.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+            .select(text, "floor", F.explode(F.sequence("_low", "_high")).alias("_band")))
+    known = labels.select("label", F.col("pos").cast("bigint").alias("pos"), _band(F.length("label")).alias("_band"))
+    return in_blocks(rows, known, "_band", text, "label", _closest(text), f"{text} string, score double, order bigint, label string, tried bigint")
+
+
 def snap_edit(texts: DataFrame, labels: DataFrame, text: str = "text", at: float = 0.45) -> DataFrame:
-    """Closest label by edit similarity, NULL where it stays below ``at``. The
-    small taxonomy is a literal array, so each text is scored where it stands.
-    The texts are dealt out by value first: they are few bytes but much work,
-    which size-based partition merging would put into one task. No row filter is
-    applied here, since it would be pushed down and the scoring done twice."""
-    known = taxonomy_rows(labels.select("label", "pos"))
-    arr = F.expr("array(" + ", ".join(literal(r["label"]) for r in known) + ")")
-    best = F.array_max(F.transform(arr, lambda l, i: F.struct(
-        similarity(F.col(text), l).alias("score"), (-i).alias("order"), l.alias("label"))))
-    dealt = texts.select(text).repartition(text)
-    return dealt.select(text, best.alias("_b")).select(
+    """(text, label, score) of distinct texts: the closest label by edit similarity, first in order among equals, NULL
+    where it stays below ``at``. Rare pieces propose labels whose similarity is a floor; the floor leaves few lengths,
+    and within a block the bounds on shared characters and pairs, checked against the best so far, leave few labels to
+    measure. The result is that of measuring all."""
+    best = (edit_candidates(texts, labels, text).where("score is not null").groupBy(text)
+            .agg(F.max(F.struct("score", "order", "label")).alias("_b")))
+    return texts.select(text).distinct().join(best, text, "left").select(
         text, F.when(F.col("_b.score") >= at, F.col("_b.label")).alias("label"), F.col("_b.score").alias("score"))
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from fieldgauge import fixed_values as fv
 from fieldgauge.operators import evaluate as el, evidence as ev, ledger as lg, reports as rp, running as rn
+from fieldgauge.plans import evidence_views as views
+from fieldgauge.plans.catalog_samples import CASCADE, CASCADE_CTES
 from fieldgauge.plans.evidence_views import ENRICHED_CTES, EVIDENCE_CTES, enriched, traced
 from fieldgauge.plans.registry import query, quoted
-from fieldgauge.plans.testbed import CALLS_CTE, COMPANIES_CTE, call_log, cleaned, companies, table
+from fieldgauge.plans.testbed import CALLS_CTE, COMPANIES_CTE, SECTOR_OF_LABEL, call_log, cleaned, companies, stage, table
 from fieldgauge.plans.testbed import CLEANED_CTE
 from fieldgauge.sources import companies as src
 from fieldgauge.sources.workspace import new_path
@@ -94,6 +96,33 @@ def e_all(s, d):
     return flat(enriched(s, d))
 
 
+_LABELS = sorted(SECTOR_OF_LABEL)
+
+
+@query("e10_raw_labels", "select handle, industry_enriched, industry_final, industry_snap_method from enriched", *views.PO_CTES,
+       "tax(label, pos) as (values " + ", ".join(f"('{x}', {i})" for i, x in enumerate(_LABELS)) + ")", views.RAW_TEXTS_CTE, *CASCADE_CTES,
+       f"snapmap as ({CASCADE})", *views.resolving_ctes(found=views.RAW_FOUND_CTE))
+def e10_raw_labels(s, d):
+    """Label texts as they were read go through the cascade on their way into the merge."""
+    labels = s.createDataFrame([(x, i) for i, x in enumerate(_LABELS)], "label string, pos int")
+    return ev.resolve(views.entities(s, d), views.raw_evidence(s, d), labels=labels).select(
+        "handle", "industry_enriched", "industry_final", "industry_snap_method")
+
+
+_BUDGET_COLS = ["website_original", "website_final", "website_confidence", "size_final", "type_review_flag", "still_operating", "industry_snap_method"]
+
+
+@query("e15_rows_within_budget", "select handle, name, poc_segment, " + ", ".join(f"case when not exhausted then {c} end as {c}" for c in _BUDGET_COLS)
+       + """, case when exhausted then 'budget_exhausted' else status end as status, case when exhausted then 'NO_CANDIDATE' else enrichment_status end as enrichment_status,
+ case when exhausted then 0 else stage_resolved end as stage_resolved, '2' as pipeline_version from enriched join priced using (handle)""",
+       *views.PO_CTES, views.PRICED_CTE, *views.resolving_ctes(closed=views.BUDGET_CLOSED_CTE))
+def e15_rows(s, d):
+    """The enriched rows of a run that stops at its budget, marked with the version that wrote them."""
+    costs = stage(s, d, "per_order", views.per_order).selectExpr("concat('company/', k) as handle", "n as cost", "cast(1 as bigint) as closing_cost")
+    rows = ev.resolve_within_budget(views.entities(s, d), views.evidence(s, d), costs, views.BUDGET_CAP, ["handle"], version="2")
+    return rows.select("handle", "name", "poc_segment", *_BUDGET_COLS, "status", "enrichment_status", "stage_resolved", "pipeline_version")
+
+
 @query("e15_budget_cut", """select event_id, cents, cast(sum(cents) over (order by ts, event_id) as bigint) as running,
  case when sum(cents) over (order by ts, event_id) - cents >= 5000000 then 'budget_exhausted' else 'completed' end as status from calls""", CALLS_CTE)
 def e15(s, d):

@@ -200,13 +200,17 @@ def l5(s, d):
     return lb.snap_edit(texts(s, d), taxonomy(s, d))
 
 
-@query("l6_label_cascade", f"""select raw.p_partkey, label, step from raw left join (
- select t.text, coalesce(e.label, t.kw, case when len(t.w) > 0 then coalesce(o.label, d.label) end) as label,
+# the cascade over texts, given tax and texts
+CASCADE = f"""select t.text, coalesce(e.label, t.kw, case when len(t.w) > 0 then coalesce(o.label, d.label) end) as label,
   case when e.label is not null then 'exact' when t.kw is not null then 'keyword' when len(t.w) = 0 then 'none'
    when o.label is not null then 'overlap' when d.label is not null then 'edit' else 'none' end as step
  from (select text, w, {_KWSQL} as kw from (select text, {_TOK} as w from texts)) t left join exact e using (text)
- left join overlap o using (text) left join edit d using (text)) x on trim(lower(raw.text)) = x.text""",
-       _TAX, _RAW, _TEXTS, _EXACT, _OVERLAP, _EDIT)
+ left join overlap o using (text) left join edit d using (text)"""
+CASCADE_CTES = (_EXACT, _OVERLAP, _EDIT)
+
+
+@query("l6_label_cascade", f"""select raw.p_partkey, label, step from raw left join (
+ {CASCADE}) x on trim(lower(raw.text)) = x.text""", _TAX, _RAW, _TEXTS, *CASCADE_CTES)
 def l6(s, d):
     raw = raw_texts(s, d)
     snapped = lb.snap_cascade(raw, taxonomy(s, d)).withColumnRenamed("text", "_t")

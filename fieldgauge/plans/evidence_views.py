@@ -73,6 +73,18 @@ def evidence(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return out
 
 
+RAW_LABEL = """case k % 12 when 0 then null when 1 then ' Retail ' when 2 then 'construction' when 3 then 'constructoin'
+ when 4 then 'truck transportation services' when 5 then 'manufacturing plant' when 6 then 'zzqq' when 7 then 'IT Consulting'
+ when 8 then '  ' when 9 then 'it services' when 10 then 'retial' else 'hospital' end"""
+
+
+def raw_evidence(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Evidence whose findings bring label texts as they were read."""
+    found = stage(spark, sf_dir, "per_order", per_order).selectExpr(
+        "concat('company/', k) as handle", *[f"{x} as {c}" for c, x in FOUND.items() if c != "industry_snapped"], f"{RAW_LABEL} as industry_raw")
+    return evidence(spark, sf_dir) | {"found": found}
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every company with the segment and condition a sample would give it."""
     met = sample_conditions()
@@ -212,5 +224,23 @@ _ENRICHED = f"""enriched as (select * exclude (failed, verified, escalated), cas
  when website_enriched is not null and coalesce(not verified, false) and not escalated then 'CONFLICT'
  when {_NEW} = 0 then 'NO_CANDIDATE' when {_NEW} >= 2 then 'FULLY_ENRICHED' else 'PARTIALLY_ENRICHED' end as enrichment_status from fin)"""
 
+# the same evidence with label texts that go through the cascade (tax, texts and the cascade's own tables are given)
+RAW_TEXTS_CTE = f"texts as (select distinct trim(lower({RAW_LABEL})) as text from po where trim({RAW_LABEL}) <> '')"
+RAW_FOUND_CTE = (_src("found").replace(f"{_duck(_LABEL)} as found_industry_snapped", "x.label as found_industry_snapped")
+                 .replace(" from po)", f" from po left join snapmap x on x.text = trim(lower({RAW_LABEL})))"))
+# the same evidence under a cap on what the calls of the entities may cost
+BUDGET_CAP = 3000
+PRICED_CTE = f"""priced as (select handle, run - cost >= {BUDGET_CAP} as exhausted, run - closing < {BUDGET_CAP} as closes from (
+ select handle, cost, closing, sum(cost) over (order by handle) as run from (
+ select 'company/' || o_orderkey as handle, coalesce(n, 0) as cost, case when n is null then 0 else 1 end as closing from orders left join po on k = o_orderkey)))"""
+BUDGET_CLOSED_CTE = _src("closed").replace(" from po)", " from po where 'company/' || k in (select handle from priced where closes))")
+
+
+def resolving_ctes(**instead: str) -> tuple[str, ...]:
+    """The oracle's tables of the merge with some sources replaced."""
+    return (*[instead.get(v, _src(v)) for v in VIEWS], _JOINED, _ROUTED, _GATED, _VERDICT, _EV, _MERGED, _CHECKED, _UNSURE, _CAND, _final_sql(), _ENRICHED)
+
+
+PO_CTES = (COMPANIES_CTE, _PO)
 EVIDENCE_CTES = (COMPANIES_CTE, _PO, *[_src(v) for v in VIEWS], _JOINED, _ROUTED, _GATED, _VERDICT, _EV, _MERGED, _CHECKED, _UNSURE, _CAND)
 ENRICHED_CTES = (*EVIDENCE_CTES, _final_sql(), _ENRICHED)
