@@ -11,7 +11,8 @@ from fieldgauge.operators import coverage as cv, profile as pr, sampling as sa
 from fieldgauge.plans.registry import TIER, TIERS, query
 from fieldgauge.plans.testbed import (BENCHMARK_CTE, BENCHMARK_SIZE_CTE, CLEANED_CTE, COMPANIES_CTE, LABELS_CTE, benchmark,
                                       benchmark_by_size, call_log, cleaned, companies, sector_labels, table)
-from fieldgauge.sources import benchmarks as bm, companies as src, store
+from fieldgauge.sources import benchmarks as bm, companies as src
+from fieldgauge.sources.log_store import LogStore
 from fieldgauge.sources.workspace import new_path
 
 C, K, B, L = COMPANIES_CTE, CLEANED_CTE, BENCHMARK_CTE, LABELS_CTE
@@ -146,7 +147,10 @@ def i11(s, d):
 def i12(s, d):
     old = companies(s, d).select("handle", "name", "size", "founded")
     batch = old.where("founded % 3 = 0").select("handle", F.upper("name").alias("name"), F.lit("10K+").alias("size"))
-    return store.upsert(old.drop("founded"), batch)
+    stored = LogStore(s)
+    stored.apply(old.drop("founded"))
+    stored.apply(batch)
+    return stored.read()
 
 
 @query("i14_first_rows", "select handle, name from companies order by handle limit 50", C)

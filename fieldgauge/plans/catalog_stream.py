@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldgauge.plans.registry import query
 from fieldgauge.plans.testbed import CALLS_CTE, COMPANIES_CTE, companies, table
-from fieldgauge.sources.store import VersionedStore
+from fieldgauge.sources.log_store import LogStore
 from fieldgauge.sources.workspace import new_path
 from fieldgauge.streaming.ledger import running_cost, windowed_cost
 from fieldgauge.streaming.upsert import stream_upsert
@@ -52,11 +52,14 @@ def t1b(s, d):
  union all select 'company/' || o_custkey, 'updated ' || max(o_orderkey), 'from stream' from orders
  where o_custkey not in (select o_orderkey from orders) group by o_custkey""", COMPANIES_CTE)
 def t2(s, d):
-    """A stored company set takes orders as arriving updates keyed by customer
-    number; the newest order per key wins."""
-    store = VersionedStore(s)
+    """A stored company set takes orders as arriving updates keyed by customer number, four files in as many batches; the
+    newest order per key wins, whichever batch brings it."""
+    store = LogStore(s)
     store.apply(companies(s, d).select("handle", "name", "state"), version=0)
-    raw = s.readStream.schema(table(s, d, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+    arriving = new_path(s, "orders")
+    orders = table(s, d, "orders").select("o_orderkey", "o_custkey")
+    orders.repartition(4, F.pmod(F.hash("o_orderkey"), F.lit(4))).write.parquet(arriving)
+    raw = s.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
     updates = raw.select(F.concat(F.lit("company/"), F.col("o_custkey").cast("string")).alias("handle"),
                          F.concat(F.lit("updated "), F.col("o_orderkey").cast("string")).alias("name"),
                          F.lit("from stream").alias("state"), F.col("o_orderkey").alias("_seq"))

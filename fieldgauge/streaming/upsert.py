@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fieldgauge.sources.log_store import LogStore
 from fieldgauge.sources.store import VersionedStore
 
 
@@ -13,7 +14,7 @@ def newest_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
     return batch.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
 
 
-def stream_upsert(stream: DataFrame, store: VersionedStore, order: str, checkpoint: str,
+def stream_upsert(stream: DataFrame, store: LogStore | VersionedStore, order: str, checkpoint: str,
                   first_version: int = 0) -> StreamingQuery:
     """Apply every micro-batch to the store under a version tied to its batch id,
     so a replayed batch rewrites its own version from the one before it and
