@@ -19,10 +19,12 @@ its count is known anyway. Left open are seen pairs by count and unseen ones by
 all tokens, at most 1 / HOT_SHARE of them, are numbered and their alpha goes to all tasks; the others, none of them a hot
 key, stay in a table that is joined to the open events by history. HOT_SHARE has no influence on scores.
 
-Tables, all in the shared folder: word counts; pair counts, history counts and what each document adds, in partitions
-by kind. Texts are read twice: to count words, and to send pairs to the partition of their word, where counts meet
-all documents that need them. Pairs travel as arrays, one row for each block of documents and partition. Frequent
-words are spread over partitions by history too, so none of them is a hot key.
+Tables, all in the shared folder: word counts; history counts and what each document adds, in partitions by kind.
+Counting pairs and evaluating them are one pass: pairs go to the partition of their word, where counts meet all
+documents that need them, as arrays, one row for each block of documents and partition. Frequent words are spread over
+partitions by history too, and a pair seen often enough to fill a partition is counted in a pass of its own, summed before it
+is shuffled; all tasks know the counts of those pairs (at most total / BUCKET_TOKENS of them) and score them where they
+stand, so no word and no pair is a hot key.
 
 Defined results: null and empty texts are one end token; a null doc_id counts as the text "" for the fold; repeated
 documents count and are scored as often as they come; without training text every word is the unknown one, with
@@ -45,9 +47,9 @@ from fieldgauge.sources.workspace import materialise, new_path
 K = 5
 HISTORY_SHARE = 0.0
 HOT_SHARE = 1e-6
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 400_000
 BLOCK_DOCS = 16_000   # twice a document's number is a 16-bit integer
-BUCKET_TOKENS = 3_000_000
+BUCKET_TOKENS = 1_500_000
 SLICES = 16
 HELD = (7, 2)
 END = np.int64(zlib.crc32(b"end of text") + (1 << 40))
@@ -84,6 +86,20 @@ class Words:
         self.counts = np.array([frequent[i] for i in self.ids.tolist()], np.int64)
         self.rest = total - train_docs - self.counts[self.ids != END].sum()   # an end is no history
         self.numbered = np.r_[START, POOLED, self.ids]
+        self.hot, self.hot_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def pair(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Number of a pair of frequent words, -1 for others."""
+        place, cls = self.place(w), self.classes(h)
+        return np.where((place >= 0) & (cls != RARE_CLASS), place * len(self.numbered) + cls, -1)
+
+    def hot_count(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Count of a pair that is counted beforehand, 0 for others."""
+        if not len(self.hot):
+            return np.zeros(len(w), np.int64)
+        pair = self.pair(w, h)
+        at = np.minimum(np.searchsorted(self.hot, pair), len(self.hot) - 1)
+        return np.where(self.hot[at] == pair, self.hot_n[at], 0)
 
     def place(self, ids: np.ndarray) -> np.ndarray:
         """Number among the frequent words, or -1."""
@@ -149,8 +165,45 @@ def _count_words(batches):
         yield flush()
 
 
+def _histories(words: Words, docs: list) -> np.ndarray:
+    """The history of each token of joined documents."""
+    w = np.concatenate(docs)
+    h = np.r_[START, words.history(w[:-1])]
+    h[np.cumsum([0, *map(len, docs[:-1])])] = START
+    return h
+
+
+def _count_hot(words: Words, least: int):
+    """(pair, n) of pairs whose word and history both occur ``least`` times in training, summed over a block."""
+    often = words.ids[words.counts >= least]
+    start = words.train_docs >= least
+
+    def run(batches):
+        def flush():
+            w, h = np.concatenate(docs), _histories(words, docs)
+            some = np.isin(w, often) & (np.isin(h, often) | (h == START if start else False))
+            pair, n = np.unique(words.pair(w[some], h[some]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
+        docs, size = [], 0
+        for batch in batches:
+            for doc_id, raw in _documents(batch):
+                if not held_out(doc_id):
+                    docs.append(_numbers(raw))
+                    size += len(docs[-1])
+                    if size >= BLOCK_TOKENS:
+                        yield flush()
+                        docs, size = [], 0
+        if docs:
+            yield flush()
+    return run
+
+
 _SENT = ("bucket int, block bigint, w array<bigint>, pairs array<int>, h array<int>, rare array<bigint>, entries array<int>, doc array<smallint>, "
-         "ids array<bigint>, tokens array<int>")
+         "ids array<bigint>, tokens array<int>, hot_doc array<int>, hot_fixed array<double>, hot_base array<double>, hot_n array<int>")
+
+
+_SENT_NAMES = [c.split()[0] for c in _SENT.split(", ")]
+_EMPTY = [pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int16())]   # w .. doc
 
 
 def _lists(values: np.ndarray, ends: np.ndarray, kind) -> pa.ListArray:
@@ -160,16 +213,31 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind) -> pa.ListArray:
 def _send(words: Words, buckets: int):
     """Blocks of documents as rows (bucket, block): distinct words, their histories by number (``rare``: the words of those
     without one, in turn), and per pair the documents it
-    occurs in (twice the number in the block, plus 1 if held out), one entry per occurrence."""
+    occurs in (twice the number in the block, plus 1 if held out), one entry per occurrence. Pairs counted beforehand are not
+    sent; what they are worth to each document travels with the block's first row."""
     def block_rows(block: int, docs: list, lengths: list):
         w = np.concatenate(docs)
         n = np.array(lengths)
         ids = [i for i, _ in meta]
         held = np.array([h for _, h in meta])
-        h = np.r_[START, words.history(w[:-1])]
-        starts = np.r_[0, np.cumsum(n)[:-1]]
-        h[starts] = START
+        h = _histories(words, docs)
+        docs.clear()
         doc = np.repeat(2 * np.arange(len(n)) + held, n)
+        r = words.hot_count(w, h)
+        hot = np.flatnonzero(r)
+        c = words.counts[words.place(w[hot])]
+        hot_doc, slot = np.unique(doc[hot], return_inverse=True)
+        hot_fixed = np.bincount(slot, np.log10(r[hot] - 0.5) - np.log10(words.history_total(w[hot], c)), len(hot_doc))
+        hot_base, hot_n = np.bincount(slot, np.log10(c + 1.0), len(hot_doc)), np.bincount(slot, minlength=len(hot_doc))
+        first = lambda v, k, t: pa.ListArray.from_arrays(pa.array(np.r_[0, np.full(k, len(v))], pa.int32()), pa.array(v, t))
+        extra = lambda k: [first(v, k, t) for v, t in ((ids, pa.int64()), (n, pa.int32()), (hot_doc, pa.int32()), (hot_fixed, pa.float64()), (hot_base, pa.float64()), (hot_n, pa.int32()))]
+        if len(hot) == len(w):                                 # nothing else to send
+            yield pa.RecordBatch.from_arrays([pa.array([block % buckets], pa.int32()), pa.array([block], pa.int64()),
+                                              *[pa.array([[]], t) for t in _EMPTY], *extra(1)], names=_SENT_NAMES)
+            return
+        if len(hot):
+            rest = r == 0
+            w, h, doc = w[rest], h[rest], doc[rest]
         mix = w.view(np.uint64) ^ (w.view(np.uint64) >> np.uint64(29))
         mix = mix + np.where(words.place(w) >= 0, h, 0).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         mix = mix ^ (mix >> np.uint64(32))
@@ -189,13 +257,10 @@ def _send(words: Words, buckets: int):
         cls = words.classes(h[at_p])
         rare = cls == RARE_CLASS
         ends_rare = np.r_[0, np.cumsum(rare)][ends_p]
-        head = np.zeros(k + 1, np.int64)
-        head[1:] = len(ids)                                    # the block's documents travel with its first row
         yield pa.RecordBatch.from_arrays(
             [pa.array(bucket[at_b], pa.int32()), pa.array(np.full(k, block), pa.int64()), _lists(w[at_w], ends_w, pa.int64()),
              _lists(pairs, ends_w, pa.int32()), _lists(cls, ends_p, pa.int32()), _lists(h[at_p][rare], ends_rare, pa.int64()), _lists(entries, ends_p, pa.int32()), _lists(doc, cut, pa.int16()),
-             pa.ListArray.from_arrays(pa.array(head, pa.int32()), pa.array(ids, pa.int64())), pa.ListArray.from_arrays(pa.array(head, pa.int32()), pa.array(n, pa.int32()))],
-            names=["bucket", "block", "w", "pairs", "h", "rare", "entries", "doc", "ids", "tokens"])
+             *extra(k)], names=_SENT_NAMES)                    # the block's documents travel with its first row
 
     meta: list = []
 
@@ -218,14 +283,13 @@ def _send(words: Words, buckets: int):
 
 
 _MET = ("kind string, block bigint, doc array<int>, fixed array<double>, base array<double>, known array<int>, seen array<int>, "
-        "event_h array<int>, event_doc array<int>, rare array<bigint>, rare_doc array<int>, ids array<bigint>, tokens array<int>, w array<bigint>, pairs array<int>, h array<int>, r array<int>, "
+        "event_h array<int>, event_doc array<int>, rare array<bigint>, rare_doc array<int>, ids array<bigint>, tokens array<int>, h array<int>, "
         "ns array<int>, covered array<double>")
 _MET_SCHEMA = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("doc", pa.list_(pa.int32())), ("fixed", pa.list_(pa.float64())),
                          ("base", pa.list_(pa.float64())), ("known", pa.list_(pa.int32())), ("seen", pa.list_(pa.int32())),
                          ("event_h", pa.list_(pa.int32())), ("event_doc", pa.list_(pa.int32())),
                          ("rare", pa.list_(pa.int64())), ("rare_doc", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())),
-                         ("tokens", pa.list_(pa.int32())), ("w", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int32())), ("h", pa.list_(pa.int32())), ("r", pa.list_(pa.int32())),
-                         ("ns", pa.list_(pa.int32())), ("covered", pa.list_(pa.float64()))])
+                         ("tokens", pa.list_(pa.int32())), ("h", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32())), ("covered", pa.list_(pa.float64()))])
 
 
 def _whole(col) -> pa.Array:
@@ -260,12 +324,19 @@ def _meet(words: Words):
         first = np.r_[0, np.cumsum(entries, dtype=np.int64)[:-1]]
         # a slot for each document of each row
         ends = np.r_[0, np.cumsum(per_entry)]
-        room = np.array([int(doc[a:b].max()) + 1 if b > a else 0 for a, b in zip(ends, ends[1:])])
+        hot_doc, per_hot = _flat(group.column("hot_doc"))
+        hot_ends = np.r_[0, np.cumsum(per_hot)]
+        most = lambda v, a, b: int(v[a:b].max()) + 1 if b > a else 0
+        room = np.array([max(most(doc, *e), most(hot_doc, *f)) for e, f in zip(zip(ends, ends[1:]), zip(hot_ends, hot_ends[1:]))])
         offset = np.r_[0, np.cumsum(room)]
         slots = int(offset[-1])
         fixed, base = np.zeros(slots), np.zeros(slots)
         known, there, times = np.zeros(slots, np.int32), np.zeros(slots, bool), np.zeros((slots, K), np.int32)
-        events, histories, table_w, table_n, table_h, table_r = [], [], [], [], [], []
+        hot_slot = np.repeat(offset[:-1], per_hot) + hot_doc
+        fixed[hot_slot], base[hot_slot], known[hot_slot] = (_flat(group.column(c))[0] for c in ("hot_fixed", "hot_base", "hot_n"))
+        there[hot_slot] = True
+        no_event = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int16))
+        events, histories = [no_event], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         slice_of = ((w ^ (w >> np.int64(23))) & (SLICES - 1)).astype(np.int8)
         for s in range(SLICES):                                # a part of the words at a time keeps arrays short
             at = np.flatnonzero(slice_of == s)
@@ -306,9 +377,6 @@ def _meet(words: Words):
             hist, inv = np.unique(h_each[ok], return_inverse=True)
             ns = np.bincount(inv * NS + np.minimum(r_each[ok], NS) - 1, minlength=len(hist) * NS)
             histories.append((hist, ns, np.bincount(inv, p_each[ok], len(hist))))
-            kept_w, n_w = np.unique(to_word[ok], return_counts=True)
-            table_w.append(ws[order][cut_w][kept_w]), table_n.append(n_w)
-            table_h.append(h_each[ok]), table_r.append(r_each[ok])
         slot = np.flatnonzero(there)
         k_row = np.searchsorted(offset, slot, "right") - 1
         cut = np.searchsorted(k_row, np.arange(group.num_rows + 1))
@@ -330,15 +398,11 @@ def _meet(words: Words):
         covered = np.bincount(inv, covered, len(hist))
         number = words.classes(hist)
         own = (number != RARE_CLASS) | words.pooled
-        h_all = np.concatenate(table_h) if table_h else np.zeros(0, np.int64)
-        h_class = words.classes(h_all)
         return pa.Table.from_batches([
             _rows("documents", part, group.num_rows),
             _rows("histories", {"h": one([number[own], [RARE_CLASS]], pa.int32()), "ns": one([ns[own].ravel(), ns[~own].sum(0)], pa.int32()),
                                 "covered": one([covered[own], [0.0]], pa.float64())}, 1),   # last: totals of those that are joined
-            _rows("rare", {"rare": one([hist[~own]], pa.int64()), "ns": one([ns[~own].ravel()], pa.int32()), "covered": one([covered[~own]], pa.float64())}, 1),
-            _rows("pairs", {"w": one(table_w, pa.int64()), "pairs": one(table_n, pa.int32()), "h": one([h_class], pa.int32()),
-                            "rare": one([h_all[h_class == RARE_CLASS]], pa.int64()), "r": one(table_r, pa.int32())}, 1)])
+            _rows("rare", {"rare": one([hist[~own]], pa.int64()), "ns": one([ns[~own].ravel()], pa.int32()), "covered": one([covered[~own]], pa.float64())}, 1)])
     return run
 
 
@@ -381,9 +445,11 @@ def _settle(d: np.ndarray, log_a: np.ndarray, per_token: float, start: float):
     return run
 
 
-def score_texts(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, history_share: float = HISTORY_SHARE) -> DataFrame:
+def score_texts(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, history_share: float = HISTORY_SHARE,
+                hot_pair: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document. A ``history_share`` gives
-    the words below that share of all tokens one history together."""
+    the words below that share of all tokens one history together. Pairs seen ``hot_pair`` times, or as often as
+    there are tokens in a partition, are counted beforehand; that changes no score."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     counts = materialise(rows.mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     have = counts.agg(F.sum("n").alias("total"), F.count("*").alias("types"), F.sum(F.when(F.col("word") == int(END), F.col("n"))).alias("docs"),
@@ -392,6 +458,11 @@ def score_texts(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, history_sha
     frequent = counts.where(F.col("n") >= max(1, total * (history_share or HOT_SHARE))).toArrow().to_pydict()  # at most 1 / share rows
     words = Words(total, have["types"], [0] + [have[f"n{r}"] for r in range(1, K + 2)], have["docs"] or 0, dict(zip(frequent["word"], frequent["n"])), history_share > 0)
     buckets = max(1, -(-total // bucket_tokens))
+    hot_pair = max(K + 2, hot_pair or bucket_tokens)   # rarer pairs take part in the discounts
+    if (words.counts >= hot_pair).any():
+        hot = (rows.mapInArrow(_count_hot(words, hot_pair), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+               .where(F.col("n") >= hot_pair).orderBy("pair").toArrow().to_pydict())                    # at most total / hot_pair rows
+        words.hot, words.hot_n = np.array(hot["pair"], np.int64), np.array(hot["n"], np.int64)
     path = new_path(docs.sparkSession, "katz")
     (rows.mapInArrow(_send(words, buckets), _SENT).groupBy("bucket").applyInArrow(_meet(words), _MET).write.partitionBy("kind").parquet(path))
     met = docs.sparkSession.read.schema(_MET).parquet(path)
@@ -404,8 +475,13 @@ def score_texts(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, history_sha
     loss = [(1 - d[r]) * (r + 1) if r < K else 0.5 for r in range(NS)]
     log_a = np.zeros(len(words.numbered))
     at = np.array(hist["h"], np.int64)
-    left = np.array(loss) @ ns
-    log_a[at] = np.log10(np.where(left > 0, left, 1) / np.maximum(1 - np.array(hist["covered"]), 1e-12))
+    left, covered = np.zeros(len(log_a)), np.zeros(len(log_a))
+    left[at], covered[at] = np.array(loss) @ ns, hist["covered"]
+    hot_w, hot_h = np.divmod(words.hot, len(words.numbered))
+    np.add.at(left, hot_h, loss[-1])
+    np.add.at(covered, hot_h, words.unigram(words.counts[hot_w]))
+    known = left > 0
+    log_a[known] = np.log10(left[known] / np.maximum(1 - covered[known], 1e-12))
     per_token = -np.log10(total + have["types"] + 1)
     rare_sum = [F.sum(f"n{r + 1}") * F.lit(float(loss[r])) for r in range(NS)]
     rare = (met.where("kind = 'rare'").select("rare", "ns", "covered")
