@@ -11,7 +11,7 @@ from fieldgauge.functions.space import strip
 from fieldgauge import fixed_values as fv
 from fieldgauge.functions import bands
 from fieldgauge.functions.text import col, has_non_latin, host, similarity, sorted_tokens
-from fieldgauge.operators.scale import scalar
+from fieldgauge.operators.scale import broadcast_if_small, scalar
 
 
 def frequency_anomaly(df: DataFrame, column: str, share: float = 0.001) -> DataFrame:
@@ -48,19 +48,11 @@ def distinct_labels(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.lower(strip(column)).alias("label")).where("label <> ''").distinct()
 
 
-def similar_labels(labels: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Label pairs whose sorted-word forms are at least ``threshold`` alike.
+HOT = 10_000   # postings of a piece or word beyond which its group is split
 
-    Alike means edit distance <= (1 - threshold) x the longer length. If e is
-    the largest such distance for a shorter form of length n, cutting that form
-    into e + 1 pieces leaves at least one piece intact inside any partner,
-    shifted by at most e. Each form therefore publishes its own pieces, and the
-    substrings a shorter partner's pieces could match; the two meet by equi
-    join, and the exact measure is part of the join condition, so only true
-    pairs leave it. Signatures per label depend on its length alone.
-    """
-    if not 0.5 < threshold <= 1.0:
-        raise ValueError("threshold must be above 0.5 and at most 1")
+
+def _similar_keys(labels: DataFrame, threshold: float, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(short side, long side) of the join of similar labels, by key (n, start, piece, salt)."""
     eps, one = F.lit(1e-9), F.lit(1)
     form = labels.select("label", sorted_tokens("label").alias("form"))
 
@@ -68,25 +60,54 @@ def similar_labels(labels: DataFrame, threshold: float = 0.85) -> DataFrame:
         """Pieces (start, width) of a shorter form of length ``n`` and its distance e."""
         longest = F.floor(F.col(n) / F.lit(threshold) + eps)
         e = F.floor(longest * F.lit(1.0 - threshold) + eps).cast("int")
+        count = F.col("e") + F.lit(2)
         return (df.withColumn("e", e)
-                .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("e"))))
-                .withColumn("start", F.floor(F.col(n) * F.col("i") / (F.col("e") + one)).cast("int"))
-                .withColumn("width", F.floor(F.col(n) * (F.col("i") + one) / (F.col("e") + one)).cast("int") - F.col("start")))
+                .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("e") + one)))
+                .withColumn("start", F.floor(F.col(n) * F.col("i") / count).cast("int"))
+                .withColumn("width", F.floor(F.col(n) * (F.col("i") + one) / count).cast("int") - F.col("start")))
 
-    short = cut(form.withColumn("n", F.length("form")), "n").select(
-        F.col("label").alias("sl"), F.col("form").alias("sf"), "n", "start",
-        F.substring("form", F.col("start") + one, F.col("width")).alias("piece"))
     length = F.length("form")
     partner = form.withColumn("n", F.explode(F.sequence(F.ceil(length * F.lit(threshold) - eps).cast("int"), length)))
     at = F.sequence(F.greatest(F.col("start") - F.col("e"), F.lit(0)),
                     F.greatest(F.least(F.col("start") + F.col("e"), length - F.col("width")), F.lit(0)))
+    key = ["n", "start", "piece"]
     long_ = (cut(partner, "n").where(F.col("start") - F.col("e") <= length - F.col("width"))
              .withColumn("piece", F.explode(F.array_distinct(
                  F.transform(at, lambda p: F.substring("form", p + one, F.col("width"))))))
-             .select(F.col("label").alias("ll"), F.col("form").alias("lf"), "n", "start", "piece"))
+             .select(F.col("label").alias("ll"), F.col("form").alias("lf"), *key))
+    posted = long_.groupBy(*key).agg(F.count("*").alias("posts"))
+    short = cut(form.withColumn("n", F.length("form")), "n").select(
+        F.col("label").alias("sl"), F.col("form").alias("sf"), "n", "start", "e",
+        F.substring("form", F.col("start") + one, F.col("width")).alias("piece"))
+    rated = short.join(posted, key, "left").groupBy("sl", "sf", "n", "e").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("posts", F.lit(0)).alias("posts"), "start", "piece"))).alias("pieces"))
+    salts = F.greatest(F.ceil(F.col("posts") / hot), F.lit(1)).cast("int")
+    short = (rated.withColumn("p", F.explode(F.slice("pieces", one, F.col("e") + one)))
+             .select("sl", "sf", "n", "p.start", "p.piece", F.col("p.posts").alias("posts")).where("posts > 0")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), salts - one))).drop("posts"))
+    split = broadcast_if_small(posted.where(F.col("posts") > hot).select(*key, salts.alias("salts")))
+    dealt = F.pmod(F.xxhash64("ll"), F.coalesce("salts", one)).cast("int")
+    return short, long_.join(split, key, "left").withColumn("salt", dealt).drop("salts")
+
+
+def similar_labels(labels: DataFrame, threshold: float = 0.85, hot: int = HOT) -> DataFrame:
+    """Label pairs whose sorted-word forms are at least ``threshold`` alike.
+
+    Alike means edit distance <= (1 - threshold) x the longer length. If e is
+    the largest such distance for a shorter form of length n, cutting that form
+    into e + 2 pieces leaves at least two intact inside any partner, shifted by
+    at most e. So a form may leave out its most frequent piece: it publishes the
+    e + 1 that fewest partners hold, and the substrings those could match meet
+    them by equi join. A piece that still has more than ``hot`` partners is
+    split by salt. The exact measure is part of the join condition, so only true
+    pairs leave it. Signatures per label depend on its length alone.
+    """
+    if not 0.5 < threshold <= 1.0:
+        raise ValueError("threshold must be above 0.5 and at most 1")
+    short, long_ = _similar_keys(labels, threshold, hot)
     s, l = short.alias("s"), long_.alias("l")
     same_key = ((F.col("s.n") == F.col("l.n")) & (F.col("s.start") == F.col("l.start"))
-                & (F.col("s.piece") == F.col("l.piece")))
+                & (F.col("s.piece") == F.col("l.piece")) & (F.col("s.salt") == F.col("l.salt")))
     ordered = (F.length("lf") > F.length("sf")) | (F.col("sl") < F.col("ll"))
     alike = similarity("sf", "lf") >= F.lit(threshold) - F.lit(1e-12)
     return (s.join(l, same_key & ordered & alike)
@@ -95,20 +116,39 @@ def similar_labels(labels: DataFrame, threshold: float = 0.85) -> DataFrame:
             .distinct())
 
 
-def subset_labels(labels: DataFrame) -> DataFrame:
-    """Pairs where every word of the shorter label occurs in the longer one.
-
-    The shorter label is keyed by its rarest word, which the longer label must
-    contain, so labels meet only through one equi join."""
+def _subset_keys(labels: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(short side, long side) of the join of subset labels, by key (first, second, salt)."""
     words = labels.select("label", F.array_distinct(F.split("label", r"\s+")).alias("words"))
     by_word = words.select("label", "words", F.explode("words").alias("word"))
     rarity = by_word.groupBy("word").agg(F.count("*").alias("n"))
-    rarest = (by_word.join(rarity, "word").groupBy("label")
-              .agg(F.min_by("words", F.struct("n", "word")).alias("short_words"),
-                   F.min(F.struct("n", "word")).getField("word").alias("word"))
-              .withColumnRenamed("label", "short_label"))
-    longer = by_word.select(F.col("label").alias("long_label"), F.col("words").alias("long_words"), "word")
-    return (rarest.join(longer, "word")
+    rated = by_word.join(rarity, "word")
+    two = F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, 2)
+    salts = F.greatest(F.ceil(F.col("n") / hot), F.lit(1)).cast("int")
+    is_hot = F.col("n") > hot
+    pick = (rated.groupBy("label").agg(F.first("words").alias("short_words"), two.alias("w"))
+            .select(F.col("label").alias("short_label"), "short_words", F.col("w")[0]["word"].alias("first"),
+                    F.col("w")[0]["n"].alias("n"), F.get("w", F.lit(1))["word"].alias("next")))
+    # the rarest word is the key; where that is hot, the next one goes with it; a lone hot word meets its labels in parts
+    second = F.when(is_hot & F.col("next").isNotNull(), F.col("next")).otherwise("")
+    short = (pick.withColumn("second", second)
+             .withColumn("salt", F.explode(F.when(F.col("second") == "", F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))))
+             .select("short_label", "short_words", "first", "second", "salt"))
+    others = F.transform(F.array_remove("words", F.col("word")), lambda w: F.struct(w.alias("second"), F.lit(0).alias("salt")))
+    lone = F.struct(F.lit("").alias("second"), F.pmod(F.xxhash64("label"), salts).cast("int").alias("salt"))
+    long_ = (rated.withColumn("k", F.explode(F.when(is_hot, F.concat(F.array(lone), others)).otherwise(F.array(lone))))
+             .select(F.col("label").alias("long_label"), F.col("words").alias("long_words"), F.col("word").alias("first"), "k.second", "k.salt"))
+    return short, long_
+
+
+def subset_labels(labels: DataFrame, hot: int = HOT) -> DataFrame:
+    """Pairs where every word of the shorter label occurs in the longer one.
+
+    The shorter label is keyed by its rarest word, which the longer label must
+    contain; where more than ``hot`` labels hold that word, by its two rarest
+    words, so labels meet only through one equi join and a word that all share
+    brings together only what shares another one too."""
+    short, long_ = _subset_keys(labels, hot)
+    return (short.join(long_, ["first", "second", "salt"])
             .where((F.size("long_words") > F.size("short_words"))
                    & (F.size(F.array_except("short_words", "long_words")) == 0))
             .select("short_label", "long_label"))

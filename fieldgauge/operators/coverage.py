@@ -197,7 +197,7 @@ def labels_by_sector(label_map: DataFrame) -> DataFrame:
 
 
 def in_sector(df: DataFrame, label_map: DataFrame, sector: str) -> DataFrame:
-    labels = label_codes(label_map.where(F.col("sector") == sector))
+    labels = label_codes(label_map.where(F.col("sector").isin(*fv.SECTORS))).where(F.col("_s") == sector)
     return df.where(F.col("state").isNotNull()).join(labels, F.lower("industry") == F.col("_l"), "left_semi")
 
 

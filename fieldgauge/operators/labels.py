@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fieldgauge.functions.space import strip
 from fieldgauge import fixed_values as fv
@@ -299,5 +300,29 @@ def snap_method(inferred: Column, confirmed: Column, snapped: Column, sector: Co
             .otherwise(pick(F.lit(None).cast("string"), "none")))
 
 
+@F.pandas_udf(T.DoubleType())
+def _matching_share(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in the matching blocks over all characters, once for each distinct pair of a batch."""
+    from difflib import SequenceMatcher
+
+    pairs = pd.MultiIndex.from_arrays([a, b])
+    codes, distinct = pd.factorize(pairs)
+    shares = [None if x is None or y is None or x != x or y != y else SequenceMatcher(None, x, y).ratio() for x, y in distinct]
+    return pd.Series(np.array(shares, dtype="float64")[codes])
+
+
+def sequence_ratio(a: Column | str, b: Column | str) -> Column:
+    """2 M / T: M characters in the longest matching block and, recursively, the blocks to its left and right, T those of
+    both texts; two empty texts give 1. Pairs where one is the start of the other, or nothing can match, are settled by
+    built-in functions, and only the others reach Python."""
+    a, b = col(a), col(b)
+    total = F.length(a) + F.length(b)
+    shorter = F.least(F.length(a), F.length(b))
+    easy = a.startswith(b) | b.startswith(a)
+    hard = F.when(~easy, a), F.when(~easy, b)
+    return (F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(total == 0, F.lit(1.0))
+            .when(easy, F.lit(2.0) * shorter / total).otherwise(_matching_share(*hard)))
+
+
 def name_diverges(name: Column | str, other: Column | str, below: float = 0.70) -> Column:
-    return similarity(F.lower(F.coalesce(col(name), F.lit(""))), F.lower(col(other))) < below
+    return sequence_ratio(F.lower(F.coalesce(col(name), F.lit(""))), F.lower(col(other))) < below

@@ -89,38 +89,41 @@ def audit_sample(df: DataFrame, cells: DataFrame, label_map: DataFrame, gaps: Da
               enterprise rows of the sector from anywhere
     micro     1-10 rows of the sector or of food service in the worst states
     size      enterprise rows of any sector
+
+    The pool is read once: each row is tagged with the gaps and strata it may
+    serve, and one ranking within (gap, stratum) draws them all.
     """
     pool = df.where("website is not null or industry is not null")
     codes = label_codes(label_map).withColumnRenamed("_s", "_sector")
-    gaps = broadcast_if_small(gaps)
-    mapped = pool.join(codes, F.lower("industry") == F.col("_l")).drop("_l")
-    big = F.col("size").isin(*bands.ENTERPRISE)
-    order = hash_order(key, seed)
-    bad = worst_states(cells, *worst).select(F.col("sector").alias("_ws"), F.col("state").alias("_wst"))
-    bad_micro = worst_states(cells, *worst_micro).select(F.col("sector").alias("_ws"), F.col("state").alias("_wst"))
-
-    def draw(rows: DataFrame, stratum: int, k: int) -> DataFrame:
-        cols = [*df.columns, "gap", F.lit(stratum).alias("_stratum")]
-        return top_per_group(rows.select(*cols), ["gap"], order, k, k, salt=F.col(key))
-
-    standard = gaps.where("kind = 'standard'").select("gap", F.col("sector").alias("_g"))
-    of_sector = mapped.join(standard, F.col("_sector") == F.col("_g"))
-    in_bad = of_sector.join(F.broadcast(bad), (F.col("_g") == F.col("_ws")) & (F.col("state") == F.col("_wst")), "left_semi")
-
-    micro = (gaps.where("kind = 'micro'")
-             .select("gap", F.col("sector").alias("_g"),
-                     F.explode(F.array_distinct(F.array("sector", F.lit(food_sector)))).alias("_m")))
-    micro_rows = (mapped.where("size = '1-10'").join(micro, F.col("_sector") == F.col("_m"))
-                  .join(F.broadcast(bad_micro), (F.col("_g") == F.col("_ws")) & (F.col("state") == F.col("_wst")), "left_semi"))
-
-    size_gap = gaps.where("kind = 'size'").agg(F.min("gap"))
-    size_rows = pool.where(big & F.col("state").isNotNull()).withColumn("gap", size_gap.scalar()).where("gap is not null")
-
-    parts = [draw(in_bad, 0, n - forced), draw(of_sector.where(big), 1, forced),
-             draw(micro_rows, 0, n), draw(size_rows, 0, n)]
-    drawn = parts[0]
-    for p in parts[1:]:
-        drawn = drawn.unionByName(p)
+    ranked = worst_states(cells, max(worst[0], worst_micro[0]), max(worst[1], worst_micro[1]))
+
+    def within(limits: tuple[int, int]) -> Column:
+        return F.collect_set(F.when(F.col("rank") <= F.when(F.col("state_tier") == "A", limits[0]).otherwise(limits[1]), F.col("state")))
+
+    states = ranked.groupBy(F.col("sector").alias("_ws")).agg(within(worst).alias("_standard"), within(worst_micro).alias("_micro"))
+    named = broadcast_if_small(gaps).join(states, F.col("sector") == F.col("_ws"), "left")
+    nowhere = F.array().cast("array<string>")
+    rule = F.struct("gap", "kind", F.coalesce(F.when(F.col("kind") == "micro", F.col("_micro")).otherwise(F.col("_standard")), nowhere).alias("states"))
+    # per sector of a row, the gaps it may serve: those of its own sector, for micro gaps food service too, size gaps anywhere
+    serves = F.array_distinct(F.when(F.col("kind") == "micro", F.array("sector", F.lit(food_sector))).otherwise(F.array("sector")))
+    rules = broadcast_if_small(named.where("kind <> 'size'").withColumn("_m", F.explode(serves)).groupBy("_m").agg(F.collect_list(rule).alias("_rules")))
+    size_gap = gaps.where("kind = 'size'").agg(F.min("gap")).scalar()
+
+    big = F.coalesce(F.col("size").isin(*bands.ENTERPRISE), F.lit(False))
+    tag = lambda gap, stratum, quota: F.struct(gap.alias("gap"), F.lit(stratum).alias("_stratum"), F.lit(quota).alias("_k"))
+
+    def of_sector(r: Column) -> Column:
+        placed = F.coalesce(F.array_contains(r["states"], F.col("state")), F.lit(False))
+        standard = r["kind"] == "standard"
+        return F.array_compact(F.array(
+            F.when(standard & placed, tag(r["gap"], 0, n - forced)), F.when(standard & big, tag(r["gap"], 1, forced)),
+            F.when(~standard & placed & F.coalesce(F.col("size") == "1-10", F.lit(False)), tag(r["gap"], 0, n))))
+
+    any_sector = F.array_compact(F.array(F.when(big & F.col("state").isNotNull() & size_gap.isNotNull(), tag(size_gap, 0, n))))
+    mine = F.coalesce(F.flatten(F.transform("_rules", of_sector)), F.array().cast("array<struct<gap:string,_stratum:int,_k:int>>"))
+    tagged = (pool.join(codes, F.lower("industry") == F.col("_l"), "left").join(rules, F.col("_sector") == F.col("_m"), "left")
+              .select(*df.columns, F.explode(F.concat(mine, any_sector)).alias("_t")).select(*df.columns, "_t.*"))
+    drawn = top_per_group(tagged, ["gap", "_stratum"], hash_order(key, seed), F.col("_k"), n, salt=F.col(key))
     once = Window.partitionBy("gap", key).orderBy("_stratum")
     return (drawn.withColumn("_once", F.row_number().over(once)).where("_once = 1")
             .select("gap", *df.columns, (F.col("_stratum") == 1).alias("forced")))

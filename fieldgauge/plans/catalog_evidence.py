@@ -325,13 +325,6 @@ def r8(s, d):
     return rp.review_queue(enriched(s, d))
 
 
-@query("r8_review_queue_order", f"""select handle, row_number() over (order by priority, website_confidence nulls last, handle) - 1 as place
- from ({_QUEUE}) order by place limit 500""", *X)
-def r8_order(s, d):
-    """The rows of the numbered queue that this query's SQL asks for; r8_review_queue_places has all of them."""
-    return rp.review_queue_places(enriched(s, d)).where("place < 500").select("handle", "place")
-
-
 @query("r8_review_queue_places", f"""select handle, row_number() over (order by priority, website_confidence nulls last, handle) - 1 as place
  from ({_QUEUE})""", *X)
 def r8_places(s, d):

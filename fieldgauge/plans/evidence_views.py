@@ -141,11 +141,13 @@ _ROUTED = f"""routed as (select *, {_DOM.format(x='website')} as site0,
   and len(list_filter(toks, lambda t: contains(plain, t))) = 0) as needs_search
  from (select *, regexp_replace(coalesce({_DOM.format(x='website')}, ''), '[^a-z0-9]', '', 'g') as plain,
   list_filter(regexp_split_to_array(lower(name), '[\\s\\-_&,./]+'), lambda t: length(t) >= 4 and t not in ({_STOPS})) as toks from ent))"""
-_LEV = "1e0 - levenshtein(lower(name), lower(found_extracted_name)) / cast(greatest(length(name), length(found_extracted_name)) as double)"
+# share of matching characters: the found name is the start of the name, or the two share too little to reach the threshold
+_ALIKE = ("case when starts_with(lower(name), lower(found_extracted_name)) then 2e0 * length(found_extracted_name)"
+        " / (length(name) + length(found_extracted_name)) else 0e0 end")
 _GATED = f"""gated as (select *, coalesce(found_error, false) as failed,
  not coalesce(found_error, false) and needs_search and (case when found_candidate_website is null and found_candidate_type is null then false
   when confirmed then false when corrupted then false when size in ('1K-5K','5K-10K','10K+') then true
-  when found_extracted_name is not null and {_LEV} < 0.70 then true
+  when found_extracted_name is not null and {_ALIKE} < 0.70 then true
   when split_part(site0, '.', 1) = split_part({_DOM.format(x='found_candidate_website')}, '.', 1) and not {_PLATFORM} then false else true end) as gate_ran from routed)"""
 _VERDICT = """judged as (select *, case when gate_ran then coalesce(gate_entity_verdict, 'MATCH') else 'MATCH' end as verdict from gated),
 dropped as (select *, failed or verdict = 'NO_MATCH' as gone,
