@@ -49,7 +49,8 @@ HISTORY_SHARE = 0.0
 HOT_SHARE = 1e-6
 BLOCK_TOKENS = 400_000
 BLOCK_DOCS = 16_000   # twice a document's number is a 16-bit integer
-BUCKET_TOKENS = 1_500_000
+DOC_BITS = 16
+BUCKET_TOKENS = 2_500_000
 SLICES = 16
 HELD = (7, 2)
 END = np.int64(zlib.crc32(b"end of text") + (1 << 40))
@@ -265,7 +266,7 @@ def _send(words: Words, buckets: int):
     meta: list = []
 
     def run(batches):
-        docs, lengths, size, block = [], [], 0, TaskContext.get().partitionId() << 32
+        docs, lengths, size, block = [], [], 0, TaskContext.get().partitionId() << 20
         meta.clear()
         for batch in batches:
             for doc_id, raw in _documents(batch):
@@ -416,13 +417,13 @@ def _rare_histories(batches):
 
 
 def _rare_events(batches):
-    """(h, block, doc) of the open events whose history has no number."""
+    """(h, at) of the open events whose history has no number; ``at`` is block and document in one number."""
     for batch in batches:
         h, n = _flat(batch.column(batch.schema.get_field_index("rare")))
         doc, _ = _flat(batch.column(batch.schema.get_field_index("rare_doc")))
         block = np.repeat(batch.column(batch.schema.get_field_index("block")).to_numpy(), n)
         if len(h):
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(block, pa.int64()), pa.array(doc, pa.int32())], names=["h", "block", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(block << DOC_BITS | doc, pa.int64())], names=["h", "at"])
 
 
 def _settle(d: np.ndarray, log_a: np.ndarray, per_token: float, start: float):
@@ -488,9 +489,10 @@ def score_texts(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, history_sha
             .mapInArrow(_rare_histories, "h bigint, " + ", ".join(f"n{r + 1} bigint" for r in range(NS)) + ", covered double").groupBy("h")
             .agg(F.log10(sum(rare_sum[1:], rare_sum[0]) / F.greatest(1 - F.sum("covered"), F.lit(1e-12))).alias("add")))
     parts = met.where("kind = 'documents'").select("block", "doc", "fixed", "base", "known", "seen", "event_h", "event_doc", "ids", "tokens")
-    events = met.where("kind = 'documents'").select("block", "rare", "rare_doc").mapInArrow(_rare_events, "h bigint, block bigint, doc int")
-    added = (events.join(rare, "h").groupBy("block", "doc").agg(F.sum("add").alias("add"))     # no row: nothing seen after it, alpha is 1
-             .groupBy("block").agg(F.collect_list("doc").alias("rare_doc"), F.collect_list("add").alias("rare_add")))
+    events = met.where("kind = 'documents'").select("block", "rare", "rare_doc").mapInArrow(_rare_events, "h bigint, at bigint")
+    doc = F.col("at").bitwiseAND(F.lit((1 << DOC_BITS) - 1)).cast("int")
+    added = (events.join(rare, "h").groupBy("at").agg(F.sum("add").alias("add"))     # no row: nothing seen after it, alpha is 1
+             .select(F.shiftright("at", DOC_BITS).alias("block"), doc.alias("doc"), "add").groupBy("block").agg(F.collect_list("doc").alias("rare_doc"), F.collect_list("add").alias("rare_add")))
     empty = {c: F.array().cast(t) for c, t in parts.dtypes if c != "block"}
     parts = (parts.withColumns({"rare_doc": F.array().cast("array<int>"), "rare_add": F.array().cast("array<double>")})
              .unionByName(added.withColumns(empty)))
