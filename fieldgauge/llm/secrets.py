@@ -6,11 +6,14 @@ all alphabets, and the pieces that are long enough are candidates at their own p
 a chi-squared test of alphabet use, a runs test about the median sign and a lag-one serial correlation test. The
 least of the three p-values, times three, is the candidate's p-value; a small one speaks against randomness.
 
-False discoveries are controlled within strata of encoding and length. Benjamini-Hochberg at level ``Q`` rejects
-candidates as not random. Survivors are reported only where the battery has power at that length: long runs of letters
-alone, ordinary words, tell which share of non-random strings of a length it rejects, and from that and the number
-rejected comes the expected number of non-random survivors, which must stay under ``MAX_FALSE`` of them. All counts
-come from the whole corpus as one small histogram.
+False discoveries are controlled within strata of encoding and length. Benjamini-Hochberg at level ``Q``, or a p-value of
+``Q`` where that takes more, rejects candidates as not random. Whether survivors may be reported depends on the power of
+the battery in that stratum: counters, repeated words, words with numbers and dates with counters are written in its
+alphabet at its length, and the share rejected of the kind it rejects least is the power; where the corpus has MIN_WORDS
+runs of that length in letters alone, ordinary words, the share rejected of those counts too. From the power and the
+number rejected, plus three, so that no rejections bound the others as well, comes the expected number of survivors that
+are not random, which must stay under ``MAX_FALSE`` of all survivors; otherwise the stratum reports nothing. All counts come from
+the whole corpus as one small histogram.
 
 Defined results: null text is empty and has no span; a repeated row is scanned as often as it comes; no rows give no
 rows; other columns are never looked at.
@@ -20,8 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,9 @@ LEAST = 16
 Q = 0.05
 MAX_FALSE = 0.1
 P_BINS = 120        # of 0.1 in -log10 p
+MIN_WORDS = 50
+SAMPLES = 256       # strings of each kind that the power is taken from
+LONGEST = 512       # power at greater lengths is that at this one at least
 ALPHABETS = {       # narrowest first
     "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -43,6 +51,7 @@ ALPHABETS = {       # narrowest first
 }
 ENCODINGS = list(ALPHABETS)
 
+_WORDS = ("deadbeef", "session", "customer", "internal", "release", "cafe", "backup", "account")  # parts of names
 _HINTS = ("password", "passwd", "secret", "token", "api")
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -79,8 +88,9 @@ def _tail(z: np.ndarray) -> np.ndarray:
     return np.fromiter(map(math.erfc, np.abs(z) / math.sqrt(2)), float, len(z))
 
 
-def battery(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(encoding, p-value) of each token; encoding -1 where no alphabet holds it. All tokens of a batch at once."""
+def battery(tokens: list[str], encoding: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(encoding, p-value) of each token; encoding -1 where no alphabet holds it. All tokens of a batch at once. With
+    ``encoding`` they are taken to be written in that alphabet."""
     if not tokens:
         return np.zeros(0, int), np.zeros(0)
     grid = _codes()
@@ -90,7 +100,7 @@ def battery(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.r_[0, np.cumsum(n)[:-1]]
     owner = np.repeat(np.arange(len(n)), n)
     fits = np.stack([np.minimum.reduceat(grid[e][flat], starts) >= 0 for e in range(len(ENCODINGS))])
-    enc = np.where(fits.any(0), fits.argmax(0), -1)
+    enc = np.where(fits.any(0), fits.argmax(0), -1) if encoding is None else np.full(len(n), encoding)
     safe = np.maximum(enc, 0)
     size = np.array([len(ALPHABETS[e]) for e in ENCODINGS])[safe]
     code = grid[safe[owner], flat].astype(float)
@@ -175,8 +185,46 @@ def _histogram(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["encoding", "length", "plain", "bin", "n"])
 
 
+def shortest(length: int) -> int:
+    """The least length of a bin."""
+    return length if length < 32 else math.ceil(32 * 2 ** ((length - 32) / 8))
+
+
+def not_random(encoding: int, n: int) -> list[list[str]]:
+    """Kinds of strings of ``n`` signs that are no keys, in an alphabet."""
+    signs = ALPHABETS[ENCODINGS[encoding]]
+    digit = lambda text: "".join(c if c in signs else signs[int(c)] for c in text)
+    pick = random.Random(n)
+
+    def word(size: int) -> str:
+        letters = "".join(pick.choice(_WORDS) for _ in range(size // 4 + 1))[:size]
+        return "".join(c if c in signs else signs[(ord(c) - 97) % len(signs)] for c in letters)
+    kinds = [[], [], [], []]
+    for i in range(SAMPLES):
+        step = 1 + 37 * i
+        kinds[0].append((word(1) + digit(str(step).zfill(n)))[:1] + digit(str(step).zfill(n - 1)[-(n - 1):]))
+        kinds[1].append((word(4 + i % 9) * n)[:n])
+        kinds[2].append(word(n // 2) + digit("".join(pick.choice("0123456789") for _ in range(n - n // 2))))
+        kinds[3].append((digit(f"2024{1 + i % 12:02}{1 + i % 28:02}") + word(1) + digit(str(step).zfill(n)[-max(n - 9, 0):] if n > 9 else ""))[:n])
+    return kinds
+
+
+@cache
+def _rejected(encoding: int, n: int) -> tuple[np.ndarray, ...]:
+    """Per kind of string, the bins of their p-values."""
+    return tuple(_p_bin(battery(kind, encoding)[1]) for kind in not_random(encoding, n))
+
+
+def power(encoding: int, length: int, first: int, words: np.ndarray) -> float:
+    """Least share rejected, from bin ``first`` on, of the kinds of strings and of the words of that length, if there are enough."""
+    shares = [(np.count_nonzero(k >= first) + 1) / (len(k) + 1) for k in _rejected(encoding, min(shortest(length), LONGEST))]
+    if words.sum() >= MIN_WORDS:
+        shares.append((words[first:].sum() + 1) / (words.sum() + 1))
+    return min(shares)
+
+
 def limits(rows, q: float = Q, max_false: float = MAX_FALSE) -> dict[tuple[int, int], int]:
-    """For each (encoding, length) that may report: the first bin of -log10 p that Benjamini-Hochberg rejects."""
+    """For each (encoding, length) that may report: the first bin of -log10 p that is rejected."""
     own: dict[tuple, np.ndarray] = defaultdict(lambda: np.zeros(P_BINS, np.int64))
     words: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(P_BINS, np.int64))
     for e, length, plain, k, n in rows:
@@ -190,11 +238,10 @@ def limits(rows, q: float = Q, max_false: float = MAX_FALSE) -> dict[tuple[int,
         beyond = hist[::-1].cumsum()[::-1]                       # candidates in bin k or a smaller p
         bound = np.minimum(1.0, 10.0 ** (-np.arange(P_BINS) / 10))  # their p-values are at most this
         ok = np.flatnonzero(bound * total <= q * beyond)
-        first = int(ok[0]) if len(ok) else P_BINS
-        plain = words[length]
-        power = (plain[first:].sum() + 1) / (plain.sum() + 1)
+        first = min(int(ok[0]) if len(ok) else P_BINS, int(_p_bin(np.array([q]))[0]))
         rejected, left = hist[first:].sum(), hist[:first].sum()
-        if left and rejected / power * (1 - power) <= max_false * left:
+        share = power(e, length, first, words[length])
+        if left and (rejected + 3) / share * (1 - share) <= max_false * left:
             out[e, length] = first
     return out
 
