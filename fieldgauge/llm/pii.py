@@ -36,23 +36,59 @@ TOKEN = r"(?:\G|(?<![^\x20\x09-\x0D]))(?=[^\x20\x09-\x0D0-9]*+[0-9])[^\x20\x09-\
 # whole words and the begun one. Both start at a word, so long words are read once.
 BEFORE = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$"
 LAST = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){0,2}[^\x20\x09-\x0D]*+$"
-_SPAN = "array<struct<start:bigint,end:bigint,m:string,before:string>>"
+_ONE = "struct<start:bigint,end:bigint,m:string,before:string>"
+_SPAN = f"array<{_ONE}>"
+CHUNK = 128
+
+
+def walk(items: Column, start: dict[str, Column], step, kind: str) -> Column:
+    """One pass over an array with named state: ``step(state, item)`` gives the new state and an element of ``kind`` to put
+    out, or null. What a piece of CHUNK items puts out is gathered before it joins the rest, since an array is copied for
+    each element appended; so the cost stays in proportion to the items."""
+    def piece(state, chunk):
+        def one(a, z):
+            new, out = step(a, z)
+            return F.struct(*[new[k].alias(k) for k in start], F.when(out.isNull(), a["out"]).otherwise(F.array_append(a["out"], out)).alias("out"))
+        return F.aggregate(chunk, F.struct(*[state[k].alias(k) for k in start], F.array().cast(f"array<{kind}>").alias("out")), one)
+
+    def join(a, chunk):
+        joined = F.transform(F.array(piece(a, chunk)), lambda r: F.struct(*[r[k].alias(k) for k in start], F.array_append(a["outs"], r["out"]).alias("outs")))
+        return F.get(joined, F.lit(0))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+    first = F.struct(*[v.alias(k) for k, v in start.items()], F.array().cast(f"array<array<{kind}>>").alias("outs"))
+    done = F.aggregate(chunks, first, join, lambda a: F.flatten(a["outs"]))
+    return F.when(F.size(items) > 0, done).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def spans(text: Column, matches: Column, pattern: str) -> Column:
     """Start, end (code points), match and the two words of the text before, of each match. ``matches`` are those of
     ``pattern``; the text between comes from a split by it. ``last`` is the end of the text so far."""
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("g"), matches.alias("m"))
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"), F.lit("").alias("last"))
 
     def step(a, z):
         start = a["at"] + F.length(z["g"])
         end = start + F.length(z["m"])
         before = F.regexp_extract(F.concat(a["last"], z["g"]), BEFORE, 1)
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), z["m"].alias("m"), before.alias("before")))
-        return F.struct(F.coalesce(end, start).cast("bigint").alias("at"), F.when(z["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], one.cast(_SPAN))).alias("out"),
-                        F.coalesce(F.regexp_extract(F.concat(a["last"], z["g"], z["m"]), LAST, 0), F.lit("")).alias("last"))
-    return F.when(F.size(matches) > 0, F.aggregate(pieces, first, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+        one = F.struct(start.alias("start"), end.alias("end"), z["m"].alias("m"), before.alias("before")).cast(_ONE)
+        state = {"at": F.coalesce(end, start).cast("bigint"), "last": F.coalesce(F.regexp_extract(F.concat(a["last"], z["g"], z["m"]), LAST, 0), F.lit(""))}
+        return state, F.when(z["m"].isNotNull(), one)
+    return F.when(F.size(matches) > 0, walk(pieces, {"at": F.lit(0).cast("bigint"), "last": F.lit("")}, step, _ONE)).otherwise(F.array().cast(_SPAN))
+
+
+def apart_from(tokens: Column, plain: Column) -> Column:
+    """The tokens that touch no plain span. Tokens are apart from each other, so in order of start a token is touched by the
+    farthest end of the plain spans before it or by the plain span that comes next."""
+    mark = lambda c, plain_: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(plain_).alias("plain"), s["end"].alias("end"), s["m"].alias("m"), s["before"].alias("before")))
+    order = F.array_sort(F.concat(mark(plain, 0), mark(tokens, 1)))
+    pairs = F.arrays_zip(order.alias("s"), F.slice(order, F.lit(2), F.greatest(F.size(order) - 1, F.lit(0))).alias("next"))
+
+    def step(a, z):
+        s, next_ = z["s"], z["next"]
+        token = s["plain"] == 1
+        touched = (a["far"] > s["start"]) | F.coalesce((next_["plain"] == 0) & (next_["start"] < s["end"]), F.lit(False))
+        one = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), s["before"].alias("before")).cast(_ONE)
+        return {"far": F.when(token, a["far"]).otherwise(F.greatest(a["far"], s["end"]))}, F.when(token & ~touched, one)
+    return F.when(F.size(plain) == 0, tokens).otherwise(walk(pairs, {"far": F.lit(-1).cast("bigint")}, step, _ONE))
 
 
 def _digits(m: Column) -> Column:
@@ -91,7 +127,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     out = out.withColumn("token", F.filter(core.cast(_SPAN), lambda s: (F.length(_digits(s["m"])) >= 2) & (s["end"] - s["start"] >= 5)))
     plain = F.concat(*[F.col(k) for k in KINDS])
     out = out.withColumn("plain", plain)
-    out = out.withColumn("token", F.filter("token", lambda s: ~F.exists("plain", lambda p: (p["start"] < s["end"]) & (s["start"] < p["end"]))))
+    out = out.withColumn("token", apart_from(F.col("token"), F.col("plain")))
     return out.select("doc_id", F.monotonically_increasing_id().alias("row"), *KINDS, "token")
 
 
