@@ -60,11 +60,11 @@ def _similar_keys(labels: DataFrame, threshold: float, hot: int) -> tuple[DataFr
         """Pieces (start, width) of a shorter form of length ``n`` and its distance e."""
         longest = F.floor(F.col(n) / F.lit(threshold) + eps)
         e = F.floor(longest * F.lit(1.0 - threshold) + eps).cast("int")
-        count = F.col("e") + F.lit(2)
-        return (df.withColumn("e", e)
-                .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("e") + one)))
-                .withColumn("start", F.floor(F.col(n) * F.col("i") / count).cast("int"))
-                .withColumn("width", F.floor(F.col(n) * (F.col("i") + one) / count).cast("int") - F.col("start")))
+        wanted = F.greatest(F.col("e") + 2, F.least(2 * F.col("e") + 2, F.floor(F.col(n) / 2).cast("int")))
+        return (df.withColumn("e", e).withColumn("count", wanted)
+                .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("count") - one)))
+                .withColumn("start", F.floor(F.col(n) * F.col("i") / F.col("count")).cast("int"))
+                .withColumn("width", F.floor(F.col(n) * (F.col("i") + one) / F.col("count")).cast("int") - F.col("start")))
 
     length = F.length("form")
     partner = form.withColumn("n", F.explode(F.sequence(F.ceil(length * F.lit(threshold) - eps).cast("int"), length)))
@@ -95,10 +95,12 @@ def similar_labels(labels: DataFrame, threshold: float = 0.85, hot: int = HOT) -
 
     Alike means edit distance <= (1 - threshold) x the longer length. If e is
     the largest such distance for a shorter form of length n, cutting that form
-    into e + 2 pieces leaves at least two intact inside any partner, shifted by
-    at most e. So a form may leave out its most frequent piece: it publishes the
-    e + 1 that fewest partners hold, and the substrings those could match meet
-    them by equi join. A piece that still has more than ``hot`` partners is
+    into e + m pieces leaves at least m intact inside any partner, shifted by at
+    most e. So a form may leave out its m - 1 most frequent pieces: it publishes
+    the e + 1 that fewest partners hold, and the substrings those could match
+    meet them by equi join. m is e + 2 where pieces then have two characters or
+    more, so a stem that many labels share may cover half of a label and brings
+    none of them together. A piece that still has more than ``hot`` partners is
     split by salt. The exact measure is part of the join condition, so only true
     pairs leave it. Signatures per label depend on its length alone.
     """
