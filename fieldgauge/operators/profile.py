@@ -145,15 +145,20 @@ def candidate_keys(df: DataFrame, keys: Mapping[str, tuple[Sequence[Column], Seq
         bands.pct(n - d, n).alias("collision_pct"), F.sum("_nulls").alias("nulls_in_key"))
 
 
-def key_report(df: DataFrame) -> DataFrame:
-    """handle, name+state, name+domain and name+city+state side by side, from one pass."""
+def report_keys() -> dict[str, tuple[Sequence[Column], Sequence[str]]]:
+    """handle, name+state, name+domain and name+city+state: their parts and the columns whose NULLs are reported."""
     name = F.lower(strip("name"))
-    return candidate_keys(df, {
+    return {
         "handle": ([F.col("handle")], ["handle"]),
         "name + state": ([name, F.col("state")], ["name", "state"]),
         "name + domain": ([name, regex_domain("website")], ["name", "website"]),
         "name + city + state": ([name, F.lower(strip("city")), F.col("state")], ["name", "city", "state"]),
-    })
+    }
+
+
+def key_report(df: DataFrame) -> DataFrame:
+    """The keys of ``report_keys`` side by side, from one pass."""
+    return candidate_keys(df, report_keys())
 
 
 def duplicate_groups(df: DataFrame, keys: Mapping[str, Column], k: int = 20) -> DataFrame:

@@ -8,9 +8,10 @@ from fieldgauge import fixed_values as fv
 from fieldgauge.config import PARITY_TARGETS
 from fieldgauge.functions import bands
 from fieldgauge.functions.text import host
-from fieldgauge.operators import anomalies as an, cleaning as cl, profile as pr
+from fieldgauge.operators import anomalies as an, cleaning as cl, profile as pr, sketches as sk
 from fieldgauge.plans.registry import BAND_ORD, SEGMENT, SET_CTE, TIER, TIERS, US_CTE, VALID, query, quoted
 from fieldgauge.plans.testbed import CLEANED_CTE, COMPANIES_CTE, cleaned, companies, table
+from fieldgauge.sources.workspace import new_path
 
 C, K = COMPANIES_CTE, CLEANED_CTE
 BLOCKED = quoted(fv.PLATFORM_DOMAINS)
@@ -111,15 +112,30 @@ def _key_sql(label, parts, sources):
 _DOMAIN = r"nullif(regexp_extract(lower(coalesce(website,'')), '(?:https?://)?(?:www\.)?([^/?#\s]+)', 1), '')"
 
 
-@query("p9_candidate_keys", " union all ".join([
+_KEYS_SQL = " union all ".join([
     _key_sql("handle", "(handle,)", ["handle"]).replace("(handle,)", "handle"),
     _key_sql("name + state", "(lower(trim(name)), state)", ["name", "state"]),
     _key_sql("name + domain", f"(lower(trim(name)), {_DOMAIN})", ["name", "website"]),
-    _key_sql("name + city + state", "(lower(trim(name)), lower(trim(city)), state)", ["name", "city", "state"])]), C, US_CTE)
+    _key_sql("name + city + state", "(lower(trim(name)), lower(trim(city)), state)", ["name", "city", "state"])])
+
+
+@query("p9_candidate_keys", _KEYS_SQL, C, US_CTE)
 def p9(s, d):
     return pr.key_report(us(s, d))
 
 
+@query("p9_keys_from_sketches", f"select candidate_key, total_records, nulls_in_key, true as within_error from ({_KEYS_SQL})", C, US_CTE)
+def p9_sketches(s, d):
+    """Four snapshots are sketched one by one and put aside; the keys of all are read off the stored sketches, and the exact
+    counts only judge them."""
+    path = new_path(s, "key-sketches")
+    for batch in range(4):
+        sk.store_batch(us(s, d).where(F.pmod(F.hash("handle"), F.lit(4)) == batch), pr.report_keys(), path, batch)
+    exact = pr.key_report(us(s, d)).select("candidate_key", "distinct_values")
+    return sk.key_estimates(s, path).join(exact, "candidate_key").select(
+        "candidate_key", "total_records", "nulls_in_key", F.col("distinct_values").between(F.col("distinct_low"), F.col("distinct_high")).alias("within_error"))
+
+
 @query("p10_key_name_city_state", _key_sql(
     "name + city + state", "(lower(trim(name)), lower(trim(city)), state)", ["name", "city", "state"]), C, US_CTE)
 def p10(s, d):
