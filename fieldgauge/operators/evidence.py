@@ -24,6 +24,7 @@ from fieldgauge.operators.running import running_total
 from fieldgauge.operators.scale import left_lookup
 
 FIELDS = ("website", "type", "industry", "size")
+LARGE = ("1K-5K", "5K-10K", "10K+")
 
 FINDING = ("candidate_website string, website_confidence double, candidate_type string, type_confidence double, "
            "candidate_size string, size_confidence double, industry_snapped string, industry_confidence double, "
@@ -98,17 +99,30 @@ def route(df: DataFrame) -> DataFrame:
             .withColumn("needs_search", _flag(F.col("poc_condition").isin("missing_website", "platform_url")) | ~fits))
 
 
-def needs_gate(rules: EvidenceRules = EvidenceRules()) -> Column:
+def compare_names(df: DataFrame, rules: EvidenceRules = EvidenceRules()) -> DataFrame:
+    """Adds ``names_differ``. Names are put in columns of their own, and only where the comparison decides whether the
+    found entity is verified, so that it is made once and for few rows."""
+    found = F.col("found")
+    settled = [is_missing(found["candidate_website"]) & is_missing(found["candidate_type"]), F.col("hint.confirmed"),
+               F.col("website_corrupted"), F.col("size").isin(*LARGE)]
+    undecided = F.col("needs_search") & ~reduce(lambda a, b: a | b, [_flag(c) for c in settled])
+    named = F.coalesce(found["extracted_name"], F.lit("")) != ""
+    compared = df.withColumns({"_mine": F.when(undecided & named, F.coalesce("name", F.lit(""))),
+                               "_theirs": F.when(undecided & named, found["extracted_name"])})
+    return (compared.withColumn("names_differ", _flag(name_diverges("_mine", "_theirs", rules.name_diverges_below)))
+            .drop("_mine", "_theirs"))
+
+
+def needs_gate() -> Column:
     """Should the found entity be verified? First rule that applies decides."""
     found = F.col("found")
-    other = found["extracted_name"]
     mine, theirs = bare_domain("website"), bare_domain(found["candidate_website"])
     same_stem = F.substring_index(mine, ".", 1) == F.substring_index(theirs, ".", 1)
     return (F.when(is_missing(found["candidate_website"]) & is_missing(found["candidate_type"]), False)
             .when(F.col("hint.confirmed"), False)
             .when(F.col("website_corrupted"), False)
-            .when(F.col("size").isin("1K-5K", "5K-10K", "10K+"), True)
-            .when((F.coalesce(other, F.lit("")) != "") & name_diverges("name", other, rules.name_diverges_below), True)
+            .when(F.col("size").isin(*LARGE), True)
+            .when(F.col("names_differ"), True)
             .when(_flag(same_stem) & ~platform_by_prefix("website"), False)
             .otherwise(True))
 
@@ -116,8 +130,8 @@ def needs_gate(rules: EvidenceRules = EvidenceRules()) -> Column:
 def apply_verdict(df: DataFrame, rules: EvidenceRules = EvidenceRules()) -> DataFrame:
     """``verdict`` and the evidence that survives it in ``ev``: dropped on
     NO_MATCH or error, replaced by a clean retry for SUBSIDIARY and PARENT."""
-    df = (df.withColumn("failed", _flag(F.col("found.error")))
-          .withColumn("gated", ~F.col("failed") & F.col("needs_search") & needs_gate(rules)))
+    df = (compare_names(df, rules).withColumn("failed", _flag(F.col("found.error")))
+          .withColumn("gated", ~F.col("failed") & F.col("needs_search") & needs_gate()))
     df = df.withColumn("verdict", F.when(F.col("gated"), F.coalesce("gate.entity_verdict", F.lit("MATCH"))).otherwise("MATCH"))
     related = F.col("verdict").isin("SUBSIDIARY", "PARENT")
     retry_ok = F.col("retry").isNotNull() & ~_flag(F.col("retry.error"))

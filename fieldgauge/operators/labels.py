@@ -325,4 +325,8 @@ def sequence_ratio(a: Column | str, b: Column | str) -> Column:
 
 
 def name_diverges(name: Column | str, other: Column | str, below: float = 0.70) -> Column:
-    return sequence_ratio(F.lower(F.coalesce(col(name), F.lit(""))), F.lower(col(other))) < below
+    """Do two names share less than ``below`` of their characters? Lengths that rule it out settle it without comparing."""
+    a, b = F.lower(F.coalesce(col(name), F.lit(""))), F.lower(col(other))
+    most = F.lit(2.0) * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0))
+    far = F.coalesce(most < below, F.lit(False))
+    return far | (sequence_ratio(F.when(~far, a), F.when(~far, b)) < below)
