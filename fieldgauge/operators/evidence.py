@@ -22,6 +22,7 @@ from fieldgauge.operators.cleaning import address_signals, infer_type
 from fieldgauge.operators.labels import name_diverges, snap_cascade, snap_method, tidy
 from fieldgauge.operators.running import running_total
 from fieldgauge.operators.scale import left_lookup
+from fieldgauge.sources.workspace import materialise
 
 FIELDS = ("website", "type", "industry", "size")
 LARGE = ("1K-5K", "5K-10K", "10K+")
@@ -78,8 +79,8 @@ def snap_raw_labels(found: DataFrame, labels: DataFrame, key: str = "handle", ra
     rows = found.drop("industry_snapped").withColumn("_text", F.coalesce(tidy(raw), F.lit("")))
     counts = rows.groupBy("_text").agg(F.count("*").alias("_rows"))
     snapped = snap_cascade(counts.select(F.col("_text").alias("text")), labels, **steps)
-    side = (counts.join(snapped, F.col("_text") == F.col("text"), "left")
-            .select("_text", "_rows", F.col("label").alias("industry_snapped")))
+    side = materialise(counts.join(snapped, F.col("_text") == F.col("text"), "left")
+                       .select("_text", "_rows", F.col("label").alias("industry_snapped")))   # read for hot and other texts
     return left_lookup(rows, side, "_text", key, "_rows", ["industry_snapped"]).drop("_text")
 
 

@@ -19,6 +19,7 @@ from fieldgauge import fixed_values as fv
 from fieldgauge.functions.text import col, similarity
 from fieldgauge.operators.blocks import in_blocks
 from fieldgauge.operators.scale import broadcast_if_small
+from fieldgauge.sources.workspace import materialise
 
 
 def tidy(text: Column | str) -> Column:
@@ -232,6 +233,7 @@ def edit_candidates(texts: DataFrame, labels: DataFrame, text: str = "text") ->
     # one character of slack on either side keeps rounding out of the bound
     low, high = F.greatest(F.floor(n * F.col("floor")) - 1, F.lit(0)), F.least(F.when(F.col("floor") > 0, F.ceil(n / F.col("floor")) + 1).otherwise(most), F.lit(most))
     low, high = _band(low), _band(F.greatest(high, F.lit(0)))
+    floors = materialise(floors)     # one row per distinct text, read to count and to deal
     rows = (floors.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
             .select(text, "floor", F.explode(F.sequence("_low", "_high")).alias("_band")))
     known = labels.select("label", F.col("pos").cast("bigint").alias("pos"), _band(F.length("label")).alias("_band"))
