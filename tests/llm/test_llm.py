@@ -279,6 +279,43 @@ def test_vectors(spark):
     assert kmeans_dedup.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_in_nested_cells(spark, monkeypatch):
+    """Clusters within clusters, one label with most rows: two levels of cells, rows on borders, visits counted."""
+    rng = np.random.default_rng(1)
+    wide = rng.normal(size=(6, 16))
+    narrow = np.concatenate([w + 0.35 * rng.normal(size=(6, 16)) for w in wide])
+    x = np.concatenate([c + s * rng.normal(size=(20, 16)) for c in narrow for s in (0.05, 0.18)])
+    label = np.where(rng.random(len(x)) < 0.8, 0, rng.integers(1, 4, len(x)))
+    df = spark.createDataFrame([(i, v.tolist(), int(g)) for i, (v, g) in enumerate(zip(x, label))], "vec_id bigint, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    monkeypatch.setattr(kmeans_dedup, "MAX_CELLS", 4)
+    monkeypatch.setattr(kmeans_dedup, "SLICE_ROWS", 100)
+    got = kmeans_dedup.near_vectors(df, cell_rows=40).toPandas().set_index("vec_id").sort_index()
+    assert got["n_links"].tolist() == near.sum(1).tolist()
+    comp = np.arange(len(x))
+    for _ in x:
+        comp = np.minimum(comp, np.where(near, comp[None, :], len(x)).min(1))
+    assert got["component_id"].tolist() == comp.tolist()
+    classes = df.selectExpr("cast(label as bigint) as label", "16 as width", "vec_id as key", "1L as n", "embedding as v")
+    cells = kmeans_dedup._cells(classes, 0.93, 40).groupBy("label", "cell").agg(F.count_if("home").alias("h"), F.count("*").alias("all")).toPandas()
+    assert cells["h"].sum() == len(x) and cells["cell"].max() >= 4 * 4
+    assert (cells["h"] * cells["all"]).sum() < 0.4 * sum(int((label == g).sum()) ** 2 for g in range(4))
+
+
+@pytest.mark.parametrize("cosine", [0.93, 0.5])
+def test_guests_lose_no_link(cosine):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = kmeans_dedup.spherical_kmeans(x, 12)
+    home, near = kmeans_dedup._guests(x, c, cosine)
+    visits = kmeans_dedup._visits(near, home)
+    a, b = np.nonzero(x @ x.T >= cosine)
+    meets = visits[b, home[a]].astype(int) + visits[a, home[b]]
+    assert ((meets == 1) | (home[a] == home[b])).all() and visits.sum() < 0.8 * near.sum()
+
+
 def test_secrets(spark, docs, none):
     import random
 
