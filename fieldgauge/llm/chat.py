@@ -9,7 +9,9 @@ Template: ``### Role: text </turn>`` and a line feed for each turn. In roles and
 colon in a role is written ``%3A`` and a percent sign ``%25``.
 
 Defined results: null role or text is empty; a message whose parent is not in its tree is a root; messages on a cycle
-have no root and are in no path; ties between branches go to the smaller leaf; no rows give no rows.
+have no root and are in no path; ties between branches go to the smaller leaf; rows of one turn stand in the order of
+role and text, null as empty, and a null turn comes first; a null conv_id is a conversation of its own; no rows give no
+rows; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -109,7 +111,7 @@ def loss_spans(turns: Column, role: str = TRAINED_ROLE) -> Column:
 def conversation_trees(rows: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as trees: every row replies to the one before it. Rows of one turn are ordered
     by role and text, and repeated rows are turns of their own."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    order = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     n = F.row_number().over(order).cast("bigint")
     return rows.select(F.col("conv_id").alias("tree"), n.alias("node"), F.when(n > 1, n - 1).alias("parent"), F.lit(1.0).alias("score"), "role", "text")
 
@@ -117,9 +119,9 @@ def conversation_trees(rows: DataFrame) -> DataFrame:
 @query("op6_chat_formatting", r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(t, r))
-select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
-       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        sum(15 + length(regexp_replace(replace(replace(role, '%', '%25'), ':', '%3A'), '([\\#<])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')))::bigint as formatted_chars
 from c group by conv_id""")
 def op6_chat_formatting(spark, sf_dir):

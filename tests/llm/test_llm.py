@@ -246,6 +246,24 @@ def test_chat_reads_back(spark):
     assert [got["formatted"][s["start"]:s["end"]] for s in got["s"]] == ["\\<\\\\\\#\n", ""] and out.count() == 2
 
 
+def test_chat_odd_rows(spark, tmp_path):
+    """Null and repeated turns, roles, texts and conversations, clashing columns and no rows, against the oracle."""
+    rows = [(1, 0, None, "b", 1, 1), (1, 0, "", "a", 1, 1), (1, 0, "user", None, 1, 1), (1, 0, "user", None, 2, 2), (1, None, "assistant", "first", 1, 1),
+            (2, 1, "assistant", "same", 1, 1), (2, 1, "assistant", "same", 1, 1), (3, 0, "assistant", LONG, None, None), (4, 0, "as:s%", r"\< # \\", 1, 1),
+            (None, 0, "user", "whose", 1, 1), (None, 1, "assistant", "mine", 1, 1)]
+    schema = "conv_id bigint, turn int, role string, text string, leaf int, formatted int"
+    for name, some in (("odd", rows), ("none", [])):
+        path = str(tmp_path / name)
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(f"{path}/conversations.parquet")
+        import duckdb
+
+        one = duckdb.connect()
+        one.execute(f"create view conversations as select * from read_parquet('{path}/conversations.parquet/*.parquet')")
+        want = one.execute(ORACLES["op6_chat_formatting"]).fetchall()
+        got = QUERIES["op6_chat_formatting"](spark, path).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(got) == len({r[0] for r in some}) + 1
+
+
 def test_chat_branches(spark):
     rows = [(1, 1, None, 0.0), (1, 2, 1, 1.0), (1, 3, 1, 2.0), (1, 4, 3, 0.0), (1, 5, 1, 2.0), (2, 7, 9, 0.0), (3, 1, 2, 1.0), (3, 2, 1, 1.0)]
     got = chat.chosen_paths(spark.createDataFrame(rows, "tree bigint, node bigint, parent bigint, score double")).collect()
@@ -279,6 +297,16 @@ def test_vectors(spark):
     assert kmeans_dedup.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_without_ids(spark):
+    """Null and repeated ids are vectors of their own; columns named as those of the operator don't matter."""
+    rows = [(None, [1.0, 0.0], 1, 5), (None, [1.0, 0.0], 1, 5), (7, [1.0, 0.01], 1, 5), (7, [0.0, 1.0], 1, 5), (8, [0.0, -1.0], 1, 5), (None, [-1.0, 0.0], 1, 5)]
+    names = ("cell", "home", "hash", "n", "key", "width", "visiting", "homes")
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, block int").select("*", *[F.lit("x").alias(c) for c in names])
+    got = sorted(kmeans_dedup.near_vectors(df).collect(), key=str)
+    assert collections.Counter(map(tuple, got)) == collections.Counter(
+        [(None, 2, 7, False), (None, 2, 7, False), (7, 2, 7, True), (7, 0, 7, True), (8, 0, 8, True), (None, 0, None, True)])
+
+
 def test_vectors_in_nested_cells(spark, monkeypatch):
     """Clusters within clusters, one label with most rows: two levels of cells, rows on borders, visits counted."""
     rng = np.random.default_rng(1)
