@@ -14,7 +14,7 @@ from fieldgauge import fixed_values as fv
 from fieldgauge.config import GapTiers, SourcingLimit, VolumeTiers
 from fieldgauge.functions import bands
 from fieldgauge.functions.text import lookup
-from fieldgauge.operators.scale import broadcast_if_small
+from fieldgauge.operators.scale import broadcast_if_small, lookup_join
 
 UNMAPPED = "99"
 
@@ -27,7 +27,7 @@ def frequent_labels(df: DataFrame, min_n: int = 500) -> DataFrame:
 
 def label_codes(label_map: DataFrame) -> DataFrame:
     """(_l, _s): the sector of each lower-case label, one row each; of spellings that disagree the smallest code wins."""
-    return broadcast_if_small(label_map.groupBy(F.lower("label").alias("_l")).agg(F.min("sector").alias("_s")))
+    return label_map.groupBy(F.lower("label").alias("_l")).agg(F.min("sector").alias("_s"))
 
 
 def label_counts_to_sector(df: DataFrame, label_map: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -35,7 +35,7 @@ def label_counts_to_sector(df: DataFrame, label_map: DataFrame, keys: Sequence[s
     and unknown codes fall into sector 99."""
     by_label = (df.where(F.col("state").isNotNull())
                 .groupBy(*keys, F.lower("industry").alias("_label")).agg(F.count("*").alias("_n")))
-    codes = label_codes(label_map.where(F.col("sector").isin(*fv.SECTORS)))
+    codes = broadcast_if_small(label_codes(label_map.where(F.col("sector").isin(*fv.SECTORS))))
     return (by_label.join(codes, F.col("_label") == F.col("_l"), "left")
             .groupBy(*keys, F.coalesce("_s", F.lit(UNMAPPED)).alias("sector"))
             .agg(F.sum("_n").alias("our_records")))
@@ -198,7 +198,8 @@ def labels_by_sector(label_map: DataFrame) -> DataFrame:
 
 def in_sector(df: DataFrame, label_map: DataFrame, sector: str) -> DataFrame:
     labels = label_codes(label_map.where(F.col("sector").isin(*fv.SECTORS))).where(F.col("_s") == sector)
-    return df.where(F.col("state").isNotNull()).join(labels, F.lower("industry") == F.col("_l"), "left_semi")
+    rows = df.where(F.col("state").isNotNull())
+    return lookup_join(rows, labels, F.lower("industry"), "_l", ["_s"]).where("_s is not null").drop("_s")
 
 
 def slice_counts(df: DataFrame, label_map: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldgauge import fixed_values as fv
 from fieldgauge.config import BATCH_SIZE, STAGE4_SHARE_MAX
 from fieldgauge.functions import bands
-from fieldgauge.operators.scale import broadcast_if_small
+from fieldgauge.operators.scale import lookup_join
 from fieldgauge.functions.text import lookup, platform_by_prefix
 
 TOTAL = "TOTAL"
@@ -25,7 +25,7 @@ def ledger(log: DataFrame, cost: str = "cost", places: int | None = 10) -> DataF
 
 def call_cost(log: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost per call from tokens and a price table (model, input, output per million)."""
-    return (log.join(broadcast_if_small(prices), "model", "left")
+    return (lookup_join(log, prices, F.col("model"), "model", ["input", "output"])
             .withColumn("cost", F.col("input_tokens") / 1e6 * F.col("input") + F.col("output_tokens") / 1e6 * F.col("output")))
 
 

@@ -12,7 +12,7 @@ from fieldgauge.config import SAMPLE_QUOTAS, SAMPLE_SPLIT
 from fieldgauge.functions import bands
 from fieldgauge.functions.text import lookup, platform_by_substring
 from fieldgauge.operators.coverage import worst_states, label_codes
-from fieldgauge.operators.scale import broadcast_if_small, top_per_group
+from fieldgauge.operators.scale import broadcast_if_small, lookup_join, top_per_group
 
 SAMPLE_PLATFORMS = tuple(d for d in fv.PLATFORM_DOMAINS if d != "hub.biz")
 
@@ -75,7 +75,7 @@ def sector_samples(df: DataFrame, label_map: DataFrame, n: int = 15, seed: str =
                    key: str = "handle") -> DataFrame:
     """Spot-check sample of ``n`` rows of every mapped sector in one job."""
     codes = label_codes(label_map).withColumnRenamed("_s", "sector")
-    rows = df.where("state is not null").join(codes, F.lower("industry") == F.col("_l")).drop("_l")
+    rows = lookup_join(df.where("state is not null"), codes, F.lower("industry"), "_l", ["sector"]).where("sector is not null")
     return top_per_group(rows, ["sector"], hash_order(key, seed), n, n, salt=F.col(key)).drop("_rank")
 
 
@@ -121,7 +121,7 @@ def audit_sample(df: DataFrame, cells: DataFrame, label_map: DataFrame, gaps: Da
 
     any_sector = F.array_compact(F.array(F.when(big & F.col("state").isNotNull() & size_gap.isNotNull(), tag(size_gap, 0, n))))
     mine = F.coalesce(F.flatten(F.transform("_rules", of_sector)), F.array().cast("array<struct<gap:string,_stratum:int,_k:int>>"))
-    tagged = (pool.join(codes, F.lower("industry") == F.col("_l"), "left").join(rules, F.col("_sector") == F.col("_m"), "left")
+    tagged = (lookup_join(pool, codes, F.lower("industry"), "_l", ["_sector"]).join(rules, F.col("_sector") == F.col("_m"), "left")
               .select(*df.columns, F.explode(F.concat(mine, any_sector)).alias("_t")).select(*df.columns, "_t.*"))
     drawn = top_per_group(tagged, ["gap", "_stratum"], hash_order(key, seed), F.col("_k"), n, salt=F.col(key))
     once = Window.partitionBy("gap", key).orderBy("_stratum")

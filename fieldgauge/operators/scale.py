@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType
 
 SMALL_TABLE_ROWS = 5_000
 
@@ -16,15 +17,6 @@ def scalar(df: DataFrame) -> Column:
     return df.scalar()
 
 
-def small_rows(df: DataFrame, what: str, limit: int = SMALL_TABLE_ROWS) -> list:
-    """Rows of a table that must be small (a taxonomy, a rule table). At most
-    ``limit`` + 1 rows ever reach the driver; a larger table is an error."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} rows and cannot be used as a small table")
-    return rows
-
-
 def broadcast_if_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
     """A table that is usually small (a label map, a price list), marked for broadcast after a check of its rows. Of a
     larger one no more than ``limit`` + 1 rows reach the driver, and it is joined by shuffle."""
@@ -74,3 +66,22 @@ def left_lookup(big: DataFrame, side: DataFrame, key: str, row_key: str, weight:
     # filtered, because a filter on the key would be pushed down and re-derive it
     found = [F.when(F.col(key) != "", F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}"))).alias(v) for v in values]
     return out.select(*big.columns, *found)
+
+
+def lookup_join(big: DataFrame, side: DataFrame, on: Column, key: str, values: Sequence[str],
+                limit: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """Left join of ``big`` to a side table that is usually small, with one row per text ``key``; ``on`` is the text of a
+    big row and null finds nothing. Up to ``limit`` rows the side is broadcast. A larger side gets the rows that ask for
+    each key counted and goes through ``left_lookup``, so no key that many rows ask for is hot in the shuffle."""
+    side = side.select(F.col(key).alias("_side"), *values)
+    checked = side.limit(limit + 1).collect()
+    if len(checked) <= limit:
+        small = F.broadcast(side.sparkSession.createDataFrame(checked, side.schema))
+        return big.withColumn("_want", on).join(small, F.col("_want") == F.col("_side"), "left").select(*big.columns, *values)
+    # '' stands for no key there, so keys carry a sign before them; rows are spread by their plain columns
+    plain = [f.name for f in big.schema if isinstance(f.dataType, AtomicType)]
+    asked = (big.withColumn("_want", F.coalesce(F.concat(F.lit("="), on), F.lit("")))
+             .withColumn("_row", F.xxhash64(*plain)))
+    found = (asked.groupBy("_want").agg(F.count("*").alias("_rows"))
+             .join(side, F.col("_want") == F.concat(F.lit("="), "_side"), "left").select("_want", "_rows", *values))
+    return left_lookup(asked, found, "_want", "_row", "_rows", values).select(*big.columns, *values)

@@ -65,9 +65,17 @@ def test_left_lookup_keeps_every_row(spark):
     assert got == {r: (None if k in ("", "k3") else f"v-{k}") for r, k in rows}
 
 
-def test_small_table_is_checked(spark):
-    with pytest.raises(ValueError):
-        scale.small_rows(spark.range(20), "taxonomy", limit=10)
+@pytest.mark.parametrize("limit", [5_000, 3])
+def test_lookup_join_of_small_and_large_sides(spark, limit):
+    rows = [(i, None if i % 5 == 0 else "" if i % 5 == 1 else "hot" if i % 5 == 2 else f"k{i % 30}", [i]) for i in range(3000)]
+    df = spark.createDataFrame(rows + rows[:7], "row int, asks string, list array<int>")
+    side = spark.createDataFrame([("hot", "H", 1), ("", "E", 2), ("k3", "three", None), ("k4", None, 4), ("unasked", "U", 5)], "name string, v string, w int")
+    known = {r["name"]: (r["v"], r["w"]) for r in side.collect()}
+    got = scale.lookup_join(df, side, F.col("asks"), "name", ["v", "w"], limit=limit)
+    assert got.columns == ["row", "asks", "list", "v", "w"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((*r, *known.get(r[1], (None, None)))) for r in rows + rows[:7])
+    assert scale.lookup_join(df.where("false"), side, F.col("asks"), "name", ["v"], limit=limit).count() == 0
+    assert scale.lookup_join(df, side.where("false"), F.col("asks"), "name", ["v"], limit=limit).where("v is null").count() == 3007
 
 
 @pytest.mark.parametrize("partitions", [1, 3, 8])
