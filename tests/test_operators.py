@@ -65,6 +65,23 @@ def test_left_lookup_keeps_every_row(spark):
     assert got == {r: (None if k in ("", "k3") else f"v-{k}") for r, k in rows}
 
 
+def test_left_lookup_spreads_answered_and_keyless_rows(spark):
+    rows = [(f"r{i}", "" if i % 2 else ("hot" if i % 4 else f"k{i}")) for i in range(8000)]
+    df = spark.createDataFrame(rows, "row string, key string")
+    side = df.where("key <> ''").groupBy("key").agg(F.count("*").alias("n")).withColumn("v", F.concat(F.lit("v-"), "key"))
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = scale.left_lookup(df, side, "key", "row", "n", ["v"])
+        sizes = out.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n"), F.count("v").alias("found"))
+        dealt = sizes.agg(F.max("n"), F.sum("n"), F.sum("found")).first()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert dealt[1] == len(rows) and dealt[2] == len(rows) / 2 and dealt[0] < len(rows) / 4   # 8 partitions
+
+
 @pytest.mark.parametrize("limit", [5_000, 3])
 def test_lookup_join_of_small_and_large_sides(spark, limit):
     rows = [(i, None if i % 5 == 0 else "" if i % 5 == 1 else "hot" if i % 5 == 2 else f"k{i % 30}", [i]) for i in range(3000)]
