@@ -10,8 +10,9 @@ from fieldgauge.sources.store import VersionedStore
 
 
 def newest_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
-    """Last row per key of a batch by ``order``. A hot key folds map-side."""
-    return batch.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
+    """Last row per key of a batch by ``order``. A batch may be one file that one task reads, and the fold sorts what it
+    is given, so rows are dealt by key and order first; a hot key stays spread and folds before the exchange by key."""
+    return batch.repartition(key, order).groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
 
 
 def stream_upsert(stream: DataFrame, store: LogStore | VersionedStore, order: str, checkpoint: str,

@@ -111,3 +111,18 @@ def test_stream_of_several_files_into_the_log(spark, tmp_path):
     stream_upsert(stream, store, "_seq", new_path(spark, "upsert-state"), first_version=1).awaitTermination()
     assert max(store.versions()) == 5
     assert {r["handle"]: r["v"] for r in store.read().collect()} == {"a": "at 4", "b": "stored"} | {f"own {i}": "x" for i in range(5)}
+
+
+def test_newest_per_key_spreads_a_batch_of_one_file(spark):
+    from fieldgauge.streaming.upsert import newest_per_key
+    rows = [("hot" if i % 2 else f"k{i % 50}", i, f"v{i}") for i in range(4000)] + [(None, 1, "lost"), ("none", None, "x")]
+    batch = spark.createDataFrame(rows, "handle string, seq int, name string").coalesce(1)
+    out = newest_per_key(batch, "handle", "seq")
+    best = {}
+    for h, q, n in rows:
+        if q is not None and q >= best.get(h, (-1, None))[0]:
+            best[h] = (q, n)
+    assert {r["handle"]: (r["seq"], r["name"]) for r in out.where("seq is not null").collect()} == best
+    # the one task that reads the file deals its rows by key and order before any fold sorts them
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert any("RepartitionByExpression" in x and "seq" in x for x in plan)
