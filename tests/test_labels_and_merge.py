@@ -1,6 +1,7 @@
 """Taxonomies in blocks, the one-shuffle merge, raw label texts and the budget stop."""
 
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -145,3 +146,31 @@ def test_budget_stops_work_and_then_the_closure_check(spark):
 def test_the_merge_runs_whole_on_derived_evidence(spark):
     rows = ev.resolve(views.entities(spark, SF), views.evidence(spark, SF), version="1")
     assert rows.count() == 1500 and rows.columns[-1] == "pipeline_version"
+
+
+def test_letters_rule_out_names_without_comparing(spark):
+    rng = random.Random(9)
+    words = ["customer#000000012", "totally", "different", "company", "smith", "johnson", "law", "é𝒳", "", "llc"]
+    pairs = [(" ".join(rng.choices(words, k=rng.randint(0, 3))), " ".join(rng.choices(words, k=rng.randint(0, 3)))) for _ in range(150)]
+    pairs += [("Customer#000000012", "Totally Different Company"), (None, "x"), ("x", None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in lb.with_divergence(df, "a", "b", "differ").select(
+            "*", lb.name_diverges("a", "b").alias("plain"), lb.names_far(F.lower("a"), F.lower("b"), 0.70).alias("far")).collect():
+        if r["b"] is not None:
+            assert r["differ"] == (SequenceMatcher(None, (r["a"] or "").lower(), r["b"].lower()).ratio() < 0.70)
+        assert r["differ"] == r["plain"] and (r["differ"] or not r["far"])
+        assert r["far"] or r["b"] != "Totally Different Company"
+
+
+def test_the_merge_stays_in_methods_the_jvm_compiles(spark):
+    """Above 8,000 bytes a method is interpreted for good; the keys are sorted by a number."""
+    rows = ev.resolve(views.entities(spark, SF), views.evidence(spark, SF), trace=True).select(
+        *ev.OUTPUT, *views.TRACE, F.col("ev.candidate_website").alias("found_website"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = rows.select("*")._jdf.queryExecution().executedPlan()
+        parts = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan)
+        assert max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) <= 8000
+        assert "Sort [xxhash64(handle" in plan.toString() or "SortAggregate(key=[_groupingexpression" in plan.toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
