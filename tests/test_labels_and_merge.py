@@ -174,3 +174,41 @@ def test_the_merge_stays_in_methods_the_jvm_compiles(spark):
         assert "Sort [xxhash64(handle" in plan.toString() or "SortAggregate(key=[_groupingexpression" in plan.toString()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_names_are_compared_as_difflib_does(monkeypatch):
+    rng = random.Random(5)
+    pairs = [("".join(rng.choices(letters, k=rng.randint(0, 25))), "".join(rng.choices(letters, k=rng.randint(0, 25))))
+             for letters in ("ab", "abc", "abcdefgh ", "é𝒳a ") for _ in range(300)]
+    pairs += [("".join(rng.choices("abc", k=rng.randint(190, 210))), "".join(rng.choices("abc", k=rng.randint(190, 210)))) for _ in range(12)]
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert [lb.matching_share(a, b) for a, b in pairs] == want
+    monkeypatch.setattr("difflib.SequenceMatcher", None)   # slow, and not needed for names
+    assert lb.matching_share("customer#000000123", "customer#000915123") == 30 / 36
+
+
+def test_types_from_names_try_few_patterns(spark):
+    import re
+    from fieldgauge import fixed_values as fv
+    from fieldgauge.operators import cleaning
+    words = ["City", "of", "city OF", "County of", "Incorporated", "inc.", "Inc", "CORP", "corpse", "llp", "LLP", "ISD", "school", "district",
+             "Fire Dept", "ministries", "Foundation", "TOWNSHIP", "university", "x", "é", "ſchool district", ""]
+    rng = random.Random(6)
+    names = [" ".join(rng.choices(words, k=rng.randint(0, 3))) for _ in range(400)] + [None, "a\nCity of b"]
+    rows = spark.createDataFrame([(n, None) for n in names], "name string, website string").select("name", cleaning.infer_type().alias("t"))
+    for r in rows.collect():
+        first = next(((t, c, ok) for p, t, c, ok in fv.NAME_TYPE_PATTERNS if re.search(p, r["name"] or "", re.ASCII)), (None, 0.0, False))
+        assert (r["t"]["type"], r["t"]["confidence"], r["t"]["confirmed"]) == first, r
+    for p, *_ in fv.NAME_TYPE_PATTERNS:
+        assert cleaning.plain_words(p) and all(re.search(p, w if "(?i)" in p else w.upper()) for w in cleaning.plain_words(p))
+
+
+def test_blank_values_are_told_from_one_end(spark):
+    from fieldgauge.functions.space import WHITE
+    from fieldgauge.functions.text import is_missing, present
+    values = [None, "", " ", WHITE, WHITE + "a", "a" + WHITE, "a", "\u200b"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", is_missing("v").alias("m"), present("v").alias("p"))
+    for r in rows.collect():
+        blank = r["v"] is None or r["v"].strip(WHITE) == ""
+        assert r["m"] == blank and r["p"] == (None if blank else r["v"])
+    assert "BOTH" not in plan_of(rows).upper()
