@@ -211,4 +211,5 @@ def test_blank_values_are_told_from_one_end(spark):
     for r in rows.collect():
         blank = r["v"] is None or r["v"].strip(WHITE) == ""
         assert r["m"] == blank and r["p"] == (None if blank else r["v"])
-    assert "BOTH" not in plan_of(rows).upper()
+    whole = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "ltrim(" in whole and " trim(" not in whole and "(trim(" not in whole and "btrim(" not in whole
